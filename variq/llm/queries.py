@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, mixing
+from variq.llm import _store, fingerprints, langid, mixing
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled documents outside the held-out fold, then labels every text."""
+    _store.arrow_rows(spark)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    docs = _store.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_spans")
+
+
 SQL8 = """
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
@@ -32,5 +41,14 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op8_source_mix": op8_source_mix}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    return fingerprints.edited_pairs(_store.documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op7_language_id": op7_language_id,
+    "op8_source_mix": op8_source_mix,
+    "op10_document_fingerprints": op10_document_fingerprints,
+}
 ORACLE = {"op8_source_mix": SQL8}
