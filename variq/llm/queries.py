@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, langid, mixing, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, mixing, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    return jaccard_join.similar_documents(_store.documents(spark, sf_dir), k=4, percent=85)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
     return substrings.remove_repeats(_store.documents(spark, sf_dir))
@@ -52,6 +57,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_source_mix": op8_source_mix,
