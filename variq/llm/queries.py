@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, jaccard_join, langid, mixing, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, mixing, secret_scan, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    return secret_scan.scan(_store.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
     return fingerprints.edited_pairs(_store.documents(spark, sf_dir))
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_source_mix": op8_source_mix,
+    "op9_secret_scan": op9_secret_scan,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 ORACLE = {"op8_source_mix": SQL8}
