@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, jaccard_join, langid, mixing, secret_scan, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, media, mixing, secret_scan, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(_store.documents(spark, sf_dir))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    out = media.media_column(_store.documents(spark, sf_dir))
+    return out.drop("error")
+
+
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
