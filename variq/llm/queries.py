@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, jaccard_join, langid, media, mixing, secret_scan, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, media, mixing, pieces, secret_scan, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,13 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("error")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    return pieces.encode(_store.documents(spark, sf_dir).select("doc_id", "text"), pieces.default_model(), digests=True).drop("text")
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_media_columns": op4_media_columns,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
