@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, jaccard_join, langid, media, mixing, pieces, secret_scan, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, license_scan, media, mixing, pieces, secret_scan, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_store.documents(spark, sf_dir).select("doc_id", "text"), pieces.default_model(), digests=True).drop("text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _store.arrow_rows(spark)
+    return license_scan.scan(_store.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
+    "op6_license_scan": op6_license_scan,
     "op1_sentencepiece": op1_sentencepiece,
     "op4_media_columns": op4_media_columns,
     "op3_jaccard_join": op3_jaccard_join,
