@@ -101,7 +101,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """One row a document: doc_id, n_words, n_removed, kept_sha256, longest_repeat (the longest level reached, in words),
     removed_spans (start:end in words, comma-joined) and, if asked for, kept_text."""
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges, groups = partitions * 4, partitions * 4
+    ranges, groups = partitions * 4, partitions * 2
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def send(batches):
@@ -124,7 +124,15 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def judge(batches):
         """A range's windows, all together; rows come sorted by range."""
-        now, hashes, places = None, [], []
+        now, hashes, places, found = None, [], [], []
+
+        def tell():
+            """The marks of many ranges at once: a task sends a group of documents few rows, however many ranges there are."""
+            if found:
+                marks = _marks(*(np.concatenate(x) for x in zip(*found, strict=True)), groups)
+                found.clear()
+                if marks is not None:
+                    yield marks
 
         def done():
             if hashes:
@@ -132,11 +140,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 h = np.concatenate([np.frombuffer(x, np.uint64) for x in hashes])
                 ids, at = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]).astype(np.int64)
                 later, src, src_at = _later(h, ids, at)
-                marks = _marks(ids[later], at[later], src[later], src_at[later], groups)
-                if marks is not None:
-                    yield marks
+                found.append((ids[later], at[later], src[later], src_at[later]))
                 hashes.clear()
                 places.clear()
+                if sum(len(x[0]) for x in found) > 1 << 21:
+                    yield from tell()
 
         for batch in batches:
             passing = batch.filter(pc.equal(batch.column("kind"), 1))
@@ -150,6 +158,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 hashes.append(h)
                 places.append(p)
         yield from done()
+        yield from tell()
 
     def own_group(batches):
         for batch in batches:
