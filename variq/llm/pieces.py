@@ -23,7 +23,6 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variq.llm import _text
@@ -338,15 +337,21 @@ class Pieces:
 _caches: dict = {}
 
 
-def encode(docs: DataFrame, model: str, *, text: str = "text", digests: bool = False) -> DataFrame:
-    """The rows with n_tokens, ids (array of int) and decoded, the text of the ids; model: path of a model file.
+MADE = {
+    "n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), None), "decoded": (T.StringType(), pa.string()),
+    "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string()), "round_trip": (T.BooleanType(), pa.bool_()),
+}
 
-    digests: ids_sha256 (little-endian 32-bit ids), decoded_sha256 and round_trip stand for ids and decoded.
+
+def encode(docs: DataFrame, model: str, *, text: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """The rows with the asked-for columns of MADE; model: path of a model file.
+
+    ids: array of int; decoded: the text of the ids; ids_sha256: of the ids as little-endian 32-bit numbers;
+    decoded_sha256: of the decoded text; round_trip: whether decoding gives the text back.
     """
     pieces = Pieces.load(model)
-    made = [("n_tokens", T.LongType()), *([("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("round_trip", T.BooleanType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])]
-    keep = docs.drop(*[a for a, _ in made])
-    schema = T.StructType([*keep.schema.fields, *[T.StructField(a, b) for a, b in made]])
+    keep = docs.drop(*columns)
+    schema = T.StructType([*keep.schema.fields, *[T.StructField(c, MADE[c][0]) for c in columns]])
 
     def run(batches):
         cache = _caches.setdefault(model, {})
@@ -356,17 +361,16 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", digests: bool = F
             ids, count = pieces.encode([x or "" for x in texts], cache)
             bound = np.concatenate([[0], np.cumsum(count)])
             decoded = pieces.decode(ids, count)
-            n = pa.array(count, pa.int64(), mask=gone)
-            if digests:
-                raw = ids.astype("<i4")
-                more = [
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.string(), mask=gone),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string(), mask=gone),
-                    pa.array([x == (y or "").replace(BLANK, " ") for x, y in zip(decoded, texts, strict=True)], pa.bool_(), mask=gone),
-                ]
-            else:
-                more = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(gone)), pa.array(decoded, pa.string(), mask=gone)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, n, *more], [*batch.schema.names, *[a for a, _ in made]])
+            raw = ids.astype("<i4")
+            make = {
+                "n_tokens": lambda: count,
+                "decoded": lambda: decoded,
+                "ids_sha256": lambda: [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bound[:-1], bound[1:], strict=True)],
+                "decoded_sha256": lambda: [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+                "round_trip": lambda: [x == (y or "").replace(BLANK, " ") for x, y in zip(decoded, texts, strict=True)],
+            }
+            made = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(gone)) if c == "ids" else pa.array(make[c](), MADE[c][1], mask=gone) for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *columns])
 
     return keep.mapInArrow(run, schema)
 

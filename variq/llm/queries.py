@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variq.llm import _store, fingerprints, jaccard_join, langid, license_scan, media, mixing, pieces, secret_scan, substrings
+from variq.llm import _store, fingerprints, jaccard_join, langid, license_scan, line_dedup, media, mixing, pieces, secret_scan, substrings
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
-    return pieces.encode(_store.documents(spark, sf_dir).select("doc_id", "text"), pieces.default_model(), digests=True).drop("text")
+    return pieces.encode(_store.documents(spark, sf_dir).select("doc_id", "text"), pieces.default_model(), columns=("n_tokens", "ids_sha256", "decoded_sha256", "round_trip")).drop("text")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_store.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _store.documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op1_sentencepiece": op1_sentencepiece,
     "op4_media_columns": op4_media_columns,
