@@ -1,6 +1,586 @@
-"""Queries over the process-behaviour operators and their SQL."""
+"""Queries over the process-behaviour operators, and DuckDB SQL that computes the same on its own.
+
+Roles: events (value by event_type over days; every cell has many readings), events by user_id (some cells have one or
+none), lineitem (l_quantity by returnflag and linestatus over years), orders (o_totalprice by priority over months).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from variq.functions.limits import c4_col, rounded
+from variq.operators import capability as cap
+from variq.operators import charts, clean, derive, design, effects, prepare
+from variq.operators.ordered import positions
+from variq.plans.spec import Calibration, FormulationSpec, SpecLimits
+from variq.plans.study import Study
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: rounded(F.col(n), 6) for n in names})
+
+
+def R6(x: str) -> str:
+    return f"round_even(({x}) * 1000000.0, 0) / 1000000.0"
+
+
+def R3(x: str) -> str:
+    return f"round_even(({x}) * 1000.0, 0) / 1000.0"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "value", "event_type", "user_id", F.to_date("ts").alias("day"))
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+
+
+EVENTS = FormulationSpec("value", ("event_type",), "day", "event_id")
+USERS = FormulationSpec("value", ("user_id",), "day", "event_id")
+ITEMS = FormulationSpec("l_quantity", ("l_returnflag", "l_linestatus"), "year")
+ORDERS = FormulationSpec("o_totalprice", ("o_orderpriority",), "month", "o_orderkey")
+
+
+def study(spark: SparkSession, sf_dir: str, of: str) -> Study:
+    make, spec = {"events": (events, EVENTS), "users": (events, USERS), "items": (lineitem, ITEMS), "orders": (orders, ORDERS)}[of]
+    return Study(make(spark, sf_dir), spec)
+
+
+def frame(spark: SparkSession, sf_dir: str, of: str, method: str) -> prepare.Frame:
+    make, spec = {"events": (events, EVENTS), "users": (events, USERS), "items": (lineitem, ITEMS), "orders": (orders, ORDERS)}[of]
+    return prepare.residuals(prepare.prepare(make(spark, sf_dir), spec), method)
+
+
+# Shared SQL: rows, cells, unweighted means.
+
+
+def _means(rows: str, k: str) -> str:
+    return f"""r AS ({rows}), c AS (SELECT {k}, t, count(*) AS n, avg(y) AS m, stddev_samp(y) AS s, var_samp(y) AS v FROM r GROUP BY ALL),
+ck AS (SELECT {k}, avg(m) AS mk FROM c GROUP BY ALL), ct AS (SELECT t, avg(m) AS mt FROM c GROUP BY t), g AS (SELECT avg(m) AS g FROM c),
+j AS (SELECT r.*, c.n, c.m, ck.mk, ct.mt, g.g FROM r JOIN c USING ({k}, t) JOIN ck USING ({k}) JOIN ct USING (t), g)"""
+
+
+E_ROWS = "SELECT event_id AS id, value AS y, event_type AS k, CAST(ts AS DATE) AS t FROM events WHERE value IS NOT NULL"
+U_ROWS = "SELECT event_id AS id, value AS y, user_id AS k, CAST(ts AS DATE) AS t FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL"
+I_ROWS = "SELECT l_quantity AS y, l_returnflag AS a, l_linestatus AS b, year(l_shipdate)::INT AS t FROM lineitem"
+O_ROWS = "SELECT o_orderkey AS id, o_totalprice AS y, o_orderpriority AS k, strftime(o_orderdate, '%Y-%m') AS t FROM orders"
+E_CTE, U_CTE, I_CTE, O_CTE = _means(E_ROWS, "k"), _means(U_ROWS, "k"), _means(I_ROWS, "a, b"), _means(O_ROWS, "k")
+C4 = "sqrt(2.0/({n}-1))*exp(lgamma({n}/2.0)-lgamma(({n}-1)/2.0))"
+E2, D4 = "(3/1.128)", "(1+3*0.8525/1.128)"
+STATE = """SELECT count(*) AS n_cells, min(N_kt) AS min_n, max(N_kt) AS max_n, count(*) FILTER (N_kt = 1) AS n_single, count(*) FILTER (N_kt = 0) AS n_empty FROM x"""
+LADDER = "CASE WHEN n_empty = 0 AND min_n >= 2 THEN 1 WHEN n_empty = 0 AND max_n = 1 THEN 2 WHEN n_empty = 0 THEN 3 WHEN max_n = 1 THEN 5 WHEN n_single > 0 THEN 6 ELSE 4 END"
+NAMES = "CASE state WHEN 1 THEN 'full_replication' WHEN 2 THEN 'no_replication' WHEN 3 THEN 'partial_replication' WHEN 4 THEN 'incomplete_no_singletons' WHEN 5 THEN 'incomplete_no_replication' ELSE 'incomplete_with_singletons' END"
+
+
+def _state(x: str) -> str:
+    return f"WITH {x}, s AS ({STATE}), z AS (SELECT *, {LADDER} AS state FROM s) SELECT *, {NAMES} AS reason FROM z"
+
+
+U_GRID = f"r AS ({U_ROWS}), x AS (SELECT a.k, b.t, coalesce(n, 0) AS N_kt FROM (SELECT DISTINCT k FROM r) a CROSS JOIN (SELECT DISTINCT t FROM r) b LEFT JOIN (SELECT k, t, count(*) AS n FROM r GROUP BY ALL) c USING (k, t))"
+
+
+@query(f"WITH {U_GRID} SELECT k AS user_id, t AS day, N_kt FROM x")
+def nkt_cells(spark, sf_dir):
+    return design.grid(events(spark, sf_dir), USERS)
+
+
+@query(_state(U_GRID))
+def design_state_ods(spark, sf_dir):
+    return design.observed_state(events(spark, sf_dir), USERS)
+
+
+@query(_state(f"r AS ({U_ROWS}), x AS (SELECT count(*) AS N_kt FROM r GROUP BY k, t)"))
+def design_state_ads(spark, sf_dir):
+    return design.analytic_state(prepare.prepare(events(spark, sf_dir), USERS).cells)
+
+
+@query(f"WITH {E_CTE} SELECT k AS event_type, t AS day, n, {R6('m')} AS Ybar_kt, {R6('mk')} AS Ybar_k, {R6('mt')} AS Ybar_t, {R6('g')} AS Ybar FROM c JOIN ck USING (k) JOIN ct USING (t), g")
+def cell_means(spark, sf_dir):
+    return six(prepare.prepare(events(spark, sf_dir), EVENTS).cells, "Ybar_kt", "Ybar_k", "Ybar_t", "Ybar")
+
+
+@query(f"WITH {E_CTE} SELECT 'condition' AS grain, k AS level, {R6('mk')} AS mean FROM ck UNION ALL SELECT 'period', CAST(t AS VARCHAR), {R6('mt')} FROM ct UNION ALL SELECT 'all', '', {R6('g')} FROM g")
+def marginal_means(spark, sf_dir):
+    cells = prepare.prepare(events(spark, sf_dir), EVENTS).cells
+    out = cells.select(F.lit("condition").alias("grain"), F.col("event_type").alias("level"), F.col("Ybar_k").alias("mean")).distinct()
+    out = out.unionByName(cells.select(F.lit("period").alias("grain"), F.col("day").cast("string").alias("level"), F.col("Ybar_t").alias("mean")).distinct())
+    return six(out.unionByName(cells.select(F.lit("all").alias("grain"), F.lit("").alias("level"), F.col("Ybar").alias("mean")).distinct()), "mean")
+
+
+RES = ["R1", "R2", "R3", "R4", "R5"]
+
+
+def _res_sql(cte: str, r2: str, extra: str = "") -> str:
+    return f"WITH {cte}{extra} SELECT id AS event_id, {R6('y - g')} AS R1, {R6(r2)} AS R2, {R6(f'm - mk - mt + g + ({r2})')} AS R3, {R6(f'mt - g + ({r2})')} AS R4, {R6(f'mk - g + ({r2})')} AS R5 FROM {'q' if extra else 'j'}"
+
+
+@query(_res_sql(E_CTE, "y - m"))
+def vas_residuals_exact(spark, sf_dir):
+    return six(frame(spark, sf_dir, "events", "exact").rows.select(F.col("obs_id").alias("event_id"), *RES), *RES)
+
+
+MA2 = """, f AS (SELECT sqrt((K - 1) / (2.0 * K) * (1 - K / (M - 1.0))) AS c FROM (SELECT count(DISTINCT k) AS K, count(*) AS M FROM r)),
+q AS (SELECT j.*, (y - mk - mt + g - lag(y - mk - mt + g) OVER (ORDER BY k, t, id)) / (2 * f.c) AS r2 FROM j, f)"""
+
+
+@query(_res_sql(U_CTE, "r2", MA2))
+def vas_residuals_ma2(spark, sf_dir):
+    return six(frame(spark, sf_dir, "users", "ma2").rows.select(F.col("obs_id").alias("event_id"), *RES), *RES)
+
+
+@query(f"WITH {E_CTE}, w AS (SELECT *, y - g AS r1 FROM j) SELECT id AS event_id, {R6('avg(r1) OVER (PARTITION BY k, t)')} AS Rbar_kt, {R6('avg(r1) OVER (PARTITION BY k)')} AS Rbar_k, {R6('avg(r1) OVER (PARTITION BY t)')} AS Rbar_t FROM w")
+def weighted_residual_means(spark, sf_dir):
+    out = prepare.weighted_means(frame(spark, sf_dir, "events", "exact"))
+    return six(out.select(F.col("obs_id").alias("event_id"), "Rbar_kt", "Rbar_k", "Rbar_t"), "Rbar_kt", "Rbar_k", "Rbar_t")
+
+
+# Xbar and S
+
+
+def _fit(by: str, strata: str = "") -> str:
+    part = f"GROUP BY {strata}" if strata else ""
+    keys = f"{strata}, " if strata else ""
+    return f"f AS (SELECT {keys}avg(m) AS mm, avg(s) FILTER (n >= 2) AS sb, avg(s / ({C4.format(n='n')})) FILTER (n >= 2) AS sh, min(n) AS lo, max(n) AS hi, min(n) FILTER (n >= 2) AS lo2, avg(n) FILTER (n >= 2) AS na FROM u {part})"
+
+
+HALF = f"3 * CASE WHEN lo = hi THEN sb / ({C4.format(n='hi')}) / sqrt(hi) ELSE sh / sqrt(n) END"
+
+
+def _xbar_out(keys: str, center: str, half: str = HALF) -> str:
+    return f"SELECT {keys}, n, {R3('m')} AS xbar, {R3(center)} AS center, {R3(f'{center} - ({half})')} AS lpl, {R3(f'{center} + ({half})')} AS upl, CASE WHEN m < {center} - ({half}) THEN -1 WHEN m > {center} + ({half}) THEN 1 ELSE 0 END AS beyond_limits"
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT * FROM c), {_fit('a, b, t')} {_xbar_out('a AS l_returnflag, b AS l_linestatus, t AS year', 'g')} FROM u, f, g")
+def xbar_default(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar").get_chart().data.drop("group")
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT a, b, mk AS m, s, n FROM ck JOIN (SELECT a, b, stddev_samp(y) AS s, count(*) AS n FROM r GROUP BY ALL) USING (a, b)), {_fit('a, b')} {_xbar_out(chr(97) + ' || chr(95) || b AS rsg', 'g')} FROM u, f, g")
+def xbar_by_factor(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar", by=["l_returnflag", "l_linestatus"]).get_chart().data
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT a, avg(y) AS m, stddev_samp(y) AS s, count(*) AS n FROM r GROUP BY a), {_fit('a')} {_xbar_out('a AS l_returnflag', 'g')} FROM u, f, g")
+def xbar_by_subset(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar", by=["l_returnflag"]).get_chart().data
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT a || '_' || b AS rsg, t, m, s, n FROM c), {_fit('t', 'rsg')} {_xbar_out('rsg, t AS year', 'mm')} FROM u JOIN f USING (rsg)")
+def xbar_stratified(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar", by=["year"]).get_chart().data
+
+
+AVERAGE = f"3 * sb / ({C4.format(n='floor(na)')}) / sqrt(na)"
+
+
+@query(f"WITH {O_CTE}, u AS (SELECT * FROM c), {_fit('k, t')} {_xbar_out('k AS o_orderpriority, t AS month', 'g', AVERAGE)} FROM u, f, g")
+def xbar_n_average(spark, sf_dir):
+    return study(spark, sf_dir, "orders").execute("Xbar", n_mode="average").get_chart().data.drop("group")
+
+
+def _s_out(keys: str, n: str = "n") -> str:
+    c = f"({C4.format(n=n)})"
+    lo, hi = f"greatest(0, 1 - 3 / {c} * sqrt(1 - {c} * {c})) * sb", f"(1 + 3 / {c} * sqrt(1 - {c} * {c})) * sb"
+    return f"SELECT {keys}, n, {R3('s')} AS s, {R3('sb')} AS center, {R3(lo)} AS lpl, {R3(hi)} AS upl, CASE WHEN s < {lo} THEN -1 WHEN s > {hi} THEN 1 ELSE 0 END AS beyond_limits"
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT * FROM c WHERE n >= 2), {_fit('a, b, t')} {_s_out('a AS l_returnflag, b AS l_linestatus, t AS year')} FROM u, f")
+def s_default(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("S").get_chart().data.drop("group")
+
+
+@query(f"WITH {I_CTE}, u AS (SELECT a || '_' || b AS rsg, t, m, s, n FROM c WHERE n >= 2), {_fit('t', 'rsg')} {_s_out('rsg, t AS year')} FROM u JOIN f USING (rsg)")
+def s_stratified(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("S", by=["year"]).get_chart().data
+
+
+@query(f"WITH {O_CTE}, u AS (SELECT k, t, avg(y - m) AS m, stddev_samp(y - m) AS s, count(*) AS n FROM j GROUP BY k, t), f AS (SELECT avg(s) AS sb FROM u WHERE n >= 2) SELECT count(*) AS subgroups, {R3('max(sb)')} AS center, sum(n)::BIGINT AS n FROM u, f WHERE n >= 2")
+def s_of_r2(spark, sf_dir):
+    rows = frame(spark, sf_dir, "orders", "exact").rows
+    out = charts.s_chart(charts.subgroups(rows, ["o_orderpriority", "month"], "R2"), [])
+    return out.agg(F.count("*").alias("subgroups"), F.max("center").alias("center"), F.sum("n").alias("n"))
+
+
+# X and mR
+
+
+def _xmr(rows: str, stream: str, order: str, keys: str) -> str:
+    part = f"PARTITION BY {stream} " if stream else ""
+    by = f"GROUP BY {stream}" if stream else ""
+    lead = f"{stream}, " if stream else ""
+    return f"r AS ({rows}), l AS (SELECT *, abs(y - lag(y) OVER ({part}ORDER BY {order})) AS mr FROM r), f AS (SELECT {lead}avg(y) AS xb, avg(mr) AS mb FROM l {by}), o AS (SELECT * FROM l {'JOIN f USING (' + stream + ')' if stream else ', f'})"
+
+
+def _x_out(keys: str, value: str) -> str:
+    lo, hi = f"xb - {E2} * coalesce(mb, 0)", f"xb + {E2} * coalesce(mb, 0)"
+    return f"SELECT {keys}, {R3('y')} AS {value}, {R3('xb')} AS center, {R3(lo)} AS lpl, {R3(hi)} AS upl, CASE WHEN y < {lo} THEN -1 WHEN y > {hi} THEN 1 ELSE 0 END AS beyond_limits FROM o"
+
+
+def _mr_out(keys: str) -> str:
+    hi = f"{D4} * mb"
+    return f"SELECT {keys}, {R3('mr')} AS mr, {R3('mb')} AS center, 0.0 AS lpl, {R3(hi)} AS upl, CASE WHEN mr > {hi} THEN 1 ELSE 0 END AS beyond_limits FROM o WHERE mr IS NOT NULL"
+
+
+SHOWN = ["event_type", "day", "obs_id"]
+
+
+@query(f"WITH {_xmr(E_ROWS, '', 'k, t, id', '')} {_x_out('k AS event_type, t AS day, id AS obs_id', 'value')}")
+def x_single(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("X", by=[]).get_chart().data.withColumnRenamed("rsg", "event_type").drop("sort_key")
+
+
+@query(f"WITH {_xmr(E_ROWS, '', 'k, t, id', '')} {_mr_out('k AS event_type, t AS day, id AS obs_id')}")
+def mr_single(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("mR", by=[]).get_chart().data.withColumnRenamed("rsg", "event_type").drop("sort_key")
+
+
+@query(f"WITH {_xmr(E_ROWS, 'k', 't, id', '')} {_x_out('k AS event_type, t AS day, id AS obs_id', 'value')}")
+def x_stratified(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("X", by=["event_type"]).get_chart().data.drop("sort_key", "rsg")
+
+
+@query(f"WITH {_xmr(E_ROWS, 'k', 't, id', '')} {_mr_out('k AS event_type, t AS day, id AS obs_id')}")
+def mr_stratified(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("mR", by=["event_type"]).get_chart().data.drop("sort_key", "rsg")
+
+
+@query(f"WITH {_xmr('SELECT event_id AS id, value AS y FROM events WHERE value IS NOT NULL', '', 'id', '')} {_x_out('id AS obs_id', 'value')}")
+def x_received_order(spark, sf_dir):
+    return Study(events(spark, sf_dir), FormulationSpec("value", (), None, "event_id")).execute("X").get_chart().data.drop("sort_key")
+
+
+@query(f"WITH {E_CTE}, q AS (SELECT k, t, id, y - m AS r2, mk FROM j), z AS (SELECT *, mk + r2 AS v, abs(mk - (SELECT g FROM g) + r2 - lag(mk - (SELECT g FROM g) + r2) OVER (ORDER BY k, t, id)) AS mr FROM q) SELECT count(*) AS points, {R3('avg(v)')} AS center, {R3('avg(mr)')} AS mr_bar FROM z")
+def x_recentered_residual(spark, sf_dir):
+    rows = prepare.canonical(frame(spark, sf_dir, "events", "exact").rows, EVENTS)
+    one = charts.individual_fit(charts.moving_ranges(rows, [], "sort_key", "R5"), [], "RCR5")
+    return one.select("points", rounded(F.col("x_bar")).alias("center"), rounded(F.col("mr_bar")).alias("mr_bar"))
+
+
+# Phases, calibrated limits
+
+
+@query(f"WITH {_xmr(E_ROWS, 'k', 't, id', '')} SELECT dense_rank() OVER (ORDER BY k) AS phase, event_type, obs_id, value, center, lpl, upl, beyond_limits FROM (SELECT k, k AS event_type, id AS obs_id, {R3('y')} AS value, {R3('xb')} AS center, {R3(f'xb - {E2} * mb')} AS lpl, {R3(f'xb + {E2} * mb')} AS upl, CASE WHEN y < xb - {E2} * mb THEN -1 WHEN y > xb + {E2} * mb THEN 1 ELSE 0 END AS beyond_limits FROM o)")
+def phased_x(spark, sf_dir):
+    out = study(spark, sf_dir, "events").execute("X", by=[], phased=True).get_chart().data
+    return out.select("phase", F.col("rsg").alias("event_type"), "obs_id", "value", "center", "lpl", "upl", "beyond_limits")
+
+
+@query(f"WITH {O_CTE}, u AS (SELECT k, t, m, s, n FROM c), {_fit('t', 'k')}, p AS (SELECT k, dense_rank() OVER (ORDER BY k) AS phase FROM (SELECT DISTINCT k FROM u)) {_xbar_out('k AS o_orderpriority, t AS month, phase', 'mm')} FROM u JOIN f USING (k) JOIN p USING (k)")
+def phased_xbar_s(spark, sf_dir):
+    return study(spark, sf_dir, "orders").execute("Xbar", by=["o_orderpriority", "month"], phased=True).get_chart().data.drop("subgroup")
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, event_id AS obs_id, round_even(value * 1000.0, 0) / 1000.0 AS value, 50.0 AS center, -10.0 AS lpl, 110.0 AS upl, CASE WHEN value < -10 THEN -1 WHEN value > 110 THEN 1 ELSE 0 END AS beyond_limits FROM events WHERE value IS NOT NULL")
+def calibrated_x(spark, sf_dir):
+    out = study(spark, sf_dir, "events").execute("X", by=[], calibration=Calibration(50.0, 20.0)).get_chart().data
+    return out.withColumnRenamed("rsg", "event_type").drop("sort_key")
+
+
+@query(f"WITH {I_CTE} SELECT a AS l_returnflag, b AS l_linestatus, t AS year, n, {R3('m')} AS xbar, 25.0 AS center, {R3('25 - 3 * 14 / sqrt(n)')} AS lpl, {R3('25 + 3 * 14 / sqrt(n)')} AS upl, CASE WHEN m < 25 - 3 * 14 / sqrt(n) THEN -1 WHEN m > 25 + 3 * 14 / sqrt(n) THEN 1 ELSE 0 END AS beyond_limits FROM c")
+def calibrated_xbar(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar", calibration=Calibration(25.0, 14.0)).get_chart().data.drop("group")
+
+
+# Run rules
+
+RULE_SQL = f"""WITH {_xmr(E_ROWS, 'k', 't, id', '')},
+p AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY t, id) - 1 AS position, {R3('y')} AS v, {R3('xb')} AS c, {R3(f'xb + {E2} * mb')} AS hi, {R3(f'xb - {E2} * mb')} AS lo FROM o),
+d AS (SELECT *, (hi - c) / 3 AS sg, v - lag(v) OVER w AS d1, lag(v) OVER w - lag(v, 2) OVER w AS d2 FROM p WINDOW w AS (PARTITION BY k ORDER BY position)),
+x AS (SELECT k AS event_type, id AS obs_id, position,
+  coalesce(v > hi OR v < lo, false) AS rule_1,
+  count(*) OVER w3 = 3 AND (sum((v > c + 2 * sg)::INT) OVER w3 >= 2 OR sum((v < c - 2 * sg)::INT) OVER w3 >= 2) AS rule_2,
+  count(*) OVER w5 = 5 AND (sum((v > c + sg)::INT) OVER w5 >= 4 OR sum((v < c - sg)::INT) OVER w5 >= 4) AS rule_3,
+  sum((v > c)::INT) OVER w8 = 8 OR sum((v < c)::INT) OVER w8 = 8 AS rule_4,
+  sum(coalesce(d1 > 0, false)::INT) OVER w5 = 5 OR sum(coalesce(d1 < 0, false)::INT) OVER w5 = 5 AS rule_5,
+  sum(coalesce(d1 * d2 < 0, false)::INT) OVER w12 = 12 AS rule_6,
+  sum((v < c + sg AND v > c - sg)::INT) OVER w15 = 15 AS rule_7,
+  sum((v >= c + sg OR v <= c - sg)::INT) OVER w8 = 8 AS rule_8
+  FROM d WINDOW w3 AS (PARTITION BY k ORDER BY position ROWS 2 PRECEDING), w5 AS (PARTITION BY k ORDER BY position ROWS 4 PRECEDING), w8 AS (PARTITION BY k ORDER BY position ROWS 7 PRECEDING),
+  w12 AS (PARTITION BY k ORDER BY position ROWS 11 PRECEDING), w15 AS (PARTITION BY k ORDER BY position ROWS 14 PRECEDING))"""
+
+
+def _signals(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("X", by=["event_type"]).detect_signals(rules="all")
+
+
+@query(f"{RULE_SQL} SELECT event_type, obs_id, position, rule_1, rule_2, rule_3, rule_4, rule_5, rule_6, rule_7, rule_8 FROM x")
+def signal_flags(spark, sf_dir):
+    return _signals(spark, sf_dir).flagged.select("event_type", "obs_id", "position", *[f"rule_{k}" for k in range(1, 9)])
+
+
+def _rule_query(k: int):
+    def run(spark, sf_dir):
+        return _signals(spark, sf_dir).flagged.filter(f"rule_{k}").select("event_type", "obs_id", "position")
+
+    run.__name__ = f"signals_rule_{k}"
+    query(f"{RULE_SQL} SELECT event_type, obs_id, position FROM x WHERE rule_{k}")(run)
+
+
+for _k in range(1, 9):
+    _rule_query(_k)
+
+
+@query(f"{RULE_SQL} SELECT event_type, obs_id, position, r AS rule_number FROM x, unnest([CASE WHEN rule_1 THEN 1 END, CASE WHEN rule_2 THEN 2 END, CASE WHEN rule_3 THEN 3 END, CASE WHEN rule_4 THEN 4 END, CASE WHEN rule_5 THEN 5 END, CASE WHEN rule_6 THEN 6 END, CASE WHEN rule_7 THEN 7 END, CASE WHEN rule_8 THEN 8 END]) AS q(r) WHERE r IS NOT NULL")
+def violations_long(spark, sf_dir):
+    return _signals(spark, sf_dir).violations.select("event_type", "obs_id", "position", "rule_number")
+
+
+# Effects
+
+
+@query(f"WITH {I_CTE}, q AS (SELECT *, y - m AS r2, mk - g + (y - m) AS r5 FROM j), al AS (SELECT a, avg(r5 - r2) AS al FROM q GROUP BY a) SELECT q.a AS l_returnflag, count(*) AS n, {R6('avg(al + r2)')} AS r6, {R6('avg(g + al + r2)')} AS rcr6 FROM q JOIN al ON q.a = al.a GROUP BY q.a")
+def r6_by_factor(spark, sf_dir):
+    rows = prepare.r6(frame(spark, sf_dir, "items", "exact"), ["l_returnflag"])
+    return six(rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("R6").alias("r6"), F.avg("RCR6").alias("rcr6")), "r6", "rcr6")
+
+
+@query(f"WITH {I_CTE}, q AS (SELECT *, mk - g + (y - m) AS r5 FROM j) SELECT 'l_returnflag' AS factor, a AS level, {R6('avg(r5)')} AS Main_Effect FROM q GROUP BY a UNION ALL SELECT 'l_linestatus', b, {R6('avg(r5)')} FROM q GROUP BY b UNION ALL SELECT 'rsg', a || '_' || b, {R6('avg(r5)')} FROM q GROUP BY a, b")
+def main_effects(spark, sf_dir):
+    got = effects.melted(frame(spark, sf_dir, "items", "exact")).filter("Effect_Type <> 'year'")
+    return six(got.toDF("factor", "level", "Main_Effect"), "Main_Effect")
+
+
+@query(f"WITH {I_CTE} SELECT t AS year, {R6('avg(mt - g + (y - m))')} AS PT_ME FROM j GROUP BY t")
+def time_effects(spark, sf_dir):
+    return six(effects.time_effect(frame(spark, sf_dir, "items", "exact")), "PT_ME")
+
+
+@query(f"WITH {I_CTE}, q AS (SELECT *, mk - g + (y - m) AS r5 FROM j), ea AS (SELECT a, avg(r5) AS ea FROM q GROUP BY a), eb AS (SELECT b, avg(r5) AS eb FROM q GROUP BY b) SELECT a AS l_returnflag, b AS l_linestatus, {R6('avg(r5) - any_value(ea) - any_value(eb)')} AS Rx FROM q JOIN ea USING (a) JOIN eb USING (b) GROUP BY a, b")
+def factor_interaction(spark, sf_dir):
+    return six(effects.factor_interaction(frame(spark, sf_dir, "items", "exact"), "l_returnflag", "l_linestatus"), "Rx")
+
+
+@query(f"WITH {I_CTE} SELECT a AS l_returnflag, b AS l_linestatus, t AS year, {R6('avg(m - mk - mt + g + (y - m))')} AS interaction FROM j GROUP BY ALL")
+def interaction_cells(spark, sf_dir):
+    return six(effects.condition_by_time(frame(spark, sf_dir, "items", "exact"), 1), "interaction")
+
+
+@query(f"WITH {I_CTE}, q AS (SELECT *, y - m AS r2, mk - g + (y - m) AS r5 FROM j), ea AS (SELECT a, avg(r5) AS ea FROM q GROUP BY a) SELECT a AS l_returnflag, count(*) AS n, {R6('min(r2 + ea)')} AS low, {R6('max(r2 + ea)')} AS high FROM q JOIN ea USING (a) GROUP BY a")
+def main_effect_scores(spark, sf_dir):
+    rows = effects.main_effect_scores(frame(spark, sf_dir, "items", "exact"), "l_returnflag")
+    return six(rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_returnflag_MEs").alias("low"), F.max("l_returnflag_MEs").alias("high")), "low", "high")
+
+
+# Capability, loss, maximum information
+
+C4N = C4.format(n="n")
+CAP_COLUMNS = ["n", "y_bar", "sigma", "pp", "ppu", "ppl", "ppk", "pct_below_lsl", "pct_above_usl", "sigma_R2", "cp", "cpu", "cpl", "cpk", "potential_pct_below", "potential_pct_above"]
+
+
+def _cap_sql(where: str) -> str:
+    return f"""WITH {E_CTE}, q AS (SELECT *, y - m AS r2 FROM j), w AS (SELECT * FROM q WHERE {where}),
+a AS (SELECT count(*) AS n, stddev_samp(y) / ({C4.format(n='count(*)')}) AS sg, 100.0 * count(*) FILTER (y < 5) / count(*) AS lo, 100.0 * count(*) FILTER (y > 90) / count(*) AS hi FROM w),
+yb AS (SELECT avg(m) AS yb FROM (SELECT avg(y) AS m FROM w GROUP BY k, t)), e AS (SELECT stddev_samp(r2) / ({C4.format(n='count(*)')}) AS sr, avg(yb + r2) AS pm, 100.0 * count(*) FILTER (yb + r2 < 5) / count(*) AS plo, 100.0 * count(*) FILTER (yb + r2 > 90) / count(*) AS phi FROM q, yb)
+SELECT n, {R6('yb')} AS y_bar, {R6('sg')} AS sigma, {R6('85 / (6 * sg)')} AS pp, {R6('(90 - yb) / (3 * sg)')} AS ppu, {R6('(yb - 5) / (3 * sg)')} AS ppl, {R6('least(90 - yb, yb - 5) / (3 * sg)')} AS ppk, {R6('lo')} AS pct_below_lsl, {R6('hi')} AS pct_above_usl,
+{R6('sr')} AS sigma_R2, {R6('85 / (6 * sr)')} AS cp, {R6('(90 - pm) / (3 * sr)')} AS cpu, {R6('(pm - 5) / (3 * sr)')} AS cpl, {R6('least(90 - pm, pm - 5) / (3 * sr)')} AS cpk, {R6('plo')} AS potential_pct_below, {R6('phi')} AS potential_pct_above FROM a, yb, e"""
+
+
+@query(_cap_sql("true"))
+def capability(spark, sf_dir):
+    return six(cap.capability(frame(spark, sf_dir, "events", "exact"), SpecLimits(5, 90)).select(CAP_COLUMNS), *CAP_COLUMNS[1:])
+
+
+@query(_cap_sql("t >= DATE '2024-01-08' AND t < DATE '2024-01-15'"))
+def capability_window(spark, sf_dir):
+    return six(cap.capability(frame(spark, sf_dir, "events", "exact"), SpecLimits(5, 90), ("2024-01-08", "2024-01-15")).select(CAP_COLUMNS), *CAP_COLUMNS[1:])
+
+
+LOSS = ["centering", "unexplained", "pdc", "time", "interaction", "total"]
+LOSS_SQL = f"""WITH {E_CTE}, l AS (SELECT power((SELECT g FROM g) - 40, 2) AS centering, (SELECT avg(v) FROM c) AS unexplained, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc, (SELECT avg(power(mt - g, 2)) FROM ct, g) AS time,
+(SELECT avg(power(m - mk - mt + g, 2)) FROM c JOIN ck USING (k) JOIN ct USING (t), g) AS interaction), z AS (SELECT *, centering + unexplained + pdc + time + interaction AS total FROM l)"""
+
+
+@query(f"{LOSS_SQL} SELECT {', '.join(R6(x) + ' AS ' + x for x in LOSS)}, {', '.join(R6('100 * ' + x + ' / total') + ' AS pct_' + x for x in LOSS[:-1])} FROM z")
+def loss(spark, sf_dir):
+    names = [*LOSS, *[f"pct_{x}" for x in LOSS[:-1]]]
+    return six(cap.loss(frame(spark, sf_dir, "events", "exact"), True, 40.0).select(names), *names)
+
+
+@query(f"""WITH {E_CTE}, s AS (SELECT avg(v) AS s2, count(*) AS cc, sum(1.0 / n) AS inv FROM c),
+x AS (SELECT k, t, s2 / n AS v, cc, s2 * inv / (cc * cc) AS vg, count(*) OVER (PARTITION BY k) AS tk, count(*) OVER (PARTITION BY t) AS kt, sum(s2 / n) OVER (PARTITION BY k) AS sk, sum(s2 / n) OVER (PARTITION BY t) AS st FROM c, s)
+SELECT {R6("(SELECT avg(p) FROM (SELECT k, any_value(sk / (tk * tk) - 2 * sk / (tk * cc) + vg) AS p FROM x GROUP BY k))")} AS ref_pdc, {R6("(SELECT avg(p) FROM (SELECT t, any_value(st / (kt * kt) - 2 * st / (kt * cc) + vg) AS p FROM x GROUP BY t))")} AS ref_time,
+{R6("(SELECT avg(v - 2 * v / tk - 2 * v / kt + 2 * v / cc + 2 * v / (tk * kt) + sk / (tk * tk) + st / (kt * kt) + vg - 2 * sk / (tk * cc) - 2 * st / (kt * cc)) FROM x)")} AS ref_interaction""")
+def loss_reference(spark, sf_dir):
+    names = ["ref_pdc", "ref_time", "ref_interaction"]
+    return six(cap.loss(frame(spark, sf_dir, "events", "exact"), True).select(names), *names)
+
+
+@query(f"WITH {I_CTE}, q AS (SELECT *, mk - g + (y - m) AS r5 FROM j) SELECT 'l_returnflag' AS factor, {R6('(SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY a))')} AS loss UNION ALL SELECT 'l_linestatus', {R6('(SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY b))')}")
+def loss_by_factor(spark, sf_dir):
+    return six(cap.loss_by_factor(frame(spark, sf_dir, "items", "exact")), "loss")
+
+
+@query(f"WITH {E_CTE}, q AS (SELECT y - m AS r2, abs(y - m - lag(y - m) OVER (ORDER BY k, t, id)) AS mr FROM j), f AS (SELECT count(*) AS n, avg(r2) AS a, avg(mr) AS b FROM q) SELECT any_value(n) AS n, {R6('any_value(a)')} AS r2_mean, {R6('any_value(b)')} AS r2_mR, {R6('any_value(b) / 1.128')} AS sigma_hat, {R6(f'any_value(a) - {E2} * any_value(b)')} AS lpl, {R6(f'any_value(a) + {E2} * any_value(b)')} AS upl, count(*) FILTER (r2 < a - {E2} * b OR r2 > a + {E2} * b) AS n_signals FROM q, f")
+def max_information(spark, sf_dir):
+    return six(cap.maximum_information(frame(spark, sf_dir, "events", "exact")), "r2_mean", "r2_mR", "sigma_hat", "lpl", "upl")
+
+
+# Histogram, derived columns, cleaning
+
+
+@query(f"WITH s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 12 AS w FROM orders), b AS (SELECT o_orderstatus, least(floor((o_totalprice - lo) / w), 11)::INT AS bin, count(*) AS n FROM orders, s GROUP BY ALL), z AS (SELECT DISTINCT o_orderstatus, bin FROM orders, (SELECT unnest(range(12))::INT AS bin)) SELECT z.o_orderstatus, z.bin, {R6('lo + z.bin * w')} AS left, {R6('lo + (z.bin + 1) * w')} AS right, coalesce(n, 0) AS count FROM z LEFT JOIN b USING (o_orderstatus, bin), s")
+def histogram_bins(spark, sf_dir):
+    return six(charts.histogram_bins(orders(spark, sf_dir), ["o_orderstatus"], "o_totalprice", 12), "left", "right")
+
+
+@query(f"SELECT o_orderstatus, {R6('avg(o_totalprice)')} AS mean, {R6('stddev_samp(o_totalprice)')} AS std, count(*) AS n FROM orders GROUP BY 1")
+def histogram_statistics(spark, sf_dir):
+    return six(charts.histogram_statistics(orders(spark, sf_dir), ["o_orderstatus"], "o_totalprice"), "mean", "std")
+
+
+@query(f"SELECT p, {R6('quantile_cont(o_totalprice, p)')} AS quantile FROM orders, (SELECT unnest([0.01, 0.255, 0.5, 0.745, 0.99]) AS p) GROUP BY p")
+def quantile_pairs(spark, sf_dir):
+    return six(charts.quantile_pairs(orders(spark, sf_dir), "o_totalprice", 5), "p", "quantile")
+
+
+def _binned(spark, sf_dir, method: str, **params):
+    out, _ = derive.materialise(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), [derive.Derivation("bin", "o_totalprice", method, "b", params | {"labels": "number"})])
+    return out.groupBy("b").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+
+
+def _bin_sql(edges: list[str], count: int, source: str) -> str:
+    case = " ".join(f"WHEN x >= {edges[i]} THEN {i}" for i in range(count - 1, 0, -1))
+    return f"WITH e AS (SELECT {source} FROM orders), x AS (SELECT o_totalprice AS x, CASE {case} ELSE 0 END AS i FROM (SELECT o_totalprice, o_totalprice AS x FROM orders), e) SELECT 'Bin ' || (i + 1) AS b, count(*) AS n, min(x) AS low, max(x) AS high FROM x GROUP BY i"
+
+
+@query(_bin_sql(["", "q[1]", "q[2]", "q[3]"], 4, "quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q"))
+def bin_equal_freq(spark, sf_dir):
+    return _binned(spark, sf_dir, "equal_freq", bins=4)
+
+
+@query(_bin_sql(["", *[f"(lo + (hi - lo) * {i} / 5)" for i in range(1, 5)]], 5, "min(o_totalprice) AS lo, max(o_totalprice) AS hi"))
+def bin_equal_width(spark, sf_dir):
+    return _binned(spark, sf_dir, "equal_width", bins=5)
+
+
+@query(_bin_sql(["", "100000", "250000"], 3, "1 AS one"))
+def bin_breaks(spark, sf_dir):
+    return _binned(spark, sf_dir, "breaks", breaks=[100000, 250000])
+
+
+@query(_bin_sql(["", "(mu - sd)", "(mu + sd)"], 3, "avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd"))
+def bin_sd(spark, sf_dir):
+    return _binned(spark, sf_dir, "sd")
+
+
+_T = {"log": "ln(x)", "log10": "log10(x)", "sqrt": "sqrt(x)", "square": "x * x", "inverse": "1 / x", "power": "power(x, 0.5)", "arcsin": "asin(sqrt(x))"}
+
+
+def _transform_query(name: str, sql: str):
+    def run(spark, sf_dir):
+        src = table(spark, sf_dir, "lineitem").select(F.col("l_discount" if name == "arcsin" else "l_extendedprice").alias("x")).filter("x > 0")
+        out, _ = derive.materialise(src, [derive.Derivation("transform", "x", name, "y", {"exponent": 0.5} if name == "power" else {})])
+        return six(out.agg(F.count("y").alias("n"), (F.sum(F.col("y") / 1e6)).alias("total"), F.min("y").alias("low"), F.max("y").alias("high")), "total", "low", "high")
+
+    run.__name__ = f"transform_{name}"
+    source = "l_discount" if name == "arcsin" else "l_extendedprice"
+    query(f"WITH s AS (SELECT {source} AS x FROM lineitem WHERE {source} > 0), t AS (SELECT {sql} AS y FROM s) SELECT count(y) AS n, {R6('sum(y / 1e6)')} AS total, {R6('min(y)')} AS low, {R6('max(y)')} AS high FROM t")(run)
+
+
+for _name, _sql in _T.items():
+    _transform_query(_name, _sql)
+
+
+@query(f"WITH f AS (SELECT avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd FROM orders) SELECT o_orderkey, {R6('(o_totalprice - mu) / sd')} AS z FROM orders, f")
+def zscore(spark, sf_dir):
+    out, _ = derive.materialise(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), [derive.Derivation("transform", "o_totalprice", "zscore", "z")])
+    return six(out.select("o_orderkey", "z"), "z")
+
+
+@query(f"SELECT o_orderkey, {R6('CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN -round(o_totalprice, 2) ELSE round(o_totalprice, 2) END')} AS price FROM orders")
+def clean_currency(spark, sf_dir):
+    shown = F.format_number("o_totalprice", 2)
+    raw = F.when(F.col("o_orderkey") % 50 == 0, "BDL").when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("($"), shown, F.lit(")"))).otherwise(F.concat(F.lit("$ "), shown))
+    out, _ = clean.clean(orders(spark, sf_dir).select("o_orderkey", raw.alias("price")))
+    return six(out, "price")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey::DOUBLE END AS reading, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders")
+def clean_tokens(spark, sf_dir):
+    src = orders(spark, sf_dir).select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, "*").otherwise(F.col("o_orderkey").cast("string")).alias("reading"), F.when(F.col("o_orderkey") % 13 == 0, "unknown").otherwise(F.col("o_orderpriority")).alias("priority"))
+    return clean.clean(src, ["unknown"])[0]
+
+
+# Design report, order
+
+
+PLAN_SQL = "WITH o AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority <> '1-URGENT'), p AS (SELECT * FROM (SELECT DISTINCT o_orderpriority FROM orders) CROSS JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS o_orderstatus))"
+
+
+def _plan(spark, sf_dir):
+    rows = orders(spark, sf_dir)
+    plan = rows.select("o_orderpriority").distinct().crossJoin(spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], ["o_orderstatus"]))
+    return rows.filter("o_orderstatus <> 'F' OR o_orderpriority <> '1-URGENT'"), plan
+
+
+@query(f"{PLAN_SQL} SELECT o_orderpriority, o_orderstatus FROM p EXCEPT SELECT o_orderpriority, o_orderstatus FROM o")
+def missing_combos(spark, sf_dir):
+    rows, plan = _plan(spark, sf_dir)
+    return design.missing_combos(rows, plan)
+
+
+@query(f"{PLAN_SQL} SELECT count(*) FILTER (o.o_orderstatus IS NOT NULL) AS observed, count(*) AS planned, {R6('count(*) FILTER (o.o_orderstatus IS NOT NULL) * 1.0 / count(*)')} AS coverage FROM p LEFT JOIN o USING (o_orderpriority, o_orderstatus)")
+def coverage(spark, sf_dir):
+    rows, plan = _plan(spark, sf_dir)
+    return six(design.coverage(rows.groupBy(*plan.columns).agg(F.count("*").alias("N_kt")), plan), "coverage")
+
+
+@query("SELECT 'o_orderpriority' AS factor, max(c) <= 1 AS nested FROM (SELECT count(DISTINCT o_orderpriority) AS c FROM orders GROUP BY strftime(o_orderdate, '%Y-%m')) UNION ALL SELECT 'year', max(c) <= 1 FROM (SELECT count(DISTINCT year(o_orderdate)) AS c FROM orders GROUP BY strftime(o_orderdate, '%Y-%m'))")
+def nested_in_time(spark, sf_dir):
+    return design.nested_in_time(orders(spark, sf_dir).withColumn("year", F.substring("month", 1, 4)), ["o_orderpriority", "year"], "month")
+
+
+@query(f"WITH {O_CTE} SELECT count(DISTINCT k) AS K, count(DISTINCT t) AS T, count(*) AS R, sum(n)::BIGINT AS N, min(n) AS n_min, {R6('quantile_cont(n, 0.5)')} AS n_median, max(n) AS n_max, count(*) FILTER (n = 1) AS n_single, sum(n - 1)::BIGINT AS df_within, count(DISTINCT k) * count(DISTINCT t) - count(*) AS empty FROM c")
+def design_report(spark, sf_dir):
+    return six(design.report(prepare.prepare(orders(spark, sf_dir), ORDERS).cells, ORDERS), "n_median")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_type, CAST(ts AS DATE), event_id) - 1 AS sort_key FROM events WHERE value IS NOT NULL")
+def canonical_order(spark, sf_dir):
+    rows = prepare.canonical(prepare.tidy(events(spark, sf_dir), EVENTS), EVENTS)
+    return rows.select(F.col("obs_id").alias("event_id"), "sort_key")
+
+
+@query("WITH p AS (SELECT event_type, value, row_number() OVER (ORDER BY CAST(ts AS DATE), event_type, event_id) - 1 AS position FROM events WHERE value IS NOT NULL), l AS (SELECT *, lag(event_type) OVER (ORDER BY position) AS before FROM p) SELECT position, event_type AS label FROM l WHERE before <> event_type")
+def lane_boundaries(spark, sf_dir):
+    rows = positions(events(spark, sf_dir).filter("value IS NOT NULL"), [], ["day", "event_type"], ["event_id"], "position")
+    return charts.lane_boundaries(rows, [], "position", F.col("event_type"))
+
+
+@query(f"SELECT n, {R6(C4.format(n='n'))} AS c4 FROM (SELECT unnest(range(2, 400)) AS n)")
+def c4_constants(spark, sf_dir):
+    return six(spark.range(2, 400).select(F.col("id").alias("n"), c4_col(F.col("id")).alias("c4")), "c4")
+
+
+@query("SELECT p_brand, row_number() OVER (ORDER BY length(p_brand), p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
+def natural_sort(spark, sf_dir):
+    levels = table(spark, sf_dir, "part").select("p_brand").distinct().withColumn("key", prepare.natural_key(F.col("p_brand")))
+    ranked = positions(levels, [], [], ["key"], "place")
+    return ranked.select("p_brand", (F.col("place") + 1).alias("place"))
