@@ -76,8 +76,8 @@ def test_undefined_r2_warns_and_withdraws(spark):
 def test_stratified_equals_a_study_of_the_stratum(spark):
     df = readers.synthetic(spark, 1, seed=5)
     study = Process(df).formulate("y", ["factor 1"], "time", obs_id="obs_id")
-    got = {r["obs_id"]: (r["center"], r["lpl"], r["upl"]) for r in study.execute("X", by=["factor 1"]).focus(**{"factor 1": "A1"}).get_chart().data.collect()}
-    alone = Process(df.filter("`factor 1` = 'A1'")).formulate("y", [], "time", obs_id="obs_id").execute("X")
+    got = {r["obs_id"]: (r["center"], r["lpl"], r["upl"]) for r in study.execute("X", by=["factor 1"]).focus(**{"factor 1": "F1_1"}).get_chart().data.collect()}
+    alone = Process(df.filter("`factor 1` = 'F1_1'")).formulate("y", [], "time", obs_id="obs_id").execute("X")
     assert got == {r["obs_id"]: (r["center"], r["lpl"], r["upl"]) for r in alone.get_chart().data.collect()}
 
 
@@ -161,9 +161,9 @@ def test_derivations(spark):
 
 def test_plan_and_report(spark):
     df = readers.synthetic(spark, 1, seed=2, k1=2, k2=1, periods=4)
-    study = Process(df).formulate("y", ["factor 1"], "time", plan={"factors": {"factor 1": ["A1", "A2", "A3"]}, "T": 4, "N": 2}, obs_id="obs_id")
+    study = Process(df).formulate("y", ["factor 1"], "time", plan={"factors": {"factor 1": ["F1_1", "F1_2", "F1_3"]}, "T": 4, "N": 2}, obs_id="obs_id")
     assert study.plan_design_state.code == 1
-    assert [r[0] for r in study.missing_combos().collect()] == ["A3"]
+    assert [r[0] for r in study.missing_combos().collect()] == ["F1_3"]
     assert study.design().first()["K"] == 2
     assert study.support().count() == 23
 

@@ -74,7 +74,7 @@ def make_design(state: int, k1: int = 3, k2: int = 2, periods: int = 8, n_min: i
         empty = {c for c in range(len(cells)) if rng.random() < p_empty} or {0}
     rows = []
     for c, (i, j, t) in enumerate(cells):
-        names = (t + 1, f"A{i + 1}", f"B{j + 1}")
+        names = (t + 1, f"F1_{i + 1}", f"F2_{j + 1}")
         if c in empty:
             rows.append((*names, None))
             continue
