@@ -15,12 +15,10 @@ from variq.functions.limits import D4, E2, b3_col, b4_col, beyond, c4_col, round
 from variq.operators.ordered import over_stream
 
 
-def subgroups(rows: DataFrame, by: list[str], value: str, limits: str | None = None, point: str | None = None) -> DataFrame:
-    """One row a subgroup: xbar, s and n. s and n come from the limits column; point names a column that is constant
-    in a subgroup and is plotted instead of the row mean."""
+def subgroups(rows: DataFrame, by: list[str], value: str, limits: str | None = None) -> DataFrame:
+    """One row a subgroup: xbar, s and n. s and n come from the limits column."""
     limits = limits or value
-    xbar = F.first(point, ignorenulls=True) if point else F.avg(value)
-    return rows.groupBy(*by).agg(xbar.alias("xbar"), F.stddev_samp(limits).alias("s"), F.count(limits).alias("n")).filter("n > 0")
+    return rows.groupBy(*by).agg(F.avg(value).alias("xbar"), F.stddev_samp(limits).alias("s"), F.count(limits).alias("n")).filter("n > 0")
 
 
 def fit(sub: DataFrame, strata: list[str]) -> DataFrame:

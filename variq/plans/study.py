@@ -98,6 +98,7 @@ class State:
 class Study:
     def __init__(self, data: DataFrame, spec: FormulationSpec, plan: dict | None = None, calibrations: dict[str, Calibration] | None = None):
         self.data, self.spec, self.plan, self.calibrations = data, spec, plan, calibrations or {}
+        self.base = prepare.tidy(data, spec)  # all that charts of the response need: no means are joined to rows
         self.frame = frame = prepare.prepare(data, spec, persist=True)
         self._ads = self._ods = None
         self.r2_unavailable: str | None = None
@@ -300,9 +301,9 @@ class Study:
 
     def _value(self, q: ChartRequest) -> tuple[DataFrame, str, str]:
         """Rows, the plotted column and the column that limits come from."""
-        rows = self.frame.rows
         if q.value is None:
-            return rows, self.spec.response, self.spec.response
+            return self.base, self.spec.response, self.spec.response
+        rows = self.frame.rows
         if q.value == "R6":
             by = [c for c in q.by or () if c in self.spec.factors] or (list(self.spec.factors) if len(self.spec.factors) == 1 else [])
             if not by:
@@ -324,21 +325,21 @@ class Study:
             keys = self.frame.keys
             if not keys:
                 raise ChartNotAvailableError(q.chart, "it needs factors or a time")
-            point = "Ybar_kt" if response else None
             label = "group" if not by else "subgroup"
             label = label if len(keys) > 1 else None
         elif by == factors:
-            keys, point = (["rsg"], "Ybar_k" if response else None)
+            keys, point = ["rsg"], "Ybar_k" if response else None
         else:
             keys, label = by, "subgroup" if len(by) > 1 else None
         if q.phased:
             strata = [c for c in by if c != time]
             keys, point, label = by, None, "subgroup"
-        if point and point not in rows.columns:
-            point = None
-        sub = charts.subgroups(rows, keys, value, basis, point)
+        sub = charts.subgroups(rows, keys, value, basis)
+        if point:  # a condition's point is the unweighted mean of its cell means
+            means = self.frame.cells.select(prepare.label(self.frame.cells, factors, spec.delimiter).alias("rsg"), point).distinct()
+            sub = sub.join(means, "rsg").withColumn("xbar", F.col(point)).drop(point)
         center = None
-        if not strata and response and "Ybar" in rows.columns and spec.factors and time:
+        if not strata and response and spec.factors and time:
             center = F.col("_center")
             sub = sub.crossJoin(self.frame.cells.agg(F.first("Ybar").alias("_center")))
         if not strata and q.value in EFFECT_RESIDUALS or (not strata and q.value == "R2"):
