@@ -125,3 +125,22 @@ def report(cells: DataFrame, spec: FormulationSpec) -> DataFrame:
         F.count("*").alias("R"), F.sum("n").alias("N"), F.min("n").alias("n_min"), F.percentile("n", F.lit(0.5)).alias("n_median"), F.max("n").alias("n_max"), F.count_if(F.col("n") == 1).alias("n_single"), F.sum(F.col("n") - 1).alias("df_within"),
     )
     return out.withColumn("empty", F.col("K") * F.col("T") - F.col("R"))
+
+
+def level_report(cells: DataFrame, levels: dict[str, list]) -> DataFrame:
+    """(factor, level, planned, observed) of every planned or observed level of each planned factor."""
+    spark, out = cells.sparkSession, None
+    for name, values in levels.items():
+        plan = spark.createDataFrame([(str(v),) for v in values], "level string").withColumn("planned", F.lit(True))
+        seen = cells.select(F.col(name).cast("string").alias("level")).distinct().withColumn("observed", F.lit(True))
+        one = plan.join(seen, "level", "full").select(F.lit(name).alias("factor"), "level", F.coalesce("planned", F.lit(False)).alias("planned"), F.coalesce("observed", F.lit(False)).alias("observed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def adherence(cells: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """One row: planned cells, those with at least n readings, with fewer, with none, and what would mend it."""
+    both = plan.distinct().join(cells.select(*plan.columns, "n"), plan.columns, "left").fillna(0, subset=["n"])
+    out = both.agg(F.count("*").alias("planned"), F.count_if(F.col("n") >= n).alias("complete"), F.count_if((F.col("n") > 0) & (F.col("n") < n)).alias("short"), F.count_if(F.col("n") == 0).alias("empty"), F.sum(F.greatest(F.lit(n) - F.col("n"), F.lit(0))).alias("readings_missing"))
+    text = F.when(F.col("readings_missing") == 0, "none needed").otherwise(F.concat(F.lit("collect "), F.col("readings_missing").cast("string"), F.lit(" readings in "), (F.col("short") + F.col("empty")).cast("string"), F.lit(" cells")))
+    return out.withColumn("remediation", text)

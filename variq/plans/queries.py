@@ -584,3 +584,14 @@ def natural_sort(spark, sf_dir):
     levels = table(spark, sf_dir, "part").select("p_brand").distinct().withColumn("key", prepare.natural_key(F.col("p_brand")))
     ranked = positions(levels, [], [], ["key"], "place")
     return ranked.select("p_brand", (F.col("place") + 1).alias("place"))
+
+
+@query(f"{PLAN_SQL} SELECT count(*) AS planned, count(*) FILTER (n >= 900) AS complete, count(*) FILTER (n > 0 AND n < 900) AS short, count(*) FILTER (n = 0) AS empty, sum(greatest(900 - n, 0))::BIGINT AS readings_missing, CASE WHEN sum(greatest(900 - n, 0)) = 0 THEN 'none needed' ELSE 'collect ' || sum(greatest(900 - n, 0))::BIGINT || ' readings in ' || count(*) FILTER (n < 900) || ' cells' END AS remediation FROM (SELECT p.*, coalesce(n, 0) AS n FROM p LEFT JOIN (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority <> '1-URGENT' GROUP BY ALL) USING (o_orderpriority, o_orderstatus))")
+def plan_adherence(spark, sf_dir):
+    rows, plan = _plan(spark, sf_dir)
+    return design.adherence(rows.groupBy(*plan.columns).agg(F.count("*").alias("n")), plan, 900)
+
+
+@query("SELECT 'o_orderstatus' AS factor, coalesce(p.level, o.level) AS level, p.level IS NOT NULL AS planned, o.level IS NOT NULL AS observed FROM (SELECT unnest(['F', 'O', 'X']) AS level) p FULL JOIN (SELECT DISTINCT o_orderstatus AS level FROM orders) o ON p.level = o.level")
+def plan_levels(spark, sf_dir):
+    return design.level_report(orders(spark, sf_dir), {"o_orderstatus": ["F", "O", "X"]})

@@ -200,6 +200,16 @@ class Study:
         plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None)
         return design.extra_combos(self.frame.cells, plan)
 
+    def levels(self) -> DataFrame:
+        """Planned and observed levels of each planned factor."""
+        return design.level_report(self.frame.cells, self.plan["factors"])
+
+    def plan_adherence(self) -> DataFrame:
+        """Over planned conditions (all periods together): complete, short and empty ones, and what would mend it."""
+        plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None)
+        cells = self.frame.cells.groupBy(*self.plan["factors"]).agg(F.sum("n").alias("n"))
+        return design.adherence(cells, plan, self.plan["N"] * self.plan["T"])
+
     # Analyses of one row
 
     def capability(self, lsl=None, usl=None, target=None, window: tuple | None = None) -> DataFrame:
