@@ -23,7 +23,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
-    return substrings.remove_repeats(_store.documents(spark, sf_dir))
+    return substrings.remove_repeats(_store.documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,27 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLE = {"op8_source_mix": SQL8}
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+SQL3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+SQL5 = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS.format(text="text")}, []) AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM v) WHERE first < doc_id),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM f),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.i) AS kept, count(*) AS n FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.i = c.i WHERE c.i IS NULL GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE = {"op3_jaccard_join": SQL3, "op5_substring_dedup": SQL5, "op8_source_mix": SQL8}
