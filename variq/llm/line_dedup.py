@@ -49,9 +49,12 @@ def _bands(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     classes = lines.groupBy("cls").agg(F.first("line").alias("line")).select("cls", F.col("line").cast("binary").alias("raw"))
     each = classes.select("cls", "raw", F.explode(_shingle_starts(F.col("raw"), k)).alias("i"))
     hashed = each.select("cls", F.xxhash64(F.substring("raw", F.col("i"), F.lit(k))).alias("h"))
-    bins = hashed.groupBy("cls", F.pmod("h", F.lit(bands * rows)).alias("bin")).agg(F.min("h").alias("h"))
-    band = bins.groupBy("cls", F.floor(F.col("bin") / rows).alias("band")).agg(F.bit_xor(F.xxhash64("bin", "h")).alias("h"))
-    return band.select(F.xxhash64("band", "h").alias("key"), "cls")
+    # The high half of a hash, scaled to the number of bins; a band's bins are columns of one aggregate.
+    slot = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(bands * rows).cast("long"), 32)
+    placed = hashed.select("cls", "h", slot.alias("slot")).select("cls", "h", F.floor(F.col("slot") / rows).cast("int").alias("band") if rows & (rows - 1) else F.shiftright("slot", rows.bit_length() - 1).cast("int").alias("band"), F.col("slot"))
+    least = [F.min(F.when(F.col("slot") == F.col("band") * rows + r, F.col("h"))).alias(f"m{r}") for r in range(rows)]
+    band = placed.groupBy("cls", "band").agg(*least)
+    return band.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0).cast("long")) for r in range(rows)]).alias("key"), "cls")
 
 
 def similar_lines(docs: DataFrame, tables: Tables, *, doc_id: str, text: str, k: int, similar: float, bands: int, rows: int) -> DataFrame:
