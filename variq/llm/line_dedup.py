@@ -67,9 +67,11 @@ def similar_lines(docs: DataFrame, tables: Tables, *, doc_id: str, text: str, k:
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     texts = tables.save(lines.groupBy("cls").agg(F.first("line").alias("line")).join(wanted, "cls", "left_semi").select("cls", F.col("line").cast("binary").alias("raw")), "texts")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("raw").alias("y")), "b")
-    sets = both.select("a", "b", _shingles(F.col("x"), k).alias("x"), _shingles(F.col("y"), k).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    out = sets.withColumn("both", common).filter(F.col("both") >= F.lit(similar) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    # Sets come out of a generator: a filter is pushed below a projection, and would then make every set twice.
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x"), k).alias("x"), _shingles(F.col("y"), k).alias("y")))).alias("s"))
+    percent = round(100 * similar)
+    common, total = F.size(F.array_intersect("s.x", "s.y")), F.size("s.x") + F.size("s.y")
+    out = sets.filter((100 + percent) * common >= percent * total).select("a", "b")
     return tables.save(out, "links")
 
 
