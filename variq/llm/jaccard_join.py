@@ -67,10 +67,20 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
 
 
-def folded(points: list[np.ndarray]) -> np.ndarray:
-    """Points on the fewest groups that any of them has: group j of a finer point lies in group j mod g."""
-    g = min(len(p) for p in points)
-    return np.stack([p if len(p) == g else p.reshape(-1, g).sum(0, dtype=np.uint16) for p in points])
+def tiers(points: list[np.ndarray], sizes: np.ndarray, percent: int):
+    """(members, their points on one number of groups) such that any two that can link are together in one tier.
+
+    A tier has all points of one number of groups and those finer ones that are near enough in size to link with them;
+    the latter are folded (group j of a finer point lies in group j mod g). Larger sets stay on their finer points,
+    on which unrelated ones look different.
+    """
+    own = np.array([len(p) for p in points])
+    for g in np.unique(own):
+        at = np.flatnonzero(own == g)
+        finer = np.flatnonzero((own > g) & (percent * sizes <= 100 * sizes[at].max()))
+        at = np.concatenate([at, finer])
+        if len(at) > 1:
+            yield at, np.stack([points[i] if own[i] == g else points[i].reshape(-1, g).sum(0, dtype=np.uint16) for i in at])
 
 
 class CountTree:
@@ -112,7 +122,18 @@ class CountTree:
 
 def joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """The smallest index of each item's component. Items link when their bound allows it or, given sets, when verified."""
-    tree = CountTree(folded(points), sizes, percent)
+    label = np.arange(len(sizes))
+    for at, flat in tiers(points, sizes, percent):
+        root = _joined(flat, sizes[at], percent, [sets[i] for i in at] if sets else None)
+        for i in np.flatnonzero(root != np.arange(len(root))):
+            a, b = label[at[i]], label[at[root[i]]]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+    return label
+
+
+def _joined(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> np.ndarray:
+    tree = CountTree(points, sizes, percent)
     label = np.arange(len(sizes))
     held = [sets[k] for k in tree.order] if sets else None
     for k in range(len(sizes)):
@@ -235,16 +256,16 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
         for names, points in runs:
             sizes = np.array([int(p.sum()) for p in points])
             if len(names) <= SMALL:
-                flat = folded(points).astype(np.int32)
-                i, j = np.triu_indices(len(names), 1)
-                fit = np.minimum(flat[i], flat[j]).sum(1) >= needed(sizes[i], sizes[j], percent)
-                i, j = i[fit], j[fit]
+                for at, flat in tiers(points, sizes, percent):
+                    i, j = np.triu_indices(len(at), 1)
+                    fit = np.minimum(flat[i], flat[j]).sum(1, dtype=np.int64) >= needed(sizes[at[i]], sizes[at[j]], percent)
+                    a += [names[x] for x in at[i[fit]]]
+                    b += [names[x] for x in at[j[fit]]]
             else:
                 j = joined(points, sizes, percent)
                 i = np.flatnonzero(j != np.arange(len(j)))
-                j = j[i]
-            a += [names[x] for x in i]
-            b += [names[x] for x in j]
+                a += [names[x] for x in i]
+                b += [names[x] for x in j[i]]
         pairs = list({(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)})
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
 
@@ -270,41 +291,50 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
 
 
 def _verified_links(members: DataFrame, docs: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
-    """(a, b): verified links of each cluster (or pair of blocks of one), one a class at most."""
+    """(a, b): verified links of each cluster (or pair of blocks of one), one a class at most.
 
-    def sets(batches):
-        for batch in _text.chunks(batches, "text"):
-            found = shingle_sets(batch.column("text"), k)
-            ok = [class_of(s) == c for s, c in zip(found, batch.column("cls").to_pylist(), strict=True)]
-            keep = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column("cluster"), keep.column("i"), keep.column("j"), keep.column("cls"), pa.array([s.tobytes() for s, x in zip(found, ok, strict=True) if x], pa.binary())], ["cluster", "i", "j", "cls", "hashes"])
+    Texts travel, not sets: they are smaller and compress. A row whose text isn't of the class (ids can repeat) goes.
+    """
 
     def verify(batches):
-        now, held = None, {}
+        now, held, size = None, [], 0
+        sets: dict[bytes, np.ndarray] = {}
+
+        def hash_held():
+            found = shingle_sets(pa.array([x for _, x in held], pa.large_string()), k)
+            sets.update({c: s for (c, _), s in zip(held, found, strict=True) if c not in sets and class_of(s) == c})
+            held.clear()
 
         def done():
-            names, found = list(held), list(held.values())
+            hash_held()
+            names, found = list(sets), list(sets.values())
+            sets.clear()
             if len(names) < 2:
                 return
             root = joined([point(s) for s in found], np.array([len(s) for s in found]), percent, found)
             at = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in at], pa.binary()), pa.array([names[root[x]] for x in at], pa.binary())], ["a", "b"])
 
-        for batch in batches:
-            for *key, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "cls", "hashes")), strict=True):
+        for batch in _text.chunks(batches, "text"):
+            for *key, cls, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "cls", "text")), strict=True):
                 if key != now:
                     yield from done()
-                    now, held = key, {}
-                held[cls] = np.frombuffer(raw, np.uint64)
+                    now, size = key, 0
+                held.append((cls, text))
+                size += len(text or "")
+                if size > 4 << 20:
+                    hash_held()
+                    size = 0
         yield from done()
 
     one = F.min("doc_id").alias("doc_id")
-    texts = docs.join(members.groupBy("cls", "cluster", "i", "j").agg(one), "doc_id").select("cluster", "i", "j", "cls", "text")
-    found = texts.mapInArrow(sets, "cluster binary, i int, j int, cls binary, hashes binary")
-    return found.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a binary, b binary")
+    wanted = members.groupBy("cls", "cluster", "i", "j").agg(one)
+    # Merged at every size, as large inputs are: the cost then stays in proportion to the input.
+    texts = docs.hint("merge").join(wanted, "doc_id").select("cluster", "i", "j", "cls", "text")
+    return texts.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a binary, b binary")
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 2048, partitions: int | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 1024, partitions: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links of at least `percent` similarity)."""
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
