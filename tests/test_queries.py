@@ -24,11 +24,22 @@ def rows(pdf):
     return cols, sorted(tuple(show(v) for v in r) for r in pdf[cols].astype(object).values.tolist())
 
 
+def short(row):
+    """Numbers on five digits: sums in another order differ in the last ones."""
+
+    def one(x):
+        try:
+            return f"{float(x):.5g}"
+        except ValueError:
+            return x
+
+    return tuple(map(one, row))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_query(spark, duck, name):
     got, want = rows(q.QUERIES[name](spark, SF).toPandas()), rows(duck.sql(q.ORACLE[name]).df())
     assert got[0] == want[0]
-    num = lambda r: tuple(f"{float(x):.5g}" if x.replace(".", "").replace("-", "").replace("e", "").replace("+", "").isdigit() else x for x in r)
-    assert sorted(map(num, got[1])) == sorted(map(num, want[1]))
+    assert sorted(map(short, got[1])) == sorted(map(short, want[1]))
     spark.catalog.clearCache()
