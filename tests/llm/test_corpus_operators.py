@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,20 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_one_template(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for i in range(400):
+        head, tail = "2024-05-01 warning from the storage service of the eastern volume ", word(10)
+        lines += [head + tail] + ([head + tail[:3] + word(7)] if i % 8 == 0 else [])
+    rng.shuffle(lines)
+    grams = {i: {x[j : j + 8] for j in range(len(x) - 7)} for i, x in enumerate(lines)}
+    want = {i for i, root in brute_components(grams, 80).items() if i != root}
+    got = {r["doc_id"] for r in line_dedup.duplicate_lines(frame(spark, [(i, x, None, None) for i, x in enumerate(lines)])).collect()}
+    assert len(want) > 50 and got == want
+
+
 def test_mixing(spark):
     rows = corpus(n=200)
     mixed = mixing.mix_sources(frame(spark, rows).withColumn("target", F.lit("clash")))

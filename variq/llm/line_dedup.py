@@ -4,10 +4,12 @@
    are pre-aggregated before they are shuffled, so a line in a third of all rows costs a row a task.
 2. Signature: every shingle of `k` UTF-8 bytes is hashed once, the hash picks one of bands x rows bins, a bin keeps its
    smallest hash (one-permutation MinHash; a bin without a shingle counts as empty on both sides).
-3. Banding: classes that agree on all bins of a band (empty bands aside) meet; each is paired with the first of the
-   bucket and with its neighbour in it, so a bucket gives at most two pairs a class.
-4. Pairs are verified by the exact Jaccard similarity of their shingle sets.
-5. Distributed union-find joins verified pairs; of each component the first line (smallest id, then position) stays.
+3. Banding: classes that agree on all bins of a band (empty bands aside) meet; each is first paired with the first of
+   the bucket and with its neighbour in it.
+4. Pairs are verified by the exact Jaccard similarity of their shingle sets; distributed union-find joins them.
+5. Classes of buckets of four or more that still mix components are compared with all such classes of other components
+   that can be similar (prefixes of shingles from the rarest on, an exact filter), verified and joined in the same way.
+6. Of each component the first line (smallest id, then position) stays.
 
 With 12 bands of 4 rows two lines of similarity 0.8 meet with probability 0.998, of 0.9 with more than 0.99999.
 
@@ -57,27 +59,64 @@ def _bands(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return band.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0).cast("long")) for r in range(rows)]).alias("key"), "cls")
 
 
-def similar_lines(docs: DataFrame, tables: Tables, *, doc_id: str, text: str, k: int, similar: float, bands: int, rows: int) -> DataFrame:
-    """(a, b): verified pairs of classes."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough."""
+    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("raw").alias("y")), "b")
+    sets = both.select("a", "b", _shingles(F.col("x"), k).alias("x"), _shingles(F.col("y"), k).alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return sets.withColumn("both", common).filter(F.col("both") >= F.lit(similar) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+
+
+def _prefix_pairs(mixed: DataFrame, texts: DataFrame, tables: Tables, k: int, similar: float) -> DataFrame:
+    """(a, b): all pairs of different roots among `mixed` (cls, root) that can be similar enough; misses none that is.
+
+    Shingles are ordered from the rarest to the commonest here. Two similar sets share one of the first n - similar * n
+    + 1 of each, and behind the first that they share enough have to be left.
+    """
+    each = tables.save(mixed.join(texts, "cls").select("cls", "root", F.explode(_shingles(F.col("raw"), k)).alias("h")), "shingles")
+    often = each.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = each.join(often, "h", "left").groupBy("cls", "root").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), F.col("h").alias("h")))).alias("sets"))
+    n = F.size("sets")
+    prefix = ranked.select("cls", "root", n.alias("n"), F.posexplode(F.slice("sets", F.lit(1), (n - F.ceil(n * similar - 1e-6) + 1).cast("int"))).alias("at", "s"))
+    prefix = tables.save(prefix.filter("s.often > 1").select("cls", "root", "n", "at", F.col("s.h").alias("h")), "prefix")
+    # A root's members under a shingle are lists, so that pairs within a root are never made.
+    several = prefix.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    lists = prefix.join(several, "h", "left_semi").groupBy("h", "root", F.pmod("cls", F.lit(64)).alias("block")).agg(F.collect_list(F.struct("cls", "n", "at")).alias("of"))
+    x, y = lists.select("h", F.col("root").alias("r"), F.col("of").alias("xs")), lists.select("h", F.col("root").alias("q"), F.col("of").alias("ys"))
+    met = x.join(y, "h").filter("r < q").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (similar / (1 + similar)) - 1e-6
+    return met.filter(enough).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
+
+
+def line_groups(docs: DataFrame, tables: Tables, *, doc_id: str, text: str, k: int, similar: float, bands: int, rows: int) -> DataFrame:
+    """(node, root): the classes that have a similar one, with the smallest class of their component."""
     lines = _lines(docs, doc_id, text)
-    met = Window.partitionBy("key").orderBy("cls")
-    seen = _bands(lines, k, bands, rows).select("cls", F.first("cls").over(met.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("cls").over(met).alias("before"))
-    pairs = seen.filter("before is not null").select("cls", F.explode(F.array_distinct(F.array("head", "before"))).alias("other")).filter("cls <> other").select(F.greatest("cls", "other").alias("a"), F.least("cls", "other").alias("b"))
+    order = Window.partitionBy("key").orderBy("cls")
+    seen = _bands(lines, k, bands, rows).select("key", "cls", F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("cls").over(order).alias("before"), F.row_number().over(order).alias("place"))
+    met = tables.save(seen.filter("before is not null"), "met")
+    pairs = met.select("cls", F.explode(F.array_distinct(F.array("head", "before"))).alias("other")).filter("cls <> other").select(F.greatest("cls", "other").alias("a"), F.least("cls", "other").alias("b"))
     pairs = tables.save(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     texts = tables.save(lines.groupBy("cls").agg(F.first("line").alias("line")).join(wanted, "cls", "left_semi").select("cls", F.col("line").cast("binary").alias("raw")), "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("raw").alias("y")), "b")
-    sets = both.select("a", "b", _shingles(F.col("x"), k).alias("x"), _shingles(F.col("y"), k).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    out = sets.withColumn("both", common).filter(F.col("both") >= F.lit(similar) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-    return tables.save(out, "links")
+    roots = components(tables.save(_verified(pairs, texts, k, similar), "links"), tables)
+    # Buckets of up to three are settled by these pairs; of larger ones, those that still mix components are not.
+    large = met.filter("place = 4").select("key")
+    members = met.join(large, "key", "left_semi").select("key", F.explode(F.array("head", "cls")).alias("cls")).distinct()
+    members = tables.save(members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root")), "members")
+    open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    mixed = tables.save(members.join(open_keys, "key", "left_semi").select("cls", "root").distinct(), "mixed")
+    more = _verified(tables.save(_prefix_pairs(mixed, texts, tables, k, similar), "pairs"), texts, k, similar)
+    of = mixed.select("cls", "root")
+    bonds = more.join(of.select(F.col("cls").alias("a"), F.col("root").alias("u")), "a").join(of.select(F.col("cls").alias("b"), F.col("root").alias("v")), "b").select("u", "v")
+    tops = components(tables.save(bonds.distinct(), "bonds"), tables, "u", "v")
+    joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return joined.unionByName(tops.join(roots, "node", "left_anti"))
 
 
 def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, at): the lines that a sooner line of their component makes superfluous."""
     tables = Tables(docs.sparkSession, "lines")
-    links = similar_lines(docs, tables, doc_id=doc_id, text=text, k=k, similar=similar, bands=bands, rows=rows)
-    roots = components(links, tables)
+    roots = line_groups(docs, tables, doc_id=doc_id, text=text, k=k, similar=similar, bands=bands, rows=rows)
     lines = _lines(docs, doc_id, text).select("doc_id", "at", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "at", F.coalesce("root", "cls").alias("root"))
     lines = tables.save(lines, "roots")
     place = F.struct("doc_id", "at")
