@@ -108,6 +108,16 @@ def test_licenses(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_licenses_repeated_line_on_line():
+    notice = license_scan.TEMPLATES["MIT-notice"]
+    index = license_scan.Index(license_scan.TEMPLATES | {"own": "alpha beta gamma delta"})
+    for line, name, n in ((notice, "MIT-notice", 3), (notice, "MIT-notice", 400), ("alpha beta gamma delta", "own", 50), (license_scan.TEMPLATES["MIT"], "MIT", 3)):
+        text = "\n".join([line] * n)
+        size = len(line.rstrip("."))
+        want = [(name, k * (len(line) + 1), k * (len(line) + 1) + size, 1.0) for k in range(n)]
+        assert license_scan.find(index, pa.array([text]), 0.8)[0] == want
+
+
 def test_winnowing_guarantee():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]

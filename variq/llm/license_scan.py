@@ -3,7 +3,8 @@
 Words are runs of letters and digits, A-Z lower-cased. Every K consecutive words are hashed; of each WINDOW consecutive
 hashes the smallest is a fingerprint, so K + WINDOW - 1 words in common always share one. An inverted index leads from
 a fingerprint to its places in the templates; hits of a text on neighbouring diagonals of one template are a candidate,
-whose words are aligned with the template's within a band. A match is reported if it covers enough of the template.
+whose words are aligned with the template's within a band, again on either side of each alignment while hits are left.
+A match is reported if it covers enough of the template.
 
 Edge cases: null, empty and word-free texts have no match; templates of fewer than K words are refused; of overlapping
 matches the one with most words stays, ties go to the sooner template; repeated rows agree; an empty table gives no
@@ -12,6 +13,8 @@ rows; input columns named like an output are replaced. Spans are in code points,
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,6 +120,22 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return best[1], best[2], best[3]
 
 
+def copies(hashes: np.ndarray, goal: np.ndarray, hits: np.ndarray, first: int, last: int, start: int, end: int, coverage: float) -> list[tuple[int, int, int]]:
+    """(words matched, start, end) of the disjoint copies of a template on diagonals first to last of a text [start, end)."""
+    half = (last - first) // 2
+    out, todo = [], [(max(start, first - BAND), min(end, last + len(goal) + BAND))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < coverage * len(goal) or not ((hits >= lo) & (hits < hi)).any():
+            continue
+        matched, s, e = align(hashes[lo:hi], goal, first + half - lo, BAND + half + (last - first) % 2)
+        if matched >= coverage * len(goal):
+            out.append((matched, lo + s, lo + e))
+        if matched:
+            todo += [(lo, lo + s), (lo + e, hi)]
+    return out
+
+
 def find(index: Index, texts: pa.Array, coverage: float) -> list[list[tuple[str, int, int, float]]]:
     """(template, start, end, share of its words matched) of each text."""
     data, offsets, starts, ends, doc, hashes = _words(texts)
@@ -141,17 +160,17 @@ def find(index: Index, texts: pa.Array, coverage: float) -> list[list[tuple[str,
     for a, b in zip(cut, np.append(cut[1:], len(word)), strict=True):
         k, t = int(d[a]), int(template[a])
         goal = index.words[t]
-        first = int(shift[a])
-        spread = int(shift[b - 1]) - first
-        lo, hi = max(base[k], first - BAND), min(base[k + 1], first + spread + len(goal) + BAND)
-        matched, s, e = align(hashes[lo:hi], goal, first + spread // 2 - lo, BAND + spread // 2)
-        if matched >= coverage * len(goal):
-            found.setdefault(k, []).append((matched, -t, lo + s, lo + e, matched / len(goal)))
+        # A copy's diagonals span less than its template's length: windows of twice that, overlapping by half, hold each.
+        for first in range(int(shift[a]), max(int(shift[b - 1]) - len(goal), int(shift[a]) + 1), len(goal)):
+            x, y = a + np.searchsorted(shift[a:b], [first, first + 2 * len(goal) + 1])
+            if x < y:
+                found.setdefault(k, []).extend((m, -t, s, e, m / len(goal)) for m, s, e in copies(hashes, goal, word[x:y], int(shift[x]), int(shift[y - 1]), base[k], base[k + 1], coverage))
     for k, matches in found.items():
         taken: list[tuple[int, int]] = []
         for _, t, s, e, share in sorted(matches, reverse=True):
-            if all(e <= x or s >= y for x, y in taken):
-                taken.append((s, e))
+            i = bisect.bisect_left(taken, (s, e))
+            if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+                taken.insert(i, (s, e))
                 out[k].append((index.names[-t], int(lead[starts[s]] - lead[offsets[k]]), int(lead[ends[e - 1]] - lead[offsets[k]]), share))
         out[k].sort(key=lambda x: (x[1], x[2]))
     return out
