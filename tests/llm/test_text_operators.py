@@ -118,6 +118,16 @@ def test_licenses_repeated_line_on_line():
         assert license_scan.find(index, pa.array([text]), 0.8)[0] == want
 
 
+def test_short_licenses_with_changed_words():
+    index = license_scan.Index(license_scan.TEMPLATES | {"own": "alpha beta gamma"})
+    for text, name, share in (("Released under an MIT License", "MIT-notice", 0.8), ("Distributed under the MIT 3-Clause License.", "BSD-3-Clause-notice", 6 / 7)):
+        (n, a, b, c), *rest = license_scan.find(index, pa.array(["so it is. " + text]), 0.8)[0]
+        assert (n, a, b, c, rest) == (name, 10, 10 + len(text.rstrip(".")), share, [])
+    for own in ("alpha beta gamma", "gamma alpha beta", "beta gamma alpha"):
+        assert len(license_scan.find(license_scan.Index({"own": own}), pa.array([" ".join([own] * 20)]), 0.8)[0]) == 20
+    assert license_scan.find(index, pa.array(["the the the under under license", "released under the"]), 0.8) == [[], []]
+
+
 def test_winnowing_guarantee():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]

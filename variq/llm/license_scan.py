@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits, A-Z lower-cased. Every K consecutive words are hashed; of each WINDOW consecutive
 hashes the smallest is a fingerprint, so K + WINDOW - 1 words in common always share one. An inverted index leads from
-a fingerprint to its places in the templates; hits of a text on neighbouring diagonals of one template are a candidate,
+a fingerprint to its places in the templates; templates of fewer than SHORT words are instead looked for word by word,
+wherever 2 n words of a text have enough of the n words of a template to cover it. Hits of a text on neighbouring diagonals of one template are a candidate,
 whose words are aligned with the template's within a band, again on either side of each alignment while hits are left.
 A match is reported if it covers enough of the template.
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from variq.llm import _text
 
-K, WINDOW, BAND = 3, 2, 6
+K, WINDOW, BAND, SHORT = 3, 2, 6, 8
 #: Public license notices and texts (opening or operative parts). Fixed values.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -90,6 +91,29 @@ class Index:
         self.place = order - base[self.template]
 
 
+def short_hits(index: Index, hashes: np.ndarray, doc: np.ndarray, coverage: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, template, place) of single words, where a text's words can cover a template of fewer than SHORT words."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    for t, goal in enumerate(index.words):
+        if len(goal) >= SHORT:
+            continue
+        width = 2 * len(goal)
+        enough = np.zeros(len(hashes), np.int64)
+        stop = np.minimum(np.arange(len(hashes)) + width, np.searchsorted(doc, doc, "right"))
+        for one, n in zip(*np.unique(goal, return_counts=True), strict=True):
+            total = np.concatenate([[0], np.cumsum(hashes == one)])
+            enough += np.minimum(total[stop] - total[:-1], n)
+        first = np.flatnonzero(enough >= coverage * len(goal))
+        live = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(live, first, 1)
+        np.add.at(live, stop[first], -1)
+        near = np.cumsum(live[:-1]) > 0
+        for place, one in enumerate(goal):
+            at = np.flatnonzero(near & (hashes == one))
+            out.append((at, np.full(len(at), t), np.full(len(at), place)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Words matched and the span [start, end) of text words of the best local alignment near diagonal `shift`.
 
@@ -141,15 +165,14 @@ def find(index: Index, texts: pa.Array, coverage: float) -> list[list[tuple[str,
     data, offsets, starts, ends, doc, hashes = _words(texts)
     out: list[list] = [[] for _ in range(len(texts))]
     at, grams = winnow(hashes, doc)
-    if not len(at):
-        return out
     lo = np.searchsorted(index.keys, grams[at], "left")
     count = np.searchsorted(index.keys, grams[at], "right") - lo
     hit = _text.ragged(lo, count)
-    word = np.repeat(at, count)
-    if not len(hit):
+    small, of, place = short_hits(index, hashes, doc, coverage)
+    word, template = np.concatenate([np.repeat(at, count), small]), np.concatenate([index.template[hit], of])
+    shift = word - np.concatenate([index.place[hit], place])
+    if not len(word):
         return out
-    template, shift = index.template[hit], word - index.place[hit]
     order = np.lexsort((shift, template, doc[word]))
     word, template, shift = word[order], template[order], shift[order]
     d = doc[word]
