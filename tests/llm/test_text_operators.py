@@ -193,6 +193,12 @@ def test_secret_field_on_lines_it_has_not_seen():
     assert right > 0.85 * (right + missed) and wrong < 0.1 * right
 
 
+def test_secrets_that_go_on_past_a_pattern():
+    token = "4641a659d51782ed8ee0ca58bYP7AKbdSwL"
+    text = f"é private key {token}"
+    assert secret_scan.find(secret_scan.trained(), pa.array([text]))[0] == [("hex", 14, 39), ("crf", 14, 14 + len(token))]
+
+
 def test_fingerprints(spark):
     rows = [r for r in corpus() if r[0] is not None][:-2]
     got = {r["doc_id"]: r for r in fingerprints.edited_pairs(frame(spark, rows), partitions=5).collect()}

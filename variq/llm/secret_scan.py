@@ -3,7 +3,7 @@
 The CRF tags tokens as outside, begin or inside of a secret. Its features are a code of the token's shape (length,
 digits, case, symbols, changes between letters and digits, known keywords), the codes of the neighbouring tokens and
 two features of the file; Viterbi decodes the best tags of the whole text. It is trained here, on sentences made by
-`examples`; pattern spans always stay and CRF spans that touch none of them are added with kind `crf`.
+`examples`; pattern spans always stay and CRF spans that they do not cover to the last byte are added whole, kind `crf`.
 
 Edge cases: null and empty texts have no spans; repeated rows get equal spans; an empty table gives no rows; input
 columns named like an output are replaced. Spans are in code points, end exclusive.
@@ -253,7 +253,7 @@ def find(field: Field, texts: pa.Array) -> list[list[tuple[str, int, int]]]:
         covered = np.concatenate([[0], np.cumsum(np.cumsum(taken)[:-1] > 0)])
         for a, b, d in zip(starts[begin], ends[stop - 1], doc[begin], strict=True):
             a, b = int(a) + d, int(b) + d
-            if covered[b] == covered[a]:
+            if covered[b] - covered[a] < b - a:
                 spans.append(("crf", a, b))
     lead = np.concatenate([[0], np.cumsum((wide & 0xC0) != 0x80)])
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(n)]
