@@ -1,9 +1,11 @@
 """Row-wise operators against plain versions."""
 
+import glob
 import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,25 @@ def test_media_ranges_and_damaged_members(spark, tmp_path):
         media.decode(b"nothing")
 
 
+def test_media_query_says_what_could_not_be_read(spark, tmp_path, monkeypatch):
+    from variq.llm import queries
+
+    frame(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
+    store = media.store
+
+    def damaged(docs, directory, **options):
+        out = store(docs, directory, **options).localCheckpoint()
+        archive = next(p for p in sorted(map(Path, glob.glob(directory.removeprefix("file://") + "/*.arc"))) if p.stat().st_size > 40)
+        raw = bytearray(archive.read_bytes())
+        raw[40] ^= 1
+        archive.write_bytes(raw)
+        return out
+
+    monkeypatch.setattr(media, "store", damaged)
+    bad = queries.op4_media_columns(spark, str(tmp_path)).filter("payload_sha256 is null").collect()
+    assert len(bad) == 1 and "damaged" in bad[0]["error"]
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT"]
     notice = license_scan.TEMPLATES["MIT-notice"]

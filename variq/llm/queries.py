@@ -63,8 +63,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
-    out = media.media_column(_store.documents(spark, sf_dir))
-    return out.drop("error")
+    return media.media_column(_store.documents(spark, sf_dir))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
