@@ -46,6 +46,13 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_viterbi_of_many_labels():
+    want = np.array([3, 130, 299, 128, 255, 0])
+    scores = np.zeros((len(want), 300))
+    scores[np.arange(len(want)), want] = 1
+    assert _text.viterbi(scores, np.array([4, 2]), np.zeros((300, 300))).tolist() == want.tolist()
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

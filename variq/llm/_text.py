@@ -173,11 +173,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> n
     size = counts[order]
     begin = (np.cumsum(counts) - counts)[order]
     steps = int(size[0]) if len(size) else 0
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     if not steps:
         return path
     active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
-    back = np.zeros((len(scores), labels), np.int8)
+    back = np.zeros((len(scores), labels), np.int16)
     k = int(active[0])
     best = scores[begin[:k]].copy()
     final = np.zeros((len(size), labels), scores.dtype)
