@@ -6,6 +6,7 @@ Everything works on the UTF-8 buffer of one bounded chunk of whole documents: no
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +17,18 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes or items that one hashing step covers; the power tables below are as long and never grow.
+HASH_BLOCK = 1 << 17
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2^64 (grown on demand, then kept)."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: int) -> np.ndarray:
+    run = np.full(HASH_BLOCK + 1, base % (1 << 64), np.uint64)
+    run[0] = 1
+    return np.multiply.accumulate(run)
+
+
+#: Powers of the hash base and of its inverse modulo 2^64.
+_UP, _DOWN = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,8 +41,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(batches, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: a worker stays alive beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def chunks(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most `limit` bytes of text each (or one longer row)."""
+    yield from _slices(batches, column, limit)
+    give_back()
+
+
+def _slices(batches, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -97,25 +111,69 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(~SPACE[data], offsets)
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums (from 0) of at most HASH_BLOCK values times the powers of the base."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _UP[: len(values)], out=total[1:])
+    return total
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The sum behind a span's hash, block by block."""
+    total, step = 0, pow(int(_BASE), HASH_BLOCK, 1 << 64)
+    for at in range((len(data) - 1) // HASH_BLOCK * HASH_BLOCK, -1, -HASH_BLOCK):
+        total = (total * step + int(_sums(data[at : at + HASH_BLOCK].astype(np.uint64) + np.uint64(1))[-1])) % (1 << 64)
+    return np.uint64(total)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal spans have equal hashes in every chunk."""
-    up, down = powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of the bytes of each span; equal spans have equal hashes in every chunk.
+
+    Works in blocks of at most HASH_BLOCK bytes, so beside the result it needs a few MB however long the text is.
+    """
+    out = np.empty(len(starts), np.uint64)
+    order = None
+    if len(starts) > 1 and ((starts[1:] < starts[:-1]).any() or (ends[1:] < ends[:-1]).any()):
+        order = np.argsort(ends, kind="stable")
+        starts, ends = starts[order], ends[order]
+    at = 0
+    while at < len(starts):
+        # Spans that end within a block of the first one's start; those that start sooner wait for a block of their own.
+        base = int(starts[at])
+        stop = at + int(np.searchsorted(ends[at:], base + HASH_BLOCK, "right"))
+        if order is not None and stop > at:
+            early = np.flatnonzero(starts[at:stop] < base)
+            stop = at + int(early[0]) if len(early) else stop
+        if stop == at:
+            out[at] = _long_hash(data[base : ends[at]])
+            at += 1
+            continue
+        total = _sums(data[base : ends[stop - 1]].astype(np.uint64) + np.uint64(1))
+        first = starts[at:stop] - base
+        out[at:stop] = (total[ends[at:stop] - base] - total[first]) * _DOWN[first]
+        at = stop
+    out = mix(out)
+    if order is not None:
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+    return out
 
 
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive items (fewer than k items: none)."""
+    """A 64-bit hash of each k consecutive items (fewer than k items: none), in blocks as span_hashes."""
     n = len(items) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(items) + 1)
-    total = np.empty(len(items) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(items * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n])
+    if k >= HASH_BLOCK:
+        raise ValueError(f"a window of {k} items; HASH_BLOCK is {HASH_BLOCK}")
+    out = np.empty(n, np.uint64)
+    step = HASH_BLOCK - k + 1
+    for at in range(0, n, step):
+        total = _sums(items[at : at + HASH_BLOCK])
+        m = min(step, n - at)
+        out[at : at + m] = (total[k : k + m] - total[:m]) * _DOWN[:m]
+    return mix(out)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
