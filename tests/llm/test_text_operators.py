@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import WORD, corpus, empty, frame
 from variq.llm import _text, fingerprints, langid, license_scan, media, pieces, secret_scan
 
-pytest.importorskip("public_tokenizers")
-
 
 def test_words_and_hashes_match_python():
     texts = ["a b\tc", None, "", "  x  ", "é y z", "a b\tc"]
@@ -31,6 +29,22 @@ def test_words_and_hashes_match_python():
     assert h[of == 0][0] == h[of == 5][0]
 
 
+def test_spans_hash_alike_wherever_they_lie():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 123, 5 * _text.HASH_BLOCK).astype(np.uint8)
+    data[-20:] = data[:20]
+    long = 3 * _text.HASH_BLOCK + 5
+    starts = np.array([0, 7, 0, len(data) - 20, _text.HASH_BLOCK - 3, 50, 50])
+    ends = np.array([20, 7, long, len(data), _text.HASH_BLOCK + 9, 90, 51])
+    got = _text.span_hashes(data, starts, ends)
+    assert got[0] == got[3] and len(set(got.tolist())) == 6
+    assert (got == [_text.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends, strict=True)]).all()
+    items = rng.integers(0, 1 << 62, 2 * _text.HASH_BLOCK).astype(np.uint64)
+    windows = _text.window_hashes(items, 13)
+    for i in (0, _text.HASH_BLOCK - 13, _text.HASH_BLOCK - 12, _text.HASH_BLOCK, len(items) - 13):
+        assert windows[i] == _text.window_hashes(items[i : i + 13], 13)[0]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     counts = np.array([3, 0, 5, 1])
@@ -54,6 +68,7 @@ def test_viterbi_of_many_labels():
 
 
 def test_pieces_equal_the_library(spark):
+    pytest.importorskip("public_tokenizers")
     import sentencepiece
 
     model = pieces.Pieces.load(pieces.default_model())
@@ -101,21 +116,29 @@ def test_media_ranges_and_damaged_members(spark, tmp_path):
         media.decode(b"nothing")
 
 
+def test_media_reads_committed_archives_only(spark, tmp_path):
+    where = f"file://{tmp_path}/m"
+    media.store(frame(spark, corpus()), where, archive=2000).collect()  # an attempt that is not accepted
+    media.commit(media.store(frame(spark, corpus()), where, archive=2000), where)
+    assert len(glob.glob(f"{tmp_path}/m/*.arc")) > 10
+    assert media.read(spark, where).count() == len(corpus())
+    assert media.media_column(empty(spark), f"file://{tmp_path}/e").count() == 0
+
+
 def test_media_query_says_what_could_not_be_read(spark, tmp_path, monkeypatch):
     from variq.llm import queries
 
     frame(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
-    store = media.store
+    commit = media.commit
 
-    def damaged(docs, directory, **options):
-        out = store(docs, directory, **options).localCheckpoint()
+    def damaged(stored, directory):
+        commit(stored, directory)
         archive = next(p for p in sorted(map(Path, glob.glob(directory.removeprefix("file://") + "/*.arc"))) if p.stat().st_size > 40)
         raw = bytearray(archive.read_bytes())
         raw[40] ^= 1
         archive.write_bytes(raw)
-        return out
 
-    monkeypatch.setattr(media, "store", damaged)
+    monkeypatch.setattr(media, "commit", damaged)
     bad = queries.op4_media_columns(spark, str(tmp_path)).filter("payload_sha256 is null").collect()
     assert len(bad) == 1 and "damaged" in bad[0]["error"]
 

@@ -1,11 +1,14 @@
 """Media columns: payloads in archives of the shared folder, read through a custom Spark data source.
 
-`store` writes each chunk of rows as one archive: members one after the other, and beside it an index of (offset,
-length, crc, id, unpadded bytes). A member is the payload as a losslessly compressed 8-bit grey image (PNG). Names come
-from the task's partition and the chunk, and a finished file is moved into place, so a retried task writes the same
-files again. The data source `variq_media` plans byte ranges over the archives of a directory, streams the members that
-start in a range as Arrow batches, and reads each member on its own: a failed read or a wrong checksum is tried again
-at that offset, then reported in `error` without harm to the others.
+`store` writes rows to archives of a target size: members one after the other, and beside it an index of (offset,
+length, crc, id, unpadded bytes). A member is the payload as a losslessly compressed 8-bit grey image (PNG). `commit`
+writes the list of the archives that accepted tasks made, so files of failed attempts are never read. The data source
+`variq_media` plans byte ranges over the listed archives of a directory, streams the members that start in a range as
+Arrow batches, and reads each member on its own: a failed read or a wrong checksum is tried again at that offset, then
+reported in `error` without harm to the others.
+
+A task holds about a megabyte of members at a time (or one longer member) on each side; JVM heap apart, its memory
+doesn't depend on the number of archives, members or planned ranges.
 
 Edge cases: null and empty texts store one block of zero bytes; equal texts give equal media; null ids and repeated
 rows are kept; an empty table gives no rows.
@@ -20,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ from variq.llm import _text
 from variq.llm._store import shared_dir
 
 BLOCK = 64
+#: The table of a directory's archives. A directory without it is listed instead.
+COMMITTED = "_committed"
 MEMBERS = "doc_id long, n_bytes long, member_offset long, media binary, error string"
 _ENTRY = np.dtype([("offset", "<i8"), ("length", "<i8"), ("crc", "<u4"), ("null", "u1"), ("doc_id", "<i8"), ("n_bytes", "<i8")])
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -76,37 +81,65 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def store(docs: DataFrame, directory: str, *, doc_id: str = "doc_id", text: str = "text", chunk: int = 8 << 20) -> DataFrame:
-    """Writes the archives; (archive, members, bytes) of each. Run it once, by an action, before reading."""
+class _Archive:
+    """One archive that is being written: members go straight to the open file, only the index is held."""
+
+    def __init__(self, where: fs.FileSystem, name: str):
+        self.where, self.name, self.at, self.index = where, name, 0, []
+        self.out = where.open_output_stream(f"{name}.arc.tmp")
+
+    def add(self, doc_id: int | None, raw: bytes) -> None:
+        media = encode(pad(raw))
+        self.out.write(media)
+        self.index.append((self.at, len(media), zlib.crc32(media), doc_id is None, doc_id or 0, len(raw)))
+        self.at += len(media)
+
+    def close(self) -> tuple[str, int, int]:
+        self.out.close()
+        with self.where.open_output_stream(f"{self.name}.idx.tmp") as out:
+            out.write(np.array(self.index, _ENTRY).tobytes())
+        for kind in ("idx", "arc"):
+            self.where.move(f"{self.name}.{kind}.tmp", f"{self.name}.{kind}")
+        return f"{self.name}.arc", len(self.index), self.at
+
+
+def store(docs: DataFrame, directory: str, *, doc_id: str = "doc_id", text: str = "text", archive: int = 64 << 20) -> DataFrame:
+    """Writes archives of about `archive` bytes; (archive, members, bytes) of each. Lazy: see `commit`.
+
+    Names have the task's attempt in them, so a retried or doubled task never touches another's files; which of them
+    count is what the attempt that Spark accepts returns.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         where, root = _place(directory)
         where.create_dir(root)
-        task, turn, attempt = TaskContext.get().partitionId(), 0, TaskContext.get().taskAttemptId()
-        for batch in _text.chunks(batches, "text", chunk):
-            data, offsets = _text.utf8(batch.column("text"))
-            raw = data.tobytes()
-            ids = batch.column("doc_id")
-            index = np.zeros(batch.num_rows, _ENTRY)
-            index["null"], index["doc_id"] = pc.is_null(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-            index["n_bytes"] = np.diff(offsets)
-            name = f"{root}/{task:07d}-{turn:07d}"
-            at = 0
-            with where.open_output_stream(f"{name}.{attempt}.arc.tmp") as out:
-                for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                    media = encode(pad(raw[a:b]))
-                    out.write(media)
-                    index["offset"][k], index["length"][k], index["crc"][k] = at, len(media), zlib.crc32(media)
-                    at += len(media)
-            with where.open_output_stream(f"{name}.{attempt}.idx.tmp") as out:
-                out.write(index.tobytes())
-            where.move(f"{name}.{attempt}.idx.tmp", f"{name}.idx")
-            where.move(f"{name}.{attempt}.arc.tmp", f"{name}.arc")
-            turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.arc"]), pa.array([batch.num_rows], pa.int64()), pa.array([at], pa.int64())], ["archive", "members", "bytes"])
-
-    return rows.mapInArrow(run, "archive string, members long, bytes long")
+        context = TaskContext.get()
+        name, turn, now = f"{root}/{context.partitionId():07d}.{context.taskAttemptId()}", 0, None
+        for batch in _text.chunks(batches, "text", 1 << 20):
+            for i, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if now is None:
+                    now = _Archive(where, f"{name}-{turn:05d}")
+                now.add(i, raw.as_buffer().to_pybytes() if raw.is_valid else b"")
+                if now.at >= archive:
+                    yield _listed(*now.close())
+                    now, turn = None, turn + 1
+        if now is not None:
+            yield _listed(*now.close())
+
+    return rows.mapInArrow(run, _LIST)
+
+
+_LIST = "archive string, members long, bytes long"
+
+
+def _listed(name: str, members: int, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([members], pa.int64()), pa.array([size], pa.int64())], ["archive", "members", "bytes"])
+
+
+def commit(stored: DataFrame, directory: str) -> None:
+    """Runs `store` and writes the list of archives that count, a table in the directory; readers go by it."""
+    stored.write.parquet(f"{directory}/{COMMITTED}")
 
 
 class Range(InputPartition):
@@ -120,12 +153,17 @@ class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.directory = options["path"]
         self.bytes = int(options.get("bytes", 16 << 20))
-        self.batch = int(options.get("batch", 2 << 20))
+        self.batch = int(options.get("batch", 1 << 20))
         self.tries = int(options.get("tries", 3))
 
     def partitions(self):
         where, root = _place(self.directory)
-        found = sorted((x.path, x.size) for x in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".arc"))
+        parts = [x.path for x in where.get_file_info(fs.FileSelector(f"{root}/{COMMITTED}", allow_not_found=True)) if x.path.endswith(".parquet")]
+        if parts:
+            listed = [pq.read_table(x, columns=["archive", "bytes"], filesystem=where) for x in parts]
+            found = sorted((a, n) for t in listed for a, n in zip(*(t.column(c).to_pylist() for c in ("archive", "bytes")), strict=True))
+        else:
+            found = sorted((x.path, x.size) for x in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".arc"))
         out = [Range(path, at, min(size, at + self.bytes)) for path, size in found for at in range(0, size, self.bytes)]
         return out or [Range("", 0, 0)]
 
@@ -167,6 +205,7 @@ class MediaReader(DataSourceReader):
             yield self.rows(rows)
         for f in held:
             f.close()
+        _text.give_back()
 
     @staticmethod
     def rows(rows: list) -> pa.RecordBatch:
@@ -217,7 +256,7 @@ def features(members: DataFrame) -> DataFrame:
         return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, None
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.chunks(batches, "media", 1 << 20):
             rows = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "error")), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in fields.split(", ")])
@@ -231,5 +270,5 @@ def media_column(docs: DataFrame, directory: str | None = None, *, doc_id: str =
 
     spark = docs.sparkSession
     directory = directory or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    store(docs, directory, doc_id=doc_id, text=text).agg(F.sum("members")).collect()
+    commit(store(docs, directory, doc_id=doc_id, text=text), directory)
     return features(read(spark, directory))
