@@ -278,3 +278,25 @@ def test_fingerprint_estimates_are_unbiased():
         sketch, some = fingerprints.sketches(*_text.utf8(pa.array([" ".join(a), " ".join(b)])))
         gaps.append(fingerprints.likeness(sketch[:1], sketch[1:], some[:1], some[1:])[0] - len(s & t) / len(s | t))
     assert abs(np.mean(gaps)) < 0.02 and np.abs(gaps).max() < 0.15
+
+
+def test_field_finds_unmarked_secrets_in_texts_it_was_not_trained_on():
+    """Planted in the helper corpus, whose words the training lines don't use; none of them matches a fixed pattern."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [lambda: ("", some(letters, 32)), lambda: ("use ", "ghp_" + some(letters, 36)), lambda: ("Authorization Bearer ", some(letters, 24) + "." + some(letters, 30)), lambda: ("", some("0123456789ABCDEF", 32)), lambda: ("the passphrase is ", some(letters[:52], 6) + "_" + some("0123456789", 4) + "XQ")]
+    texts, want = [x for _, x, *_ in corpus(n=300) if x], []
+    field, planted = secret_scan.trained(), []
+    for text in texts:
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        lead, secret = rng.choice(kinds)()
+        left = " ".join(words[:at]) + " " * (at > 0) + lead
+        planted.append(left + secret + " " + " ".join(words[at:]))
+        want.append((len(left), len(left) + len(secret)))
+    found = [[(a, b) for kind, a, b in x if kind == "crf"] for x in secret_scan.find(field, pa.array(planted))]
+    hit = sum(any(a <= w[0] and w[1] <= b for a, b in x) for x, w in zip(found, want, strict=True))
+    wrong = sum(b <= w[0] or a >= w[1] for x, w in zip(found, want, strict=True) for a, b in x)
+    assert hit >= 0.9 * len(want) and wrong <= 0.02 * len(want)
+    assert sum(kind == "crf" for x in secret_scan.find(field, pa.array(texts)) for kind, *_ in x) <= 0.01 * len(texts)
