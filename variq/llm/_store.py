@@ -40,6 +40,19 @@ class Tables:
         out.variq_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, key: str, label: str) -> DataFrame:
+        """As `save`, in as many buckets by a hash of the key as a shuffle has partitions: joins on the key read it as it is.
+
+        Give it the result of an aggregate by that key: its tasks then write whole buckets.
+        """
+        path, name = f"{self.root}/{label}{self.n}", f"variq_{uuid.uuid4().hex}"
+        self.n += 1
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        out.variq_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing lazy reads any more."""
         path = getattr(df, "variq_path", None)

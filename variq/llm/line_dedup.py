@@ -1,136 +1,353 @@
-"""Fuzzy deduplication of lines across documents, with DataFrame expressions only.
+"""Fuzzy deduplication of lines across documents.
 
-1. Lines (split at line feeds, blanks at the ends and case of letters ignored) that are equal form a class; classes
-   are pre-aggregated before they are shuffled, so a line in a third of all rows costs a row a task.
+1. Lines (split at line feeds, blanks at the ends and case of letters ignored) that are equal form a class. Classes are
+   pre-aggregated before they are shuffled and written once, bucketed by class, so later joins don't move texts again.
 2. Signature: every shingle of `k` UTF-8 bytes is hashed once, the hash picks one of bands x rows bins, a bin keeps its
    smallest hash (one-permutation MinHash; a bin without a shingle counts as empty on both sides).
-3. Banding: classes that agree on all bins of a band (empty bands aside) meet; each is first paired with the first of
-   the bucket and with its neighbour in it.
+3. Banding: classes that agree on all bins of a band (empty bands aside) meet in a bucket. A chunk of classes reduces a
+   bucket to its first class and sends that on, so a bucket gets one entry a chunk however many classes it has; each
+   class is paired with the chunk's first, that with the bucket's first.
 4. Pairs are verified by the exact Jaccard similarity of their shingle sets; distributed union-find joins them.
-5. Classes of buckets of four or more that still mix components are compared with all such classes of other components
-   that can be similar (prefixes of shingles from the rarest on, an exact filter), verified and joined in the same way.
-6. Of each component the first line (smallest id, then position) stays.
+5. Buckets of three or more that still mix components are settled exactly: all pairs of different components there are
+   verified, in blocks of bounded bytes. So lines of similarity `similar` that share a bucket always end in one group.
+6. Of each component the first line (smallest id, then text hash, then position) stays.
 
 With 12 bands of 4 rows two lines of similarity 0.8 meet with probability 0.998, of 0.9 with more than 0.99999.
 
+Lines, classes, joins and union-find are DataFrame expressions; signatures and verification are Arrow kernels, as their
+DataFrame form takes several times the CPU time (figures in the README).
+
 Edge cases: null texts stay null, empty texts and blank lines are kept as they are; lines shorter than k bytes are one
-shingle; rows with a null id lose no line and keep others' lines; repeated ids are told apart by their texts' positions
-only, equal lines of them are duplicates in order of position; an empty table gives no rows.
+shingle, filled with zero bytes; rows with a null id lose no line and keep others' lines; rows that share an id are told
+apart by their texts, rows that share both are judged alike; an empty table gives no rows; input columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from variq.llm import _text
 from variq.llm._components import components
 from variq.llm._store import Tables
 
 K, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
+#: Bytes of lines that a task compares at once; larger buckets are split into blocks.
+BLOCK_BYTES = 2 << 20
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SENT = "part int, keys binary, cls binary, key long, member long, head long"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, at, cls, line) of each line that isn't blank."""
-    raw = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    """(doc_id, of, at, cls, line) of each line that isn't blank; `of` is a hash of the whole text."""
+    raw = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     line = F.lower(F.trim(F.col("line")))
     return raw.withColumn("line", line).filter("line <> ''").withColumn("cls", F.xxhash64("line"))
 
 
-def _shingle_starts(raw: Column, k: int) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (k - 1), F.lit(1)))
+def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All byte shingles of lines laid end to end: (value, line). Values are the bytes themselves for k up to 8."""
+    size = np.diff(offsets)
+    n, of = len(data), np.repeat(np.arange(len(size)), size)
+    if n >= k:
+        if k <= 8:
+            wide = np.ndarray(n - k + 1, "<u8", buffer=np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+            value = wide & np.uint64((1 << 8 * k) - 1)
+        else:
+            value = _text.window_hashes(data.astype(np.uint64) + np.uint64(1), k)
+        whole = of[: len(value)] == of[k - 1 :]
+        value, of = value[whole], of[: len(whole)][whole]
+    else:
+        value, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    short = np.flatnonzero((size < k) & (size > 0))
+    if len(short):
+        filled = np.zeros((len(short), max(8, k)), np.uint8)
+        at = _text.ragged(offsets[short], size[short])
+        row = np.repeat(np.arange(len(short)), size[short])
+        filled[row, at - offsets[short][row]] = data[at]
+        extra = filled[:, :8].copy().view("<u8")[:, 0] if k <= 8 else _text.span_hashes(filled.ravel(), np.arange(len(short)) * filled.shape[1], (np.arange(len(short)) + 1) * filled.shape[1])
+        value, of = np.concatenate([value, extra]), np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        value, of = value[order], of[order]
+    return value, of
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    value, of = shingles_of(data, offsets, k)
+    order = np.lexsort((value, of))
+    value, of = value[order], of[order]
+    keep = np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
+    value, of = value[keep], of[keep]
+    cut = np.searchsorted(of, np.arange(len(offsets)))
+    return [value[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray, k: int, bins: int) -> np.ndarray:
+    """[line, bin]: the smallest hash of each bin; all bits set where a bin has no shingle. In blocks of whole lines."""
+    n = len(offsets) - 1
+    low = np.full(n * bins, _NONE, np.uint64)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _text.HASH_BLOCK, "right")) - 1)
+        value, of = shingles_of(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], k)
+        value = _text.mix(value * _GOLD)
+        slot = ((value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(low, (of + at) * bins + slot, value)
+        at = end
+    return low.reshape(n, bins)
+
+
+def band_keys(low: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line) of each band that isn't empty."""
+    keys, of = [], []
+    for band in range(bands):
+        part = low[:, band * rows : (band + 1) * rows]
+        some = np.flatnonzero((part != _NONE).any(1))
+        key = np.full(len(some), band + 1, np.uint64)
+        for r in range(rows):
+            key = _text.mix(key * _GOLD + part[some, r])
+        keys.append(key)
+        of.append(some)
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def _buckets(keys: np.ndarray, cls: np.ndarray):
+    """Entries sorted by key and class, the first class of each one's bucket, the bucket's size, where buckets begin."""
+    order = np.lexsort((cls, keys))
+    keys, cls = keys[order], cls[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(keys)))
+    return keys, cls, np.repeat(cls[start], size), np.repeat(size, size), start
+
+
+def _met_rows(keys: np.ndarray, cls: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+    n = len(keys)
+    nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*nothing, pa.array(keys.view(np.int64)), pa.array(cls), pa.array(head)], [f.split()[0] for f in _SENT.split(", ")])
+
+
+def _met(classes: DataFrame, k: int, bands: int, rows: int, partitions: int) -> DataFrame:
+    """(key, cls, head) of classes that share a bucket: members of it in a chunk with the chunk's first, and the chunks'
+    first ones with the bucket's first."""
+    parts, names = partitions * 4, [f.split()[0] for f in _SENT.split(", ")]
+
+    def send(batches):
+        for batch in _text.chunks(batches, "line"):
+            data, offsets = _text.utf8(batch.column("line"))
+            own = batch.column("cls").to_numpy()
+            keys, of = band_keys(signatures(data, offsets, k, bands * rows), bands, rows)
+            keys, cls, head, size, start = _buckets(keys, own[of])
+            several = size > 1
+            if several.any():
+                out = _met_rows(keys[several], cls[several], head[several])
+                # They pass through the step below unchanged, dealt evenly.
+                yield out.set_column(0, "part", pa.array(np.arange(out.num_rows) % parts, pa.int32()))
+            keys, cls = keys[start], cls[start]
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # sorted, as keys are
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+            blobs = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (keys, cls)]
+            n = len(cut) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs], *[pa.nulls(n, pa.int64()) for _ in range(3)]], names)
+
+    def meet(batches):
+        now, held = None, []
+
+        def done():
+            if not held:
+                return
+            keys, cls = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64)))
+            held.clear()
+            keys, cls, head, size, _ = _buckets(keys, cls)
+            several = size > 1  # of buckets of a single chunk that chunk has told the members
+            yield pa.RecordBatch.from_arrays([pa.array(keys[several].view(np.int64)), pa.array(cls[several]), pa.array(head[several])], ["key", "cls", "head"])
 
+        for batch in batches:
+            passing = batch.filter(batch.column("key").is_valid())
+            if passing.num_rows:
+                yield pa.RecordBatch.from_arrays([passing.column(c) for c in ("key", "member", "head")], ["key", "cls", "head"])
+            batch = batch.filter(batch.column("keys").is_valid())
+            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in names[:3]), strict=True):
+                if part != now:
+                    yield from done()
+                now = part
+                held.append(blobs)
+        yield from done()
 
-def _shingles(raw: Column, k: int) -> Column:
-    """The distinct hashes of a line's shingles."""
-    return F.array_distinct(F.transform(_shingle_starts(raw, k), lambda i: F.xxhash64(F.substring(raw, i, F.lit(k)))))
+    sent = classes.select("cls", "line").mapInArrow(send, _SENT)
+    return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(meet, "key long, cls long, head long")
 
 
-def _bands(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(key, cls): the keys under which classes meet. Grouped by class throughout, so nothing but keys is shuffled."""
-    classes = lines.groupBy("cls").agg(F.first("line").alias("line")).select("cls", F.col("line").cast("binary").alias("raw"))
-    each = classes.select("cls", "raw", F.explode(_shingle_starts(F.col("raw"), k)).alias("i"))
-    hashed = each.select("cls", F.xxhash64(F.substring("raw", F.col("i"), F.lit(k))).alias("h"))
-    # The high half of a hash, scaled to the number of bins; a band's bins are columns of one aggregate.
-    slot = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(bands * rows).cast("long"), 32)
-    placed = hashed.select("cls", "h", slot.alias("slot")).select("cls", "h", F.floor(F.col("slot") / rows).cast("int").alias("band") if rows & (rows - 1) else F.shiftright("slot", rows.bit_length() - 1).cast("int").alias("band"), F.col("slot"))
-    least = [F.min(F.when(F.col("slot") == F.col("band") * rows + r, F.col("h"))).alias(f"m{r}") for r in range(rows)]
-    band = placed.groupBy("cls", "band").agg(*least)
-    return band.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0).cast("long")) for r in range(rows)]).alias("key"), "cls")
+def _needed(a, b, similar: float):
+    """The smallest overlap of sets of a and b with similarity `similar`."""
+    return np.ceil((a + b) * (similar / (1 + similar)) - 1e-9)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("raw").alias("y")), "b")
-    sets = both.select("a", "b", _shingles(F.col("x"), k).alias("x"), _shingles(F.col("y"), k).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.withColumn("both", common).filter(F.col("both") >= F.lit(similar) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+def _overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    spot = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+    return np.add.reduceat((mine[spot] == every).astype(np.int64), np.cumsum(size) - size)
 
 
-def _prefix_pairs(mixed: DataFrame, texts: DataFrame, tables: Tables, k: int, similar: float) -> DataFrame:
-    """(a, b): all pairs of different roots among `mixed` (cls, root) that can be similar enough; misses none that is.
+def _verified(pairs: DataFrame, classes: DataFrame, k: int, similar: float) -> DataFrame:
+    """The pairs (cls, head) whose shingle sets are similar enough. Rows of a head come one after the other."""
 
-    Shingles are ordered from the rarest to the commonest here. Two similar sets share one of the first n - similar * n
-    + 1 of each, and behind the first that they share enough have to be left.
+    def verify(batches):
+        head, mine = None, None
+        for batch in _text.chunks(batches, "x", 1 << 20):
+            data, offsets = _text.utf8(batch.column("x"))
+            heads, cls = batch.column("head").to_numpy(), batch.column("cls").to_numpy()
+            sets = sets_of(data, offsets, k)
+            cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]]))
+            good = np.zeros(len(cls), bool)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if heads[a] != head:
+                    head = heads[a]
+                    mine = sets_of(*_text.utf8(batch.column("y").slice(a, 1)), k)[0]
+                size = np.array([len(x) for x in sets[a:b]])
+                good[a:b] = _overlaps(mine, sets[a:b]) >= _needed(len(mine), size, similar)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(heads[good])], ["a", "b"])
+
+    text = classes.select("cls", "line")
+    both = pairs.join(text.withColumnRenamed("line", "x"), "cls").join(text.select(F.col("cls").alias("head"), F.col("line").alias("y")), "head")
+    return both.sortWithinPartitions("head").select("cls", "head", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def _settled(members: DataFrame, classes: DataFrame, k: int, similar: float, partitions: int) -> DataFrame:
+    """(a, b): links between the roots of `members` (key, cls, root): all pairs of a bucket that are similar, unless
+    their components are joined already. Buckets of many bytes are split and each pair of blocks is a task."""
+    sized = members.join(classes.select("cls", "line"), "cls")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum(F.octet_length("line") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "line")
+
+    def settle(batches):
+        now, names, roots, sets = None, [], [], []
+
+        def done():
+            if len(names) > 1:
+                links = linked(np.array(roots), sets, similar)
+                if len(links):
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+            names.clear()
+            roots.clear()
+            sets.clear()
+
+        for batch in _text.chunks(batches, "line", 1 << 20):
+            found = sets_of(*_text.utf8(batch.column("line")), k)
+            for s, *place, cls, root in zip(found, *(batch.column(c).to_pylist() for c in ("key", "i", "j", "cls", "root")), strict=True):
+                if place != now:
+                    yield from done()
+                    now = place
+                names.append(cls)
+                roots.append(root)
+                sets.append(s)
+        yield from done()
+
+    return dealt.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(settle, "a long, b long")
+
+
+def linked(roots: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Links (root, root) that join the components of all similar sets; sets of one root are not compared.
+
+    A set of which too few shingles occur under other roots has no partner and goes first; what is left is compared
+    with all sets of near enough size under roots that aren't joined yet.
     """
-    each = tables.save(mixed.join(texts, "cls").select("cls", "root", F.explode(_shingles(F.col("raw"), k)).alias("h")), "shingles")
-    often = each.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
-    ranked = each.join(often, "h", "left").groupBy("cls", "root").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), F.col("h").alias("h")))).alias("sets"))
-    n = F.size("sets")
-    prefix = ranked.select("cls", "root", n.alias("n"), F.posexplode(F.slice("sets", F.lit(1), (n - F.ceil(n * similar - 1e-6) + 1).cast("int"))).alias("at", "s"))
-    prefix = tables.save(prefix.filter("s.often > 1").select("cls", "root", "n", "at", F.col("s.h").alias("h")), "prefix")
-    # A root's members under a shingle are lists, so that pairs within a root are never made.
-    several = prefix.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    lists = prefix.join(several, "h", "left_semi").groupBy("h", "root", F.pmod("cls", F.lit(64)).alias("block")).agg(F.collect_list(F.struct("cls", "n", "at")).alias("of"))
-    x, y = lists.select("h", F.col("root").alias("r"), F.col("of").alias("xs")), lists.select("h", F.col("root").alias("q"), F.col("of").alias("ys"))
-    met = x.join(y, "h").filter("r < q").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
-    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (similar / (1 + similar)) - 1e-6
-    return met.filter(enough).select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
-
-
-def line_groups(docs: DataFrame, tables: Tables, *, doc_id: str, text: str, k: int, similar: float, bands: int, rows: int) -> DataFrame:
+    _, group = np.unique(roots, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    alive = np.ones(len(sets), bool)
+    while alive.any():
+        at = np.flatnonzero(alive)
+        token = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)[1]
+        of = np.repeat(at, size[at])
+        first = np.full(token.max() + 1, len(sets))
+        last = np.full(token.max() + 1, -1)
+        np.minimum.at(first, token, group[of])
+        np.maximum.at(last, token, group[of])
+        shared = np.bincount(of, first[token] != last[token], len(sets))
+        keep = alive & (shared >= np.ceil(similar * size - 1e-9))
+        if (keep == alive).all():
+            break
+        alive = keep
+    at = np.flatnonzero(alive)
+    at = at[np.argsort(size[at], kind="stable")]
+    parent = np.arange(group.max() + 1)
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    seen: list[int] = []
+    for i in at:
+        mine = top(group[i])
+        near = [j for j in seen[np.searchsorted(size[seen], similar * size[i] - 1e-9) :] if group[j] != group[i]] if seen else []
+        near = [j for j in near if top(group[j]) != mine]
+        if near:
+            near = np.array(near)
+            hit = near[_overlaps(sets[i], [sets[j] for j in near]) >= _needed(size[i], size[near], similar)]
+            for j in hit:
+                a, b = top(group[i]), top(group[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((roots[i], roots[j]))
+        seen.append(i)
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def line_classes(docs: DataFrame, tables: Tables, *, doc_id: str, text: str) -> DataFrame:
+    """(cls, line, first, n) of each distinct line, bucketed by class: its first place and its number of places."""
+    place = F.struct("doc_id", "of", "at")
+    grouped = _lines(docs, doc_id, text).groupBy("cls").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
+    return tables.save_bucketed(grouped, "cls", "classes")
+
+
+def line_groups(classes: DataFrame, tables: Tables, *, k: int, similar: float, bands: int, rows: int) -> DataFrame:
     """(node, root): the classes that have a similar one, with the smallest class of their component."""
-    lines = _lines(docs, doc_id, text)
-    order = Window.partitionBy("key").orderBy("cls")
-    seen = _bands(lines, k, bands, rows).select("key", "cls", F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("cls").over(order).alias("before"), F.row_number().over(order).alias("place"))
-    met = tables.save(seen.filter("before is not null"), "met")
-    pairs = met.select("cls", F.explode(F.array_distinct(F.array("head", "before"))).alias("other")).filter("cls <> other").select(F.greatest("cls", "other").alias("a"), F.least("cls", "other").alias("b"))
-    pairs = tables.save(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = tables.save(lines.groupBy("cls").agg(F.first("line").alias("line")).join(wanted, "cls", "left_semi").select("cls", F.col("line").cast("binary").alias("raw")), "texts")
-    roots = components(tables.save(_verified(pairs, texts, k, similar), "links"), tables)
-    # Buckets of up to three are settled by these pairs; of larger ones, those that still mix components are not.
-    large = met.filter("place = 4").select("key")
-    members = met.join(large, "key", "left_semi").select("key", F.explode(F.array("head", "cls")).alias("cls")).distinct()
-    members = tables.save(members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root")), "members")
-    open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    mixed = tables.save(members.join(open_keys, "key", "left_semi").select("cls", "root").distinct(), "mixed")
-    more = _verified(tables.save(_prefix_pairs(mixed, texts, tables, k, similar), "pairs"), texts, k, similar)
-    of = mixed.select("cls", "root")
-    bonds = more.join(of.select(F.col("cls").alias("a"), F.col("root").alias("u")), "a").join(of.select(F.col("cls").alias("b"), F.col("root").alias("v")), "b").select("u", "v")
-    tops = components(tables.save(bonds.distinct(), "bonds"), tables, "u", "v")
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = tables.save(_met(classes, k, bands, rows, partitions), "met")
+    pairs = met.filter("cls <> head").select("cls", "head").distinct()
+    roots = components(tables.save(_verified(pairs, classes, k, similar), "links"), tables)
+    # Buckets of two are settled by their pair; of larger ones, those that still mix components are not.
+    members = met.select("key", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    members = tables.save(members, "members")
+    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo < hi").select("key")
+    mixed = tables.save(members.join(open_keys, "key", "left_semi"), "mixed")
+    tops = components(tables.save(_settled(mixed, classes, k, similar, partitions).distinct(), "bonds"), tables)
     joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return joined.unionByName(tops.join(roots, "node", "left_anti"))
 
 
 def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, at): the lines that a sooner line of their component makes superfluous."""
+    """(doc_id, of, at): the lines that a sooner line of their component makes superfluous; of is the text's xxhash64."""
     tables = Tables(docs.sparkSession, "lines")
-    roots = line_groups(docs, tables, doc_id=doc_id, text=text, k=k, similar=similar, bands=bands, rows=rows)
-    lines = _lines(docs, doc_id, text).select("doc_id", "at", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "at", F.coalesce("root", "cls").alias("root"))
-    lines = tables.save(lines, "roots")
-    place = F.struct("doc_id", "at")
-    first = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    return lines.join(first, "root").filter(place != F.col("first")).select("doc_id", "at")
+    classes = line_classes(docs, tables, doc_id=doc_id, text=text)
+    roots = line_groups(classes, tables, k=k, similar=similar, bands=bands, rows=rows)
+    places = classes.select("cls", "first", "n")
+    grouped = places.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    first = grouped.filter("root is not null").groupBy("root").agg(F.min("first").alias("top"))
+    linked_classes = grouped.join(first, "root").select("cls", "top")
+    repeated = grouped.filter("root is null and n > 1").select("cls", F.col("first").alias("top"))
+    wanted = tables.save(linked_classes.unionByName(repeated), "wanted")
+    gone = _lines(docs, doc_id, text).select("doc_id", "of", "at", "cls").join(wanted, "cls")
+    return gone.filter(F.struct("doc_id", "of", "at") != F.col("top")).select("doc_id", "of", "at")
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows with the text of their remaining lines, n_lines and n_removed; input columns of the last two names go."""
     gone = duplicate_lines(docs, doc_id=doc_id, text=text, k=k, similar=similar, bands=bands, rows=rows)
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_gone"))
-    rest = docs.drop("n_lines", "n_removed", "_id", "_gone")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("of").alias("_of")).agg(F.collect_set("at").alias("_gone"))
+    rest = docs.drop("n_lines", "n_removed", "_id", "_of", "_gone")
     parts = F.split(text, "\n")
     kept = F.array_join(F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(F.col("_gone"), x["at"])).getField("line"), "\n")
-    out = rest.join(gone, rest[doc_id].cast("long") == gone["_id"], "left")
+    out = rest.join(gone, (rest[doc_id].cast("long") == gone["_id"]) & (F.xxhash64(rest[text]) == gone["_of"]), "left")
     n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else rest[c] for c in rest.columns], F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n).cast("long").alias("n_removed"))
