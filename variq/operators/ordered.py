@@ -1,8 +1,9 @@
 """Ordered streams without a single partition.
 
-A position is a block's offset (a running sum over one row a block) plus the row number within the block, so rows are
-only ever sorted within blocks. Windows over positions are cut into buckets of BUCKET rows; the last rows of a bucket
-are copied into the next one as a halo that is as wide as the window looks back.
+Rows are dealt into ranges of their order, whose bounds come from a bounded sample of keys. A position is a range's
+offset (a running sum over one row a range and stream) plus the row number within the range, so no task sorts more than
+a range. Windows over positions are cut into buckets of BUCKET rows; the last rows of a bucket are copied into the next
+one as a halo that is as wide as the window looks back.
 """
 
 from __future__ import annotations
@@ -11,21 +12,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 100_000
+#: Sampled keys a range; the driver sees ranges x SAMPLED keys at most.
+SAMPLED = 64
 
 
-def positions(df: DataFrame, streams: list[str], blocks: list[str], order: list[str], name: str = "sort_key") -> DataFrame:
-    """Adds the 0-based position of each row in its stream, in order of (blocks, order).
+def _before(columns: list[str], bound: list[Column]) -> Column:
+    """Whether a row's key comes before the bound (nulls first, as in a sort)."""
+    out = F.lit(False)
+    for c, at in zip(reversed(columns), reversed(bound), strict=True):
+        here = F.col(c)
+        out = F.when(here.eqNullSafe(at), out).otherwise(F.coalesce(here < at, here.isNull()))
+    return out
+
 
-    blocks: columns whose distinct values are few beside the rows (one row each goes through the running sum).
+def ranges(df: DataFrame, keys: list[str], n: int | None = None) -> Column:
+    """The number of each row's range, out of about n ranges of equal size in order of the keys.
+
+    Runs one job: a sample of rows' keys, bounded by the number of ranges whatever the number of rows. Equal keys are in
+    one range. The bounds are constants of the plan, so every part of it deals rows alike.
     """
-    size = df.groupBy(*streams, *blocks).agg(F.count("*").alias("_size")) if streams or blocks else df.agg(F.count("*").alias("_size"))
-    run = Window.partitionBy(*streams).orderBy(*blocks) if blocks else None
-    offset = F.sum("_size").over(run.rowsBetween(Window.unboundedPreceding, -1)) if run is not None else F.lit(0)
-    size = size.withColumn("_offset", F.coalesce(offset, F.lit(0))).drop("_size")
-    row = F.row_number().over(Window.partitionBy(*streams, *blocks).orderBy(*order))
-    out = df.withColumn("_row", row)
-    out = out.join(size, [*streams, *blocks]) if streams or blocks else out.crossJoin(size)  # one row
-    return out.withColumn(name, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_offset", "_row")
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = df.select(*keys)
+    found = held.withColumn("_r", F.rand(11)).orderBy("_r").limit(n * SAMPLED).select(*keys).distinct().orderBy(*keys).collect() if n > 1 else []
+    cuts = list(dict.fromkeys(found[len(found) * i // n] for i in range(1, n))) if found else []
+    bounds = [[F.lit(v).cast(field.dataType) for v, field in zip(row, held.schema.fields, strict=True)] for row in cuts]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_before(keys, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
+def positions(df: DataFrame, streams: list[str], blocks: list[str], order: list[str], name: str = "sort_key") -> DataFrame:
+    """Adds the 0-based position of each row in its stream, in order of (blocks, order)."""
+    keys = [*blocks, *order]
+    dealt = df.withColumn("_range", ranges(df, [*streams, *keys]))
+    size = dealt.groupBy(*streams, "_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*streams).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    row = F.row_number().over(Window.partitionBy(*streams, "_range").orderBy(*keys))
+    out = dealt.withColumn("_row", row).join(size, [*streams, "_range"])
+    return out.withColumn(name, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_offset", "_row", "_range")
 
 
 def over_stream(df: DataFrame, streams: list[str], position: str, look_back: int, make, bucket: int = BUCKET) -> DataFrame:

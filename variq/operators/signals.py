@@ -1,13 +1,15 @@
 """The eight run rules as window expressions over one sort, and their violations.
 
 Each flag stands on the last point of its pattern, and a pattern needs its full width. The widest rule looks back 14
-rows, which is the halo of a bucket; buckets of one long chart are evaluated apart from each other.
+rows, which is the halo of a bucket; buckets of one long chart are evaluated apart from each other. Trends and turns are
+comparisons of lags, so all rules share one window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -96,7 +98,7 @@ class RuleSet:
 
 
 def rule_columns(w: WindowSpec, value: str = "value", p: Parameters = Parameters()) -> dict[int, Column]:
-    """Boolean columns of the rules that need no differences, over a window ordered by position; reads center, lpl, upl."""
+    """Boolean columns of all rules over a window ordered by position; reads center, lpl, upl."""
     v, c, hi, lo = F.col(value), F.col("center"), F.col("upl"), F.col("lpl")
     sigma = (hi - c) / 3
     wide = lambda n: w.rowsBetween(-(n - 1), 0)
@@ -106,12 +108,23 @@ def rule_columns(w: WindowSpec, value: str = "value", p: Parameters = Parameters
     def sided(distance: float, count: int, width: int) -> Column:
         return full(width) & ((total(v > c + distance * sigma, width) >= count) | (total(v < c - distance * sigma, width) >= count))
 
+    def steps(up: bool, first: int, n: int) -> list[Column]:
+        """Whether each of n steps, from the one that ends `first` points back, goes up (or down)."""
+        at = [v if i == 0 else F.lag(v, i).over(w) for i in range(first, first + n + 1)]
+        return [a > b if up else a < b for a, b in zip(at, at[1:], strict=False)]
+
+    def every(flags: list[Column]) -> Column:
+        return F.coalesce(reduce(Column.__and__, flags), F.lit(False))
+
+    zigzag = lambda start: every([steps((i % 2 == 0) == start, i, 1)[0] for i in range(p.oscillation - 1)])
     run, close, away = p.run, p.reduced_variation, p.avoiding_center
     return {
         1: F.coalesce((v > hi) | (v < lo), F.lit(False)),
         2: sided(p.a_from, *p.zone_a),
         3: sided(p.b_from, *p.zone_b),
         4: full(run) & ((total(v > c, run) == run) | (total(v < c, run) == run)),
+        5: every(steps(True, 0, p.trend - 1)) | every(steps(False, 0, p.trend - 1)),
+        6: zigzag(True) | zigzag(False),
         7: full(close) & (total((v < c + p.b_from * sigma) & (v > c - p.b_from * sigma), close) == close),
         8: full(away) & (total((v >= c + p.b_from * sigma) | (v <= c - p.b_from * sigma), away) == away),
     }
@@ -123,34 +136,15 @@ def flag_rules(chart: DataFrame, rules: tuple[int, ...], *, value: str = "value"
     unknown = [r for r in rules if r not in RULES]
     if unknown:
         raise ValidationError(f"there is no rule {unknown[0]}")
-    rise, alternate = p.trend - 1, p.oscillation - 2
 
     def make(w: WindowSpec) -> dict[str, Column]:
         made = rule_columns(w, value, p)
-        v = F.col(value)
-        out: dict[str, Column] = {f"rule_{r}": made[r] for r in rules if r not in (5, 6)}
-        if 5 in rules:  # signs of single steps first: windows can't nest
-            out["_step"] = v - F.lag(v).over(w)
-        if 6 in rules:
-            out["_turn"] = (v - F.lag(v).over(w)) * (F.lag(v).over(w) - F.lag(v, 2).over(w)) < 0
+        out: dict[str, Column] = {f"rule_{r}": made[r] for r in rules}
         for name, f in (customs or {}).items():
-            out[f"rule_{name}"] = F.coalesce(f(v, F.col("center"), F.col("lpl"), F.col("upl"), w), F.lit(False))
+            out[f"rule_{name}"] = F.coalesce(f(F.col(value), F.col("center"), F.col("lpl"), F.col("upl"), w), F.lit(False))
         return out
 
-    out = over_stream(chart, streams, position, p.look_back, make)
-    if not {5, 6} & set(rules):
-        return out
-
-    def second(w: WindowSpec) -> dict[str, Column]:
-        got = {}
-        count = lambda flag, n: F.sum(F.coalesce(flag, F.lit(False)).cast("int")).over(w.rowsBetween(-(n - 1), 0))
-        if 5 in rules:
-            got["rule_5"] = (count(F.col("_step") > 0, rise) == rise) | (count(F.col("_step") < 0, rise) == rise)
-        if 6 in rules:
-            got["rule_6"] = count(F.col("_turn"), alternate) == alternate
-        return got
-
-    return over_stream(out, streams, position, p.look_back, second).drop("_step", "_turn")
+    return over_stream(chart, streams, position, p.look_back, make)
 
 
 def violations(flagged: DataFrame, rules: tuple[int, ...], *, value: str = "value", keep: list[str] | None = None, customs: tuple[str, ...] = ()) -> DataFrame:
