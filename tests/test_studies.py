@@ -5,7 +5,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from variq.operators import derive, signals
+from variq.operators import charts, derive, design, prepare, signals
 from variq.plans.spec import Calibration, CalibrationNotSupportedError, ChartNotAvailableError, ColumnNotFoundError, FactorNotFoundError, SpecLimits, ValidationError
 from variq.plans.study import Process, formulate
 from variq.sources import readers
@@ -112,7 +112,7 @@ def test_run_rule_and_custom_rule(spark):
 
 def test_detect_signals_skips_rules_without_points(spark):
     df = spark.createDataFrame([(i, y) for i, y in enumerate(SERIES)], "i long, y double")
-    found = formulate(df, "y", obs_id="i").execute("X").detect_signals(rules="all")
+    found = formulate(df, "y", obs_id="i").execute("X").detect_signals("X", rules="all")
     assert found.skipped == (6, 7) and found.is_partial and "12 points" in found.evaluation_note
 
 
@@ -143,6 +143,11 @@ def test_cleaning(spark):
     assert [r["a"] for r in got] == [1234.5, -2000.0, 5.0, None]
     assert [r["b"] for r in got] == [235.5, None, 237.2, 236.1]
     assert [r["c"] for r in got] == [None, "x", "y", None]
+    odd = spark.createDataFrame([(x, y, z) for x, y, z in zip(["10 12", "1", "2", "3", "4"], ["2024 01"] * 5, ["1,5", "2,25", "3,125", "4", None], strict=True)], "a string, b string, c string")
+    with pytest.warns(UserWarning, match="10 12"):
+        read = Process(odd).data.collect()
+    assert [r["a"] for r in read] == [None, 1.0, 2.0, 3.0, 4.0] and read[0]["b"] == "2024 01"
+    assert [r["c"] for r in read] == [1.5, 2.25, 3.125, 4.0, None]
 
 
 def test_derivations(spark):
@@ -157,6 +162,13 @@ def test_derivations(spark):
     d = derive.fit(df, derive.Derivation("bin", "x", "breaks", "b", {"breaks": [1.0, 4.0]}))
     assert derive.Derivation.from_dict(d.to_dict()) == d
     assert d.fitted["labels"] == ["< 1", "[1, 4)", ">= 4"]
+    label = lambda method, **p: derive.fit(df, derive.Derivation("bin", "x", method, "b", p)).fitted["labels"]
+    assert label("breaks", breaks=[1.0, 4.0], right=True) == ["<= 1", "(1, 4]", "> 4"]
+    assert label("equal_width", bins=3) == ["[-1e-12, 3)", "[3, 6)", "[6, 9]"] and label("equal_width", bins=3, right=True) == ["[-1e-12, 3]", "(3, 6]", "(6, 9]"]
+    assert label("equal_width", bins=2, labels="ordinal") == ["Low", "High"] and label("equal_width", bins=2, labels=["a", "b"]) == ["a", "b"]
+    assert label("equal_width", bins=2, labels=["a"]) == ["[-1e-12, 4.5)", "[4.5, 9]"] and label("equal_width", bins=6, labels="ordinal")[0] == "Bin 1"
+    power = derive.materialise(df, [derive.Derivation("transform", "x", "power", "p", {"exponent": 0.0})])[0]
+    assert {r["p"] for r in power.collect()} == {1.0}
 
 
 def test_plan_and_report(spark):
@@ -186,7 +198,135 @@ def test_histogram_bins(spark):
     assert chart.bins.agg(F.sum("count")).first()[0] == chart.data.count()
 
 
-def test_no_single_partition_for_rows(spark):
+def exchanges_of_one_task(df) -> list[int]:
+    """Rows that went through exchanges to a single partition, of the plan as it ran."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in text and "ArrowEval" not in text
+    return [k for k, line in enumerate(text.splitlines()) if "SinglePartition" in line]
+
+
+def test_no_single_partition_for_rows(spark, monkeypatch):
+    """Without replication a cell is a row; what goes to one task then has a row a range or a partition, not one a row."""
+    from variq.operators import ordered
+
+    monkeypatch.setattr(ordered, "BUCKET", 100)
+    n = 3000
+    df = spark.range(n).select("id", F.concat(F.lit("c"), F.col("id") % 1000).alias("f"), F.floor(F.col("id") / 1000).alias("t"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 7).alias("y"))
+    study = formulate(df, "y", ["f"], "t", obs_id="id")
+    assert study.analytical_design_state.reason == "no_replication"
+    at = ordered.positions(study.base, [], ["f", "t"], ["obs_id"])
+    want = {r[0]: k for k, r in enumerate(study.base.orderBy("f", "t", "obs_id").select("obs_id").collect())}
+    assert {r["obs_id"]: r["sort_key"] for r in at.collect()} == want
+    parts = at.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < n
+    tree = at._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in tree.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and all("_range" in line for line in windows)
+    ranks = ordered.positions(study.base, ["f"], ["t"], ["obs_id"])
+    assert {r["obs_id"]: r["sort_key"] for r in ranks.collect()} == {i: i // 1000 for i in range(n)}
+
+
+def test_positions_with_nulls_and_ties(spark):
+    from variq.operators import ordered
+
+    rows = [(None, 3), (2, 1), (None, 1), (2, 1), (1, 9)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = ordered.positions(df, [], ["a"], ["b"]).collect()
+    assert sorted(r["sort_key"] for r in got) == [0, 1, 2, 3, 4]
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["sort_key"])] == [(None, 1), (None, 3), (1, 9), (2, 1), (2, 1)]
+    assert ordered.positions(df.limit(0), [], ["a"], ["b"]).count() == 0
+
+
+def test_limits_of_reports_are_asked_for(spark):
+    plan = spark.range(300).select(F.col("id").cast("string").alias("f"))
+    cells = spark.createDataFrame([("7", 1)], "f string, n int")
+    assert design.missing_combos(cells, plan).count() == 299
+    assert [r[0] for r in design.missing_combos(cells, plan, 2).collect()] == ["0", "1"]
+    assert design.extra_combos(plan, cells.select("f")).count() == 299
+    df = spark.range(3000).select("id", (F.col("id") % 2).alias("label"))
+    assert charts.lane_boundaries(df, [], "id", F.col("label")).count() == 2999
+    assert charts.lane_boundaries(df, [], "id", F.col("label"), 10).count() == 10
+
+
+def test_natural_key_of_long_digits(spark):
+    names = ["x9999999999999999999998", "x9999999999999999999999", "x10", "x9", "x007b", "x7a", "x"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(prepare.natural_key(F.col("n"))).collect()]
+    assert got == ["x", "x7a", "x007b", "x9", "x10", "x9999999999999999999998", "x9999999999999999999999"]
+
+
+def test_conditions_whose_labels_collide_stay_apart(spark):
+    rows = [(i, "a_b", "c", i, 10.0 + i % 3) for i in range(6)] + [(10 + i, "a", "b_c", i, 90.0 + i % 3) for i in range(6)]
+    with pytest.warns(UserWarning, match="one name"):
+        study = formulate(spark.createDataFrame(rows, "i int, p string, q string, t int, y double"), "y", ["p", "q"], "t", obs_id="i")
+    assert sorted(r["rsg"] for r in study.base.select("rsg").distinct().collect()) == ['["a","b_c"]', '["a_b","c"]']
+    plain = formulate(spark.createDataFrame([(i, "a_b", "c", i, 1.0 * i) for i in range(4)] + [(9, "d", "e", 1, 2.0)], "i int, p string, q string, t int, y double"), "y", ["p", "q"], "t", obs_id="i")
+    assert {r["rsg"] for r in plain.base.select("rsg").collect()} == {"a_b_c", "d_e"}
+
+
+def test_signals_of_all_charts_summary_and_strata(spark):
     study = Process(readers.synthetic(spark, 1, seed=4)).formulate("y", ["factor 1"], "time", obs_id="obs_id")
-    plan = study.execute("X", by=["factor 1"]).get_chart().data._jdf.queryExecution().toString()
-    assert "PythonUDF" not in plan and "ArrowEval" not in plan
+    result = study.execute("X", by=["factor 1"], companion=True)
+    found = result.detect_signals(rules=(1, 4))
+    assert set(found) == {"X", "mR"} and found["X"].n == result.get_chart("X").data.groupBy("factor 1").count().agg(F.max("count")).first()[0]
+    assert result.summary().count() == 6 and result.dataset.count() == study.base.count()
+    assert result.insufficient_strata("mR").count() == 0
+    few = formulate(spark.createDataFrame([(i, "b" if i == 5 else "a", i % 3, float(i)) for i in range(6)], "i int, f string, t int, y double"), "y", ["f"], "t", obs_id="i")
+    assert [tuple(r) for r in few.execute("X", by=["f"]).insufficient_strata().collect()] == [("b", 1)]
+    lines = result.zone_lines("X").filter("position = 0 and `factor 1` = 'F1_1'").orderBy("sigma").collect()
+    assert len(lines) == 7 and lines[3]["level"] == result.get_chart("X").focus(**{"factor 1": "F1_1"}).data.first()["center"]
+
+
+def test_nested_factor_warns(spark):
+    df = spark.createDataFrame([(i, "new" if i >= 12 else "old", i // 4, float(i % 5)) for i in range(24)], "i int, f string, t int, y double")
+    study = formulate(df, "y", ["f"], "t", obs_id="i")
+    with pytest.warns(UserWarning, match="each period has one level of f"):
+        study.loss_function()
+    assert "can't be told from time" in study.design_summary()
+
+
+def test_plan_levels_get_the_type_of_the_data(spark):
+    df = spark.createDataFrame([(i, str(1 + i % 2), i // 4, float(i % 5)) for i in range(24)], "i int, f string, t int, y double")
+    study = formulate(df, "y", ["f"], "t", obs_id="i", plan={"factors": {"f": ["1", " 2", "3"]}, "T": 6, "N": 2})
+    assert study.frame.cells.schema["f"].dataType.simpleString() == "double"
+    assert [r["f"] for r in study.missing_combos().collect()] == [3.0] and study.extra_combos().count() == 0
+    assert study.levels().filter("planned and observed").count() == 2
+    assert study.observed_design_state.n_empty > 0 and "1 of 3 planned conditions" in study.design_summary()
+
+
+def test_partial_replication_patterns():
+    from variq.sources.readers import make_design
+
+    def many(pattern):
+        counts: dict = {}
+        for t, a, b, _ in make_design(3, 3, 2, 8, seed=1, pattern=pattern):
+            counts[a, b, t] = counts.get((a, b, t), 0) + 1
+        return {k for k, n in counts.items() if n > 1}
+
+    assert {t for *_, t in many("early_times")} == {1, 2, 3, 4} and {t for *_, t in many("late_times")} == {5, 6, 7, 8}
+    assert len(many("checkerboard")) == 24
+    assert {k for k in many("corners") if k[0] != "F1_2"} == {(a, b, t) for a in ("F1_1", "F1_3") for b in ("F2_1", "F2_2") for t in range(1, 9)}
+    with pytest.raises(ValidationError):
+        make_design(3, pattern="other")
+
+
+def test_workbooks(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    study = Process(readers.synthetic(spark, 1, seed=4)).formulate("y", ["factor 1", "factor 2"], "time", obs_id="obs_id")
+    result = study.execute("Xbar", companion=True)
+    names = result.to_excel(str(tmp_path / "r.xlsx"))
+    assert names[0] == "chart_Xbar" and names[-1] == "provenance"
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as book:
+        sheet = ET.fromstring(book.read("xl/worksheets/sheet1.xml"))
+        rows = sheet.findall(".//{*}row")
+        assert len(rows) == result.get_chart("Xbar").data.count() + 1
+        assert [c.findtext(".//{*}t") for c in rows[0]] == result.get_chart("Xbar").data.columns
+        for part in book.namelist():
+            ET.fromstring(book.read(part))
+    assert result.detect_signals("Xbar").to_excel(str(tmp_path / "s.xlsx")) == ["violations", "by_rule"]
+    from variq.plans.workbook import sheet_names
+
+    assert sheet_names(["a" * 40, "a" * 41, "x/y"]) == ["a" * 31, "a" * 29 + "~2", "x_y"]
+    assert len(result.provenance()["fingerprint"]) == 64

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variq.functions.limits import D2, E2, c4_col
-from variq.operators.charts import individual_fit, moving_ranges
+from variq.operators.charts import histogram_bins, individual_fit, moving_ranges
 from variq.operators.ordered import positions
 from variq.operators.prepare import Frame
 from variq.plans.spec import SpecLimits, ValidationError
@@ -60,18 +60,20 @@ def capability(frame: Frame, limits: SpecLimits, window: tuple | None = None) ->
     y = F.col(spec.response)
     held = F.when(inside, y)
     has_r2 = "R2" in rows.columns
-    cells = (rows.filter(inside) if window else rows).groupBy(*frame.keys).agg(F.avg(y).alias("m")).agg(F.avg("m").alias("y_bar")) if frame.keys else rows.filter(inside).agg(F.avg(y).alias("y_bar"))
-    aggs = [F.count(held).alias("n"), F.stddev_samp(held).alias("s"), *outside(y, limits, ("pct_below_lsl", "pct_above_usl"), inside)]
+    if window:  # the mean of the window's own cell means: one row
+        rows = rows.drop("Ybar").crossJoin(rows.filter(inside).groupBy(*frame.keys).agg(F.avg(y).alias("m")).agg(F.avg("m").alias("Ybar")))
+    middle = F.col("Ybar") if frame.keys else None
+    aggs = [F.count(held).alias("n"), F.stddev_samp(held).alias("s"), (F.avg(held) if middle is None else F.first("Ybar")).alias("y_bar"), *outside(y, limits, ("pct_below_lsl", "pct_above_usl"), inside)]
     if has_r2:
+        potential = middle + F.col("R2")
         aggs += [F.count("R2").alias("n_R2"), F.stddev_samp("R2").alias("s_R2"), F.count(F.when(inside, F.col("R2"))).alias("n_R2_window"), F.stddev_samp(F.when(inside, F.col("R2"))).alias("s_R2_window")]
-    out = rows.agg(*aggs).crossJoin(cells)  # one row each
+        aggs += [F.avg(potential).alias("potential_mean"), *outside(potential, limits, ("potential_pct_below", "potential_pct_above"))]
+    out = rows.agg(*aggs)
     out = out.withColumn("sigma", F.col("s") / c4_col(F.col("n")))
     out = out.withColumns(indices(F.col("y_bar"), F.col("sigma"), limits, ("pp", "ppu", "ppl", "ppk")))
     if has_r2:
         out = out.withColumns({"sigma_R2": F.col("s_R2") / c4_col(F.col("n_R2")), "sigma_R2_window": F.col("s_R2_window") / c4_col(F.col("n_R2_window"))})
-        centre = rows.crossJoin(cells.select(F.col("y_bar").alias("_y"))).withColumn("_p", F.col("_y") + F.col("R2"))
-        potential = centre.agg(F.avg("_p").alias("potential_mean"), *outside(F.col("_p"), limits, ("potential_pct_below", "potential_pct_above")))
-        out = out.crossJoin(potential).withColumns(indices(F.col("potential_mean"), F.col("sigma_R2"), limits, ("cp", "cpu", "cpl", "cpk")))
+        out = out.withColumns(indices(F.col("potential_mean"), F.col("sigma_R2"), limits, ("cp", "cpu", "cpl", "cpk")))
     return out
 
 
@@ -82,27 +84,32 @@ def loss(frame: Frame, replicated: bool, target: float | None = None) -> DataFra
     replicated: every cell has two readings or more. Otherwise the unexplained part is the variance of R2 and the
     interaction what remains (not below 0).
     """
-    spec, rows, cells = frame.spec, frame.rows, frame.cells
-    y = spec.response
-    per_k = cells.groupBy(*spec.factors).agg(F.first("Ybar_k").alias("k"), F.first("Ybar").alias("g"), F.sum(1 / F.col("n")).alias("s"), F.count("*").alias("c"))
-    per_t = cells.groupBy(spec.time).agg(F.first("Ybar_t").alias("t"), F.first("Ybar").alias("g"), F.sum(1 / F.col("n")).alias("s"), F.count("*").alias("c"))
-    size = cells.agg(F.count("*").alias("cells"), F.sum(1 / F.col("n")).alias("inverse"), F.first("Ybar").alias("y_bar"))
-    sums = rows.groupBy(*frame.keys).agg(F.var_samp(y).alias("v")).agg(F.avg("v").alias("cell_variance"))
-    own = rows.agg(F.var_samp(y).alias("variance"), F.var_samp("R2").alias("r2_variance"), F.count("*").alias("N"))
-    # Noise reference: variances and covariances of unweighted means of cell means with variance 1 / n each.
-    g = F.col("inverse") / (F.col("cells") * F.col("cells"))
-    part = lambda t: t.crossJoin(size.select("cells", "inverse")).agg(F.avg(F.col("s") / (F.col("c") * F.col("c")) - 2 * F.col("s") / (F.col("c") * F.col("cells")) + g))
-    pdc = per_k.agg(F.avg((F.col("k") - F.col("g")) * (F.col("k") - F.col("g"))).alias("pdc"), F.count("*").alias("K")).crossJoin(part(per_k).toDF("ref_pdc"))
-    time = per_t.agg(F.avg((F.col("t") - F.col("g")) * (F.col("t") - F.col("g"))).alias("time"), F.count("*").alias("T")).crossJoin(part(per_t).toDF("ref_time"))
-    gap = F.col("Ybar_kt") - F.col("Ybar_k") - F.col("Ybar_t") + F.col("Ybar")
-    k2, t2 = per_k.select(*spec.factors, F.col("s").alias("sk"), F.col("c").alias("ck")), per_t.select(spec.time, F.col("s").alias("st"), F.col("c").alias("ct"))
-    wide = cells.join(k2, list(spec.factors)).join(t2, spec.time).crossJoin(size.select("cells", "inverse"))
-    v = 1 / F.col("n")
-    cell = v - 2 * v / F.col("ck") - 2 * v / F.col("ct") + 2 * v / F.col("cells") + 2 * v / (F.col("ck") * F.col("ct")) + F.col("sk") / (F.col("ck") * F.col("ck")) + F.col("st") / (F.col("ct") * F.col("ct")) + g - 2 * F.col("sk") / (F.col("ck") * F.col("cells")) - 2 * F.col("st") / (F.col("ct") * F.col("cells"))
-    inter = wide.agg(F.avg(gap * gap).alias("cell_interaction"), F.avg(cell).alias("ref_interaction"))
-    one = size.crossJoin(sums).crossJoin(own).crossJoin(pdc).crossJoin(time).crossJoin(inter)  # one row each
+    cells = frame.cells
+    square = lambda c: c * c
+    n, v, c, h, g = F.col("n"), 1 / F.col("n"), F.col("c"), F.col("h"), F.col("Ybar")
+    ck, hk, ct, ht = (F.col(x) for x in ("c_k", "h_k", "c_t", "h_t"))
+    # Under noise alone cell means are independent with variance 1 / n (times the unexplained part), and each effect is a
+    # weighted sum of them: its variance is the sum of squared weights, each times the 1 / n that it goes with.
+    noise_k = square(1 / ck - 1 / c) * hk + square(1 / c) * (h - hk)
+    noise_t = square(1 / ct - 1 / c) * ht + square(1 / c) * (h - ht)
+    noise_kt = square(1 - 1 / ck - 1 / ct + 1 / c) * v + square(1 / c - 1 / ck) * (hk - v) + square(1 / c - 1 / ct) * (ht - v) + square(1 / c) * (h - hk - ht + v)
+    gap = F.col("Ybar_kt") - F.col("Ybar_k") - F.col("Ybar_t") + g
+    # Means over conditions and over periods: each cell counts as its share of them. Sums of squares of readings come
+    # from those within cells and those of cell means, so the rows aren't read again.
+    of_k = lambda x: F.sum(x / ck) / F.sum(1 / ck)
+    of_t = lambda x: F.sum(x / ct) / F.sum(1 / ct)
+    away = F.col("Ybar_kt") - g
+    one = cells.agg(
+        F.first(g).alias("y_bar"), F.sum(n).alias("N"), F.round(F.sum(1 / ck)).cast("long").alias("K"), F.round(F.sum(1 / ct)).cast("long").alias("T"), F.avg("V").alias("cell_variance"),
+        F.sum(F.when(n > 1, (n - 1) * F.col("V")).otherwise(0.0)).alias("within"), (F.sum(n * square(away)) - square(F.sum(n * away)) / F.sum(n)).alias("between"),
+        of_k(square(F.col("Ybar_k") - g)).alias("pdc"), of_t(square(F.col("Ybar_t") - g)).alias("time"), F.avg(square(gap)).alias("cell_interaction"),
+        of_k(noise_k).alias("ref_pdc"), of_t(noise_t).alias("ref_time"), F.avg(noise_kt).alias("ref_interaction"),
+    )
+    one = one.withColumn("variance", F.try_divide(F.col("within") + F.col("between"), F.col("N") - 1))
+    if not replicated:
+        one = one.crossJoin(frame.rows.agg(F.var_samp("R2").alias("r2_variance")))  # one row each
     aim = F.lit(float(target)) if target is not None else F.col("y_bar")
-    one = one.withColumn("target", aim).withColumn("centering", (F.col("y_bar") - F.col("target")) * (F.col("y_bar") - F.col("target")))
+    one = one.withColumn("target", aim).withColumn("centering", square(F.col("y_bar") - F.col("target")))
     one = one.withColumn("unexplained", F.col("cell_variance") if replicated else F.col("r2_variance"))
     one = one.withColumn("interaction", F.col("cell_interaction") if replicated else F.greatest(F.lit(0.0), F.col("variance") - F.col("pdc") - F.col("time") - F.col("unexplained")))
     parts = ["centering", "unexplained", "pdc", "time", "interaction"]
@@ -112,13 +119,21 @@ def loss(frame: Frame, replicated: bool, target: float | None = None) -> DataFra
     return one.withColumns(ref).select("N", "K", "T", "y_bar", "target", *parts, "total", *[f"pct_{p}" for p in parts], "ref_pdc", "ref_time", "ref_interaction")
 
 
-def loss_by_factor(frame: Frame) -> DataFrame:
-    """(factor, loss): mean squared main effect of each factor."""
-    parts = [frame.rows.groupBy(f).agg(F.avg("R5").alias("m")).agg(F.avg(F.col("m") * F.col("m")).alias("loss")).select(F.lit(f).alias("factor"), "loss") for f in frame.spec.factors]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def loss_by_factor(frame: Frame, remainder: bool = False) -> DataFrame:
+    """(factor, loss): mean squared main effect of each factor, all from one aggregate.
+
+    remainder: also a row `factor_interaction`, what the factors leave of the conditions' part (0 for one factor).
+    """
+    factors = frame.spec.factors
+    # R5 = Ybar_k - Ybar + R2; its sums come from sums of cells where R2 is the deviation from the cell mean.
+    effect = frame.rows.select(*factors, "R5").withColumn("_level", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])))
+    out = effect.groupBy("_level.factor", "_level.level").agg(F.avg("R5").alias("m")).groupBy("factor").agg(F.avg(F.col("m") * F.col("m")).alias("loss"))
+    if not remainder:
+        return out
+    gap = F.col("Ybar_k") - F.col("Ybar")
+    whole = frame.cells.agg((F.sum(gap * gap / F.col("c_k")) / F.sum(1 / F.col("c_k"))).alias("pdc"))
+    rest = whole.crossJoin(out.agg(F.sum("loss").alias("taken"))).select(F.lit("factor_interaction").alias("factor"), (F.col("pdc") - F.col("taken") if len(factors) > 1 else F.lit(0.0)).alias("loss"))
+    return out.unionByName(rest)
 
 
 def maximum_information(frame: Frame) -> DataFrame:
@@ -128,3 +143,9 @@ def maximum_information(frame: Frame) -> DataFrame:
     one = individual_fit(moved, [], "R2").withColumns({"lpl": F.col("x_bar") - E2 * F.col("mr_bar"), "upl": F.col("x_bar") + E2 * F.col("mr_bar"), "sigma_hat": F.col("mr_bar") / D2})
     signals = moved.select("R2").crossJoin(one.select("lpl", "upl")).agg(F.count_if((F.col("R2") < F.col("lpl")) | (F.col("R2") > F.col("upl"))).alias("n_signals"))
     return one.crossJoin(signals).select(F.col("points").alias("n"), F.col("x_bar").alias("r2_mean"), F.col("mr_bar").alias("r2_mR"), "sigma_hat", "lpl", "upl", "n_signals")
+
+
+def r2_histogram(frame: Frame, bins: int | None = None) -> DataFrame:
+    """(bin, left, right, count, percent) of R2."""
+    counted = histogram_bins(frame.rows.filter("R2 is not null").select("R2"), [], "R2", bins)
+    return counted.crossJoin(counted.agg(F.sum("count").alias("_n"))).withColumn("percent", 100.0 * F.col("count") / F.col("_n")).drop("_n")

@@ -104,6 +104,22 @@ def mr_chart(moved: DataFrame, strata: list[str], shown: list[str], digits: int
     return out.select(*shown, *[rounded(F.col(a), digits).alias(b) for a, b in (("mr", "mr"), ("mr_bar", "center"), ("_lo", "lpl"), ("_hi", "upl"))], "beyond_limits")
 
 
+def insufficient(rows: DataFrame, strata: list[str], needed: int) -> DataFrame:
+    """(strata, points) of the strata with too few readings for a chart."""
+    return rows.groupBy(*strata).agg(F.count("*").alias("points")).filter(F.col("points") < needed)
+
+
+def zone_lines(chart: DataFrame, position: str = "position") -> DataFrame:
+    """(..., sigma, level): the center and the lines at one, two and three sigma on both sides, one row a point and line.
+
+    Where limits vary the lines are stepped: each point has its own.
+    """
+    each = chart.withColumn("sigma", F.explode(F.array(*[F.lit(k) for k in range(-3, 4)])))
+    side = F.when(F.col("sigma") < 0, F.col("center") - F.col("lpl")).otherwise(F.col("upl") - F.col("center"))
+    keep = [c for c in chart.columns if c not in ("n", "xbar", "s", "mr", "value", "center", "lpl", "upl", "beyond_limits")]
+    return each.select(*keep, "sigma", (F.col("center") + F.col("sigma") / 3 * side).alias("level"))
+
+
 def phase_numbers(rows: DataFrame, strata: list[str], collapsed: list[str]) -> DataFrame:
     """(strata, collapsed, phase): in canonical order the rows of a combination are contiguous, so a phase is its rank
     among the stratum's distinct combinations; only those are ranked."""
@@ -111,10 +127,11 @@ def phase_numbers(rows: DataFrame, strata: list[str], collapsed: list[str]) -> D
     return combos.withColumn("phase", F.dense_rank().over(Window.partitionBy(*strata).orderBy(*collapsed)))
 
 
-def lane_boundaries(chart: DataFrame, streams: list[str], position: str, label: Column, limit: int = 1000) -> DataFrame:
-    """Positions at which the label changes (a report: at most `limit`)."""
+def lane_boundaries(chart: DataFrame, streams: list[str], position: str, label: Column, limit: int | None = None) -> DataFrame:
+    """Positions at which the label changes; with a limit, the first ones of all streams together."""
     moved = over_stream(chart.withColumn("label", label), streams, position, 1, lambda w: {"before": F.lag("label").over(w)})
-    return moved.filter(F.col("before").isNotNull() & (F.col("before") != F.col("label"))).select(*streams, position, "label").orderBy(*streams, position).limit(limit)
+    out = moved.filter(F.col("before").isNotNull() & (F.col("before") != F.col("label"))).select(*streams, position, "label")
+    return out if limit is None else out.orderBy(*streams, position).limit(limit)
 
 
 def histogram_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -20,6 +20,8 @@ TOKENS = ["*", "?", "--", "ND", "BDL", "BQL", "<LOD", ">ULQ", "N/D", "n/d", "MIS
 CURRENCY = "[$€£¥]"
 ACCEPT = 0.8  # share of a column's values that must convert
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Groups of three behind commas, with a sign, decimals or a per cent sign at most.
+GROUPED = r"^-?\d{1,3}(,\d{3})+(\.\d+)?%?$"
 DATES = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "MMM d, yyyy"]
 
 
@@ -41,16 +43,15 @@ def plain_number(c: Column) -> Column:
 def formatted_number(c: Column, role: str) -> Column:
     """A double from text with currency signs, per cent, commas or accounting parentheses.
 
-    role of commas: none, decimal or thousands; a comma that doesn't part groups of three is no thousands mark.
+    role of commas: none, decimal or thousands; a comma that doesn't part groups of three is no thousands mark. Blanks
+    count only at the ends and behind a currency sign, so "10 12" is no number.
     """
-    t = F.trim(c)
-    t = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
-    t = F.regexp_replace(F.regexp_replace(t, CURRENCY, ""), r"\s+", "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^\((.*)\)$", "-$1"), CURRENCY + r"\s*", "")
     if role == "decimal":
-        t = F.regexp_replace(t, ",", ".")
+        bare = F.replace(bare, F.lit(","), F.lit("."))
     elif role == "thousands":
-        t = F.when(~t.contains(",") | t.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d*)?%?$"), F.regexp_replace(t, ",", ""))
-    return plain_number(F.regexp_replace(t, "%$", ""))
+        bare = F.when(~bare.contains(","), bare).when(bare.rlike(GROUPED), F.replace(bare, F.lit(",")))
+    return plain_number(F.replace(bare, F.lit("%")))
 
 
 def _role(stats, c: str) -> str:
@@ -70,23 +71,26 @@ def clean(df: DataFrame, na_values: list[str] | None = None) -> tuple[DataFrame,
         return df, {}
     stats = df.agg(
         *[F.count_if(F.col(c).contains(",")).alias(f"{c}_comma") for c in columns], *[F.count_if(F.col(c).contains(".")).alias(f"{c}_dot") for c in columns],
-        *[F.count_if(F.col(c).rlike(r",(?!\d{3}(\D|$))")).alias(f"{c}_odd") for c in columns],
+        *[F.count_if(F.col(c).rlike(r"\d,(?!\d{3}(?!\d))\d")).alias(f"{c}_odd") for c in columns],
     ).first()
     roles = {c: _role(stats, c) for c in columns}
     made = {c: formatted_number(F.col(c), roles[c]) for c in columns}
-    counts = df.agg(
-        *[F.count(c).alias(f"{c}_n") for c in columns], *[F.count(made[c]).alias(f"{c}_ok") for c in columns], *[F.count(plain_number(F.col(c))).alias(f"{c}_plain") for c in columns],
-        *[F.min(F.when(made[c].isNull(), F.col(c))).alias(f"{c}_bad") for c in columns],
-    ).first()
+    plain = {c: plain_number(F.col(c)) for c in columns}
+    odd = lambda c: [f(F.when(made[c].isNull(), F.col(c))).alias(f"{c}_{k}") for k, f in (("low", F.min), ("high", F.max))]
+    counts = df.agg(*[F.count(c).alias(f"{c}_n") for c in columns], *[F.count(made[c]).alias(f"{c}_ok") for c in columns], *[F.count(plain[c]).alias(f"{c}_plain") for c in columns], *[x for c in columns for x in odd(c)]).first()
     report, casts = {}, {}
     for c in columns:
-        n, ok = counts[f"{c}_n"], counts[f"{c}_ok"]
-        taken = n > 0 and ok >= ACCEPT * n
-        report[c] = {"values": n, "converted": taken, "reformatted": ok - counts[f"{c}_plain"] if taken else 0, "unreadable": n - ok if taken else 0, "example": counts[f"{c}_bad"] if taken else None, "commas": roles[c]}
+        n, ok, bare = counts[f"{c}_n"], counts[f"{c}_ok"], counts[f"{c}_plain"]
+        # A column that is plain numbers for the most part is read as that alone.
+        direct = n > 0 and roles[c] == "none" and bare >= ACCEPT * n
+        taken = direct or n > 0 and ok >= ACCEPT * n
+        read = bare if direct else ok
+        examples = sorted({x for x in (counts[f"{c}_low"], counts[f"{c}_high"]) if x is not None})
+        report[c] = {"values": n, "converted": taken, "reformatted": read - bare if taken else 0, "unreadable": n - read if taken else 0, "examples": examples if taken else [], "commas": roles[c]}
         if taken:
-            casts[c] = made[c]
+            casts[c] = plain[c] if direct else made[c]
             if report[c]["unreadable"]:
-                warnings.warn(f"{c}: {n - ok} values are no numbers, as {counts[f'{c}_bad']!r}; they count as missing", VariqWarning, stacklevel=2)
+                warnings.warn(f"{c}: {n - read} values are no numbers" + f", as {' and '.join(map(repr, examples))}" * bool(examples) + "; they count as missing", VariqWarning, stacklevel=2)
     return (df.withColumns(casts) if casts else df), report
 
 

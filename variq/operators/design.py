@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from variq.operators.clean import any_date
 from variq.plans.spec import FormulationSpec, ValidationError
 
 #: State code to its reason. Fixed values.
@@ -71,11 +73,22 @@ def plan_state(levels: dict[str, list], periods: int, n: int) -> tuple[int, str]
     return state, REASONS[state]
 
 
-def plan_cells(spark, levels: dict[str, list], time: str | None, times: list | None) -> DataFrame:
-    """The cells of a plan: a cross product of its level lists."""
+def typed_levels(spark, name: str, values: list, schema: T.StructType | None = None) -> DataFrame:
+    """One column of a plan's distinct levels, in the type that the data's column has (its text in the plan may differ)."""
+    out = spark.createDataFrame([(None if v is None else str(v),) for v in values], f"`{name}` string")
+    kind = schema[name].dataType if schema is not None and name in schema.names else None
+    if kind is None:
+        return spark.createDataFrame([(v,) for v in values], [name]).distinct()
+    if isinstance(kind, T.DateType | T.TimestampType):
+        out = out.withColumn(name, any_date(F.col(name)))
+    return out.select(F.col(name).try_cast(kind).alias(name) if not isinstance(kind, T.StringType) else F.trim(name).alias(name)).distinct()
+
+
+def plan_cells(spark, levels: dict[str, list], time: str | None, times: list | None, schema: T.StructType | None = None) -> DataFrame:
+    """The cells of a plan: a cross product of its level lists, in the types of `schema`."""
     out = None
     for name, values in [*levels.items(), *([(time, times)] if time and times else [])]:
-        one = spark.createDataFrame([(v,) for v in values], [name])
+        one = typed_levels(spark, name, values, schema)
         out = one if out is None else out.crossJoin(one)
     return out
 
@@ -95,14 +108,18 @@ def residual_charts(min_cell: int) -> dict[str, tuple[str, ...]]:
     return {"R1": ("Xbar", "X"), "R2": ("X",) if single else ("S", "X"), "R3": ("Xbar", "S", "X") if single else ("Xbar", "S"), "R4": ("Xbar", "S"), "R5": ("Xbar", "S"), "R6": ("Xbar", "S")}
 
 
-def missing_combos(cells: DataFrame, plan: DataFrame, limit: int = 100) -> DataFrame:
-    """Planned combinations that were never observed (a report: at most `limit`)."""
-    return plan.distinct().join(cells, plan.columns, "left_anti").limit(limit)
+def _first(combos: DataFrame, limit: int | None) -> DataFrame:
+    return combos if limit is None else combos.orderBy(*combos.columns).limit(limit)
+
 
+def missing_combos(cells: DataFrame, plan: DataFrame, limit: int | None = None) -> DataFrame:
+    """Planned combinations that were never observed; with a limit, the first ones in order."""
+    return _first(plan.distinct().join(cells.select(*plan.columns), plan.columns, "left_anti"), limit)
 
-def extra_combos(cells: DataFrame, plan: DataFrame, limit: int = 100) -> DataFrame:
-    """Observed combinations that weren't planned (a report: at most `limit`)."""
-    return cells.select(*plan.columns).distinct().join(plan, plan.columns, "left_anti").limit(limit)
+
+def extra_combos(cells: DataFrame, plan: DataFrame, limit: int | None = None) -> DataFrame:
+    """Observed combinations that weren't planned; with a limit, the first ones in order."""
+    return _first(cells.select(*plan.columns).distinct().join(plan, plan.columns, "left_anti"), limit)
 
 
 def coverage(cells: DataFrame, plan: DataFrame) -> DataFrame:
@@ -127,11 +144,18 @@ def report(cells: DataFrame, spec: FormulationSpec) -> DataFrame:
     return out.withColumn("empty", F.col("K") * F.col("T") - F.col("R"))
 
 
+def period_spread(cells: DataFrame, spec: FormulationSpec) -> DataFrame:
+    """One row: the largest difference between conditions in the mean rank of the periods that they were observed in."""
+    ranks = cells.select(spec.time).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(spec.time)))  # one row a period
+    mean = cells.join(ranks, spec.time).groupBy(*spec.factors).agg(F.avg("_rank").alias("m"))
+    return mean.agg((F.max("m") - F.min("m")).alias("period_spread"))
+
+
 def level_report(cells: DataFrame, levels: dict[str, list]) -> DataFrame:
     """(factor, level, planned, observed) of every planned or observed level of each planned factor."""
     spark, out = cells.sparkSession, None
     for name, values in levels.items():
-        plan = spark.createDataFrame([(str(v),) for v in values], "level string").withColumn("planned", F.lit(True))
+        plan = typed_levels(spark, name, values, cells.schema).select(F.col(name).cast("string").alias("level")).withColumn("planned", F.lit(True))
         seen = cells.select(F.col(name).cast("string").alias("level")).distinct().withColumn("observed", F.lit(True))
         one = plan.join(seen, "level", "full").select(F.lit(name).alias("factor"), "level", F.coalesce("planned", F.lit(False)).alias("planned"), F.coalesce("observed", F.lit(False)).alias("observed"))
         out = one if out is None else out.unionByName(one)

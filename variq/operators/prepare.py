@@ -36,15 +36,26 @@ def validate(df: DataFrame, spec: FormulationSpec) -> None:
         raise ValidationError(f"the name {used[0]!r} is reserved")
 
 
-def label(df: DataFrame, columns: tuple[str, ...] | list[str], delimiter: str = "_") -> Column:
-    """The columns' values as one string."""
-    return F.concat_ws(delimiter, *[F.col(c).cast("string") for c in columns])
+def label(df: DataFrame, columns: tuple[str, ...] | list[str], delimiter: str | None = "_") -> Column:
+    """The columns' values as one string; without a delimiter as a JSON list, which is different for different values."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws(delimiter, *parts) if delimiter is not None else F.to_json(F.array(*parts))
+
+
+def ambiguous(cells: DataFrame, spec: FormulationSpec) -> bool:
+    """Whether two conditions have the same label; one small job on the cell table."""
+    seen = cells.agg(F.max(F.greatest(*[F.coalesce(F.col(f).cast("string").contains(spec.delimiter), F.lit(False)) for f in spec.factors])).alias("any")).first()["any"]
+    if not seen:
+        return False
+    r = cells.agg(F.count_distinct(F.struct(*spec.factors)), F.count_distinct(label(cells, spec.factors, spec.delimiter))).first()
+    return r[0] != r[1]
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key in which runs of digits compare as numbers."""
+    """A sort key in which runs of digits, however long, compare as numbers: each is led by its number of digits."""
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.concat_ws("\u0001", F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(F.ltrim(x), F.lit(20), F.lit("0"))).otherwise(x)))
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    return F.concat_ws("\u0001", F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 9, "0"), digits(x))).otherwise(x)))
 
 
 @dataclass
@@ -76,15 +87,23 @@ def tidy(df: DataFrame, spec: FormulationSpec) -> DataFrame:
     return out.withColumn("rsg", label(out, spec.factors, spec.delimiter)) if spec.factors else out
 
 
+#: What rows get from the cell table.
+MEANS = ("n", "Ybar_kt", "Ybar_k", "Ybar_t", "Ybar")
+
+
 def cell_table(rows: DataFrame, spec: FormulationSpec) -> DataFrame:
-    """One row a cell: n, Ybar_kt and the unweighted means of cell means by condition, by period and over all."""
+    """One row a cell: n, Ybar_kt, V (variance) and the unweighted means of cell means by condition, by period, over all.
+
+    c_k, c_t and c: cells of the condition, of the period and of all; h_k, h_t and h: the sums of their 1 / n.
+    """
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
-    cells = rows.groupBy(*keys).agg(F.count(spec.response).alias("n"), F.avg(spec.response).alias("Ybar_kt"))
-    overall = cells.agg(F.avg("Ybar_kt").alias("Ybar"))  # one row
+    cells = rows.groupBy(*keys).agg(F.count(spec.response).alias("n"), F.avg(spec.response).alias("Ybar_kt"), F.var_samp(spec.response).alias("V"))
+    over = lambda mean, grain: [F.avg("Ybar_kt").alias(mean), F.count("*").alias(f"c{grain}"), F.sum(1 / F.col("n")).alias(f"h{grain}")]
+    overall = cells.agg(*over("Ybar", ""))  # one row
     if spec.factors:
-        cells = cells.join(cells.groupBy(*spec.factors).agg(F.avg("Ybar_kt").alias("Ybar_k")), list(spec.factors))
+        cells = cells.join(cells.groupBy(*spec.factors).agg(*over("Ybar_k", "_k")), list(spec.factors))
     if spec.time:
-        cells = cells.join(cells.groupBy(spec.time).agg(F.avg("Ybar_kt").alias("Ybar_t")), spec.time)
+        cells = cells.join(cells.groupBy(spec.time).agg(*over("Ybar_t", "_t")), spec.time)
     return cells.crossJoin(overall)
 
 
@@ -97,7 +116,7 @@ def prepare(df: DataFrame, spec: FormulationSpec, persist: bool = False) -> Fram
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
     if not keys:
         return Frame(spec, rows.withColumn("n", F.lit(1)), cells)
-    return Frame(spec, rows.join(cells, keys), cells)
+    return Frame(spec, rows.join(cells.select(*keys, *[c for c in MEANS if c in cells.columns]), keys), cells)
 
 
 def scale_factor(cells: DataFrame, factors: tuple[str, ...]) -> DataFrame:
@@ -110,9 +129,6 @@ def canonical(rows: DataFrame, spec: FormulationSpec, streams: list[str] | None
     """Adds each row's position in canonical order: condition by value, then time, then obs_id."""
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
     streams = streams or []
-    if not keys:  # a plain series: its id's range is cut into blocks
-        block = F.floor(F.col("obs_id") / 100_000) if isinstance(rows.schema["obs_id"].dataType, T.NumericType) else F.lit(0)
-        return positions(rows.withColumn("_block", block), streams, ["_block"], ["obs_id"], name).drop("_block")
     return positions(rows, streams, [k for k in keys if k not in streams], ["obs_id"], name)
 
 

@@ -123,7 +123,8 @@ def design_state_ads(spark, sf_dir):
 
 @query(f"WITH {E_CTE} SELECT k AS event_type, t AS day, n, {R6('m')} AS Ybar_kt, {R6('mk')} AS Ybar_k, {R6('mt')} AS Ybar_t, {R6('g')} AS Ybar FROM c JOIN ck USING (k) JOIN ct USING (t), g")
 def cell_means(spark, sf_dir):
-    return six(prepare.prepare(events(spark, sf_dir), EVENTS).cells, "Ybar_kt", "Ybar_k", "Ybar_t", "Ybar")
+    cells = prepare.prepare(events(spark, sf_dir), EVENTS).cells
+    return six(cells.select("event_type", "day", *prepare.MEANS), "Ybar_kt", "Ybar_k", "Ybar_t", "Ybar")
 
 
 @query(f"WITH {E_CTE} SELECT 'condition' AS grain, k AS level, {R6('mk')} AS mean FROM ck UNION ALL SELECT 'period', CAST(t AS VARCHAR), {R6('mt')} FROM ct UNION ALL SELECT 'all', '', {R6('g')} FROM g")
@@ -221,11 +222,27 @@ def s_stratified(spark, sf_dir):
     return study(spark, sf_dir, "items").execute("S", by=["year"]).get_chart().data
 
 
-@query(f"WITH {O_CTE}, u AS (SELECT k, t, avg(y - m) AS m, stddev_samp(y - m) AS s, count(*) AS n FROM j GROUP BY k, t), f AS (SELECT avg(s) AS sb FROM u WHERE n >= 2) SELECT count(*) AS subgroups, {R3('max(sb)')} AS center, sum(n)::BIGINT AS n FROM u, f WHERE n >= 2")
+RESIDUAL_U = "u AS (SELECT k, t, avg({r}) AS m, stddev_samp(y - m) AS s, count(*) AS n FROM j GROUP BY k, t)"
+
+
+@query(f"WITH {E_CTE}, {RESIDUAL_U.format(r='y - m')}, f AS (SELECT avg(s) AS sb FROM u WHERE n >= 2) {_s_out('k AS event_type, t AS day')} FROM u, f WHERE n >= 2")
 def s_of_r2(spark, sf_dir):
-    rows = frame(spark, sf_dir, "orders", "exact").rows
-    out = charts.s_chart(charts.subgroups(rows, ["o_orderpriority", "month"], "R2"), [])
-    return out.agg(F.count("*").alias("subgroups"), F.max("center").alias("center"), F.sum("n").alias("n"))
+    return study(spark, sf_dir, "events").execute("S", value="R2").get_chart().data.drop("group")
+
+
+@query(f"WITH {E_CTE}, {RESIDUAL_U.format(r='mk - g + (y - m)')}, f AS (SELECT avg(s) AS sb FROM u WHERE n >= 2) {_s_out('k AS event_type, t AS day')} FROM u, f WHERE n >= 2")
+def s_of_r5(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("S", value="R5").get_chart().data.drop("group")
+
+
+@query(f"WITH {E_CTE}, {RESIDUAL_U.format(r='y - g')}, {_fit('k, t')}, h AS (SELECT avg(m) AS cc FROM u) {_xbar_out('k AS event_type, t AS day', 'cc')} FROM u, f, h")
+def xbar_of_r1(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("Xbar", value="R1").get_chart().data.drop("group")
+
+
+@query(f"WITH {E_CTE}, {RESIDUAL_U.format(r='mk - g + (y - m)')}, {_fit('k, t')}, h AS (SELECT avg(e) AS cc FROM (SELECT avg(mk - g + (y - m)) AS e FROM j GROUP BY k)) {_xbar_out('k AS event_type, t AS day', 'cc')} FROM u, f, h")
+def xbar_of_r5(spark, sf_dir):
+    return study(spark, sf_dir, "events").execute("Xbar", value="R5").get_chart().data.drop("group")
 
 
 # X and mR
@@ -276,11 +293,24 @@ def x_received_order(spark, sf_dir):
     return Study(events(spark, sf_dir), FormulationSpec("value", (), None, "event_id")).execute("X").get_chart().data.drop("sort_key")
 
 
-@query(f"WITH {E_CTE}, q AS (SELECT k, t, id, y - m AS r2, mk FROM j), z AS (SELECT *, mk + r2 AS v, abs(mk - (SELECT g FROM g) + r2 - lag(mk - (SELECT g FROM g) + r2) OVER (ORDER BY k, t, id)) AS mr FROM q) SELECT count(*) AS points, {R3('avg(v)')} AS center, {R3('avg(mr)')} AS mr_bar FROM z")
+Z1 = f"z AS (SELECT k, t, id, y - g + g AS y, abs(y - g - lag(y - g) OVER (ORDER BY k, t, id)) AS mr FROM j), o AS (SELECT z.*, xb, mb FROM z, (SELECT avg(y) AS xb, avg(mr) AS mb FROM z))"
+
+
+@query(f"WITH {E_CTE}, {Z1} {_x_out('k AS event_type, t AS day, id AS obs_id', 'RCR1')}")
 def x_recentered_residual(spark, sf_dir):
-    rows = prepare.canonical(frame(spark, sf_dir, "events", "exact").rows, EVENTS)
-    one = charts.individual_fit(charts.moving_ranges(rows, [], "sort_key", "R5"), [], "RCR5")
-    return one.select("points", rounded(F.col("x_bar")).alias("center"), rounded(F.col("mr_bar")).alias("mr_bar"))
+    return study(spark, sf_dir, "events").execute("X", by=[], value="R1", recentered=True).get_chart().data.withColumnRenamed("rsg", "event_type").drop("sort_key")
+
+
+@query(f"WITH {E_CTE} SELECT id AS event_id, {R6('y')} AS RCR1, {R6('m + (y - m)')} AS RCR2, {R6('m - mk - mt + 2 * g + (y - m)')} AS RCR3, {R6('mt + (y - m)')} AS RCR4, {R6('mk + (y - m)')} AS RCR5 FROM j")
+def vas_recentered(spark, sf_dir):
+    names = [f"RCR{k}" for k in range(1, 6)]
+    return six(frame(spark, sf_dir, "events", "exact").rows.select(F.col("obs_id").alias("event_id"), *names), *names)
+
+
+@query("SELECT user_id, event_type, count(*) AS points FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL HAVING count(*) < 10")
+def insufficient_strata(spark, sf_dir):
+    rows = prepare.tidy(events(spark, sf_dir), FormulationSpec("value", ("user_id", "event_type"), "day", "event_id"))
+    return charts.insufficient(rows, ["user_id", "event_type"], 10)
 
 
 # Phases, calibrated limits
@@ -308,6 +338,42 @@ def calibrated_xbar(spark, sf_dir):
     return study(spark, sf_dir, "items").execute("Xbar", calibration=Calibration(25.0, 14.0)).get_chart().data.drop("group")
 
 
+C4N = C4.format(n="n")
+
+
+@query(f"WITH {I_CTE}, x AS (SELECT *, {C4N} AS q FROM c WHERE n >= 2), z AS (SELECT *, 14 * q AS mid, greatest(0, 1 - 3 / q * sqrt(1 - q * q)) * 14 * q AS lo, (1 + 3 / q * sqrt(1 - q * q)) * 14 * q AS hi FROM x) SELECT a AS l_returnflag, b AS l_linestatus, t AS year, n, {R3('s')} AS s, {R3('mid')} AS center, {R3('lo')} AS lpl, {R3('hi')} AS upl, CASE WHEN s < lo THEN -1 WHEN s > hi THEN 1 ELSE 0 END AS beyond_limits FROM z")
+def calibrated_s(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("S", calibration=Calibration(25.0, 14.0)).get_chart().data.drop("group")
+
+
+@query(f"WITH r AS ({E_ROWS}), l AS (SELECT *, abs(y - lag(y) OVER (ORDER BY k, t, id)) AS mr FROM r) SELECT k AS event_type, t AS day, id AS obs_id, {R3('mr')} AS mr, {R3('1.128 * 20')} AS center, 0.0 AS lpl, {R3(f'{D4} * 1.128 * 20')} AS upl, CASE WHEN mr > {D4} * 1.128 * 20 THEN 1 ELSE 0 END AS beyond_limits FROM l WHERE mr IS NOT NULL")
+def calibrated_mr(spark, sf_dir):
+    out = study(spark, sf_dir, "events").execute("mR", by=[], calibration=Calibration(50.0, 20.0)).get_chart().data
+    return out.withColumnRenamed("rsg", "event_type").drop("sort_key")
+
+
+# Several charts at once
+
+BOTH_SQL = f"WITH {I_CTE}, u AS (SELECT * FROM c), {_fit('a, b, t')}, x AS ({_xbar_out('a, b, t', 'g')} FROM u, f, g), w AS (SELECT u.*, sb FROM u, f WHERE n >= 2), s AS ({_s_out('a, b, t')} FROM w)"
+
+
+@query(f"{BOTH_SQL} SELECT 'Xbar' AS chart, '' AS stratum, count(*) AS points, count(*) FILTER (beyond_limits <> 0) AS signals, max(center) AS center, min(lpl) AS lpl, max(upl) AS upl FROM x UNION ALL SELECT 'S', '', count(*), count(*) FILTER (beyond_limits <> 0), max(center), min(lpl), max(upl) FROM s")
+def result_summary(spark, sf_dir):
+    return study(spark, sf_dir, "items").execute("Xbar", companion=True).summary()
+
+
+@query(f"{BOTH_SQL}, y AS (SELECT 'Xbar' AS chart, a, b, t, xbar AS value, center, lpl, upl FROM x UNION ALL SELECT 'S', a, b, t, s, center, lpl, upl FROM s) SELECT chart, row_number() OVER (PARTITION BY chart ORDER BY a, b, t) - 1 AS position, value > upl OR value < lpl AS rule_1 FROM y")
+def signals_of_all_charts(spark, sf_dir):
+    found = study(spark, sf_dir, "items").execute("Xbar", companion=True).detect_signals()
+    parts = [r.flagged.select(F.lit(name).alias("chart"), "position", "rule_1") for name, r in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"{BOTH_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY a, b, t) - 1 AS position FROM x) SELECT position, q AS sigma, {R6('center + q / 3.0 * CASE WHEN q < 0 THEN center - lpl ELSE upl - center END')} AS level FROM p, (SELECT unnest(range(-3, 4))::INT AS q)")
+def zone_lines(spark, sf_dir):
+    return six(study(spark, sf_dir, "items").execute("Xbar").zone_lines().select("position", "sigma", "level"), "level")
+
+
 # Run rules
 
 RULE_SQL = f"""WITH {_xmr(E_ROWS, 'k', 't, id', '')},
@@ -327,7 +393,7 @@ x AS (SELECT k AS event_type, id AS obs_id, position,
 
 
 def _signals(spark, sf_dir):
-    return study(spark, sf_dir, "events").execute("X", by=["event_type"]).detect_signals(rules="all")
+    return study(spark, sf_dir, "events").execute("X", by=["event_type"]).detect_signals("X", rules="all")
 
 
 @query(f"{RULE_SQL} SELECT event_type, obs_id, position, rule_1, rule_2, rule_3, rule_4, rule_5, rule_6, rule_7, rule_8 FROM x")
@@ -355,10 +421,28 @@ def violations_long(spark, sf_dir):
 # Effects
 
 
-@query(f"WITH {I_CTE}, q AS (SELECT *, y - m AS r2, mk - g + (y - m) AS r5 FROM j), al AS (SELECT a, avg(r5 - r2) AS al FROM q GROUP BY a) SELECT q.a AS l_returnflag, count(*) AS n, {R6('avg(al + r2)')} AS r6, {R6('avg(g + al + r2)')} AS rcr6 FROM q JOIN al ON q.a = al.a GROUP BY q.a")
+O2 = FormulationSpec("o_totalprice", ("o_orderpriority", "o_orderstatus"), "month", "o_orderkey")
+O2_CTE = _means("SELECT o_orderkey AS id, o_totalprice AS y, o_orderpriority AS a, o_orderstatus AS b, strftime(o_orderdate, '%Y-%m') AS t FROM orders", "a, b")
+O2_Q = f"{O2_CTE}, q AS (SELECT *, y - m AS r2, mk - g + (y - m) AS r5 FROM j)"
+
+
+def _two_factors(spark, sf_dir) -> prepare.Frame:
+    return prepare.residuals(prepare.prepare(orders(spark, sf_dir), O2), "exact")
+
+
+@query(f"WITH {O2_Q}, al AS (SELECT a, avg(r5 - r2) AS al FROM q GROUP BY a) SELECT id AS obs_id, {R6('al + r2')} AS R6, {R6('g + al + r2')} AS RCR6 FROM q JOIN al USING (a)")
 def r6_by_factor(spark, sf_dir):
-    rows = prepare.r6(frame(spark, sf_dir, "items", "exact"), ["l_returnflag"])
-    return six(rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("R6").alias("r6"), F.avg("RCR6").alias("rcr6")), "r6", "rcr6")
+    return six(prepare.r6(_two_factors(spark, sf_dir), ["o_orderpriority"]).select("obs_id", "R6", "RCR6"), "R6", "RCR6")
+
+
+@query(f"WITH {O2_Q}, ea AS (SELECT a, avg(r5) AS ea FROM q GROUP BY a), eb AS (SELECT b, avg(r5) AS eb FROM q GROUP BY b), x AS (SELECT a, b, avg(r5) AS ab FROM q GROUP BY a, b) SELECT id AS obs_id, {R6('r2 + ab - ea - eb')} AS Rx_score FROM q JOIN ea USING (a) JOIN eb USING (b) JOIN x USING (a, b)")
+def interaction_scores(spark, sf_dir):
+    return six(effects.interaction_scores(_two_factors(spark, sf_dir), "o_orderpriority", "o_orderstatus").select("obs_id", "Rx_score"), "Rx_score")
+
+
+@query(f"WITH {U_CTE} SELECT k AS user_id, t AS day, {R6('m - mk - mt + g')} AS interaction FROM c JOIN ck USING (k) JOIN ct USING (t), g")
+def interaction_cells_single(spark, sf_dir):
+    return six(effects.condition_by_time(frame(spark, sf_dir, "users", "ma2"), 2), "interaction")
 
 
 @query(f"WITH {I_CTE}, q AS (SELECT *, mk - g + (y - m) AS r5 FROM j) SELECT 'l_returnflag' AS factor, a AS level, {R6('avg(r5)')} AS Main_Effect FROM q GROUP BY a UNION ALL SELECT 'l_linestatus', b, {R6('avg(r5)')} FROM q GROUP BY b UNION ALL SELECT 'rsg', a || '_' || b, {R6('avg(r5)')} FROM q GROUP BY a, b")
@@ -382,15 +466,14 @@ def interaction_cells(spark, sf_dir):
     return six(effects.condition_by_time(frame(spark, sf_dir, "items", "exact"), 1), "interaction")
 
 
-@query(f"WITH {I_CTE}, q AS (SELECT *, y - m AS r2, mk - g + (y - m) AS r5 FROM j), ea AS (SELECT a, avg(r5) AS ea FROM q GROUP BY a) SELECT a AS l_returnflag, count(*) AS n, {R6('min(r2 + ea)')} AS low, {R6('max(r2 + ea)')} AS high FROM q JOIN ea USING (a) GROUP BY a")
+@query(f"WITH {O2_Q}, ea AS (SELECT a, avg(r5) AS ea FROM q GROUP BY a) SELECT id AS obs_id, {R6('r2 + ea')} AS score FROM q JOIN ea USING (a)")
 def main_effect_scores(spark, sf_dir):
-    rows = effects.main_effect_scores(frame(spark, sf_dir, "items", "exact"), "l_returnflag")
-    return six(rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_returnflag_MEs").alias("low"), F.max("l_returnflag_MEs").alias("high")), "low", "high")
+    rows = effects.main_effect_scores(_two_factors(spark, sf_dir), "o_orderpriority")
+    return six(rows.select("obs_id", F.col("o_orderpriority_MEs").alias("score")), "score")
 
 
 # Capability, loss, maximum information
 
-C4N = C4.format(n="n")
 CAP_COLUMNS = ["n", "y_bar", "sigma", "pp", "ppu", "ppl", "ppk", "pct_below_lsl", "pct_above_usl", "sigma_R2", "cp", "cpu", "cpl", "cpk", "potential_pct_below", "potential_pct_above"]
 
 
@@ -423,10 +506,10 @@ def loss(spark, sf_dir):
     return six(cap.loss(frame(spark, sf_dir, "events", "exact"), True, 40.0).select(names), *names)
 
 
-@query(f"""WITH {E_CTE}, s AS (SELECT avg(v) AS s2, count(*) AS cc, sum(1.0 / n) AS inv FROM c),
-x AS (SELECT k, t, s2 / n AS v, cc, s2 * inv / (cc * cc) AS vg, count(*) OVER (PARTITION BY k) AS tk, count(*) OVER (PARTITION BY t) AS kt, sum(s2 / n) OVER (PARTITION BY k) AS sk, sum(s2 / n) OVER (PARTITION BY t) AS st FROM c, s)
-SELECT {R6("(SELECT avg(p) FROM (SELECT k, any_value(sk / (tk * tk) - 2 * sk / (tk * cc) + vg) AS p FROM x GROUP BY k))")} AS ref_pdc, {R6("(SELECT avg(p) FROM (SELECT t, any_value(st / (kt * kt) - 2 * st / (kt * cc) + vg) AS p FROM x GROUP BY t))")} AS ref_time,
-{R6("(SELECT avg(v - 2 * v / tk - 2 * v / kt + 2 * v / cc + 2 * v / (tk * kt) + sk / (tk * tk) + st / (kt * kt) + vg - 2 * sk / (tk * cc) - 2 * st / (kt * cc)) FROM x)")} AS ref_interaction""")
+# Squared weights of independent cell means: those of the cell's own condition, of its period, of the others.
+@query(f"""WITH {E_CTE}, x AS (SELECT k, t, (SELECT avg(v) FROM c) / n AS v FROM c), a AS (SELECT count(*) AS cc, sum(v) AS va FROM x), kk AS (SELECT k, count(*) AS nk, sum(v) AS vk FROM x GROUP BY k), tt AS (SELECT t, count(*) AS nt, sum(v) AS vt FROM x GROUP BY t)
+SELECT {R6("(SELECT avg(power(1.0 / nk - 1.0 / cc, 2) * vk + (va - vk) / power(cc, 2)) FROM kk, a)")} AS ref_pdc, {R6("(SELECT avg(power(1.0 / nt - 1.0 / cc, 2) * vt + (va - vt) / power(cc, 2)) FROM tt, a)")} AS ref_time,
+{R6("(SELECT avg(power(1 - 1.0 / nk - 1.0 / nt + 1.0 / cc, 2) * v + power(1.0 / cc - 1.0 / nk, 2) * (vk - v) + power(1.0 / cc - 1.0 / nt, 2) * (vt - v) + (va - vk - vt + v) / power(cc, 2)) FROM x JOIN kk USING (k) JOIN tt USING (t), a)")} AS ref_interaction""")
 def loss_reference(spark, sf_dir):
     names = ["ref_pdc", "ref_time", "ref_interaction"]
     return six(cap.loss(frame(spark, sf_dir, "events", "exact"), True).select(names), *names)
@@ -437,6 +520,22 @@ def loss_by_factor(spark, sf_dir):
     return six(cap.loss_by_factor(frame(spark, sf_dir, "items", "exact")), "loss")
 
 
+@query(f"WITH {O2_Q}, p AS (SELECT (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY a)) AS la, (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY b)) AS lb, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc) SELECT 'o_orderpriority' AS factor, {R6('la')} AS loss FROM p UNION ALL SELECT 'o_orderstatus', {R6('lb')} FROM p UNION ALL SELECT 'factor_interaction', {R6('pdc - la - lb')} FROM p")
+def loss_remainder(spark, sf_dir):
+    return six(cap.loss_by_factor(_two_factors(spark, sf_dir), remainder=True), "loss")
+
+
+@query(f"""WITH {U_CTE}{MA2}, l AS (SELECT power((SELECT g FROM g) - 40, 2) AS centering, (SELECT var_samp(r2) FROM q) AS unexplained, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc, (SELECT avg(power(mt - g, 2)) FROM ct, g) AS time),
+i AS (SELECT *, greatest(0, (SELECT var_samp(y) FROM r) - pdc - time - unexplained) AS interaction FROM l) SELECT {', '.join(R6(x) + ' AS ' + x for x in LOSS[:-1])}, {R6('centering + unexplained + pdc + time + interaction')} AS total FROM i""")
+def loss_without_replication(spark, sf_dir):
+    return six(cap.loss(frame(spark, sf_dir, "users", "ma2"), False, 40.0).select(LOSS), *LOSS)
+
+
+@query(f"WITH {E_CTE}, q AS (SELECT y - m AS x FROM j), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 10 AS w, count(*) AS n FROM q), b AS (SELECT least(floor((x - lo) / w), 9)::INT AS bin, count(*) AS c FROM q, e GROUP BY 1) SELECT bin, {R6('lo + bin * w')} AS left, {R6('lo + (bin + 1) * w')} AS right, coalesce(c, 0) AS count, {R6('100.0 * coalesce(c, 0) / n')} AS percent FROM (SELECT unnest(range(10))::INT AS bin) LEFT JOIN b USING (bin), e")
+def r2_histogram(spark, sf_dir):
+    return six(cap.r2_histogram(frame(spark, sf_dir, "events", "exact"), 10), "left", "right", "percent")
+
+
 @query(f"WITH {E_CTE}, q AS (SELECT y - m AS r2, abs(y - m - lag(y - m) OVER (ORDER BY k, t, id)) AS mr FROM j), f AS (SELECT count(*) AS n, avg(r2) AS a, avg(mr) AS b FROM q) SELECT any_value(n) AS n, {R6('any_value(a)')} AS r2_mean, {R6('any_value(b)')} AS r2_mR, {R6('any_value(b) / 1.128')} AS sigma_hat, {R6(f'any_value(a) - {E2} * any_value(b)')} AS lpl, {R6(f'any_value(a) + {E2} * any_value(b)')} AS upl, count(*) FILTER (r2 < a - {E2} * b OR r2 > a + {E2} * b) AS n_signals FROM q, f")
 def max_information(spark, sf_dir):
     return six(cap.maximum_information(frame(spark, sf_dir, "events", "exact")), "r2_mean", "r2_mR", "sigma_hat", "lpl", "upl")
@@ -495,13 +594,14 @@ _T = {"log": "ln(x)", "log10": "log10(x)", "sqrt": "sqrt(x)", "square": "x * x",
 
 def _transform_query(name: str, sql: str):
     def run(spark, sf_dir):
-        src = table(spark, sf_dir, "lineitem").select(F.col("l_discount" if name == "arcsin" else "l_extendedprice").alias("x")).filter("x > 0")
+        src = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount" if name == "arcsin" else "l_extendedprice").alias("x")).filter("x > 0")
         out, _ = derive.materialise(src, [derive.Derivation("transform", "x", name, "y", {"exponent": 0.5} if name == "power" else {})])
-        return six(out.agg(F.count("y").alias("n"), (F.sum(F.col("y") / 1e6)).alias("total"), F.min("y").alias("low"), F.max("y").alias("high")), "total", "low", "high")
+        scale = 1e6 if name == "square" else 1.0
+        return six(out.select("l_orderkey", "l_linenumber", (F.col("y") / scale).alias("y")), "y")
 
     run.__name__ = f"transform_{name}"
     source = "l_discount" if name == "arcsin" else "l_extendedprice"
-    query(f"WITH s AS (SELECT {source} AS x FROM lineitem WHERE {source} > 0), t AS (SELECT {sql} AS y FROM s) SELECT count(y) AS n, {R6('sum(y / 1e6)')} AS total, {R6('min(y)')} AS low, {R6('max(y)')} AS high FROM t")(run)
+    query(f"SELECT l_orderkey, l_linenumber, {R6(f'({sql}) / 1e6' if name == 'square' else sql)} AS y FROM (SELECT l_orderkey, l_linenumber, {source} AS x FROM lineitem WHERE {source} > 0)")(run)
 
 
 for _name, _sql in _T.items():
@@ -528,6 +628,21 @@ def clean_tokens(spark, sf_dir):
     return clean.clean(src, ["unknown"])[0]
 
 
+@query(f"SELECT o_orderkey, {R6('CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 12 ELSE round(o_totalprice, 2) END')} AS price FROM orders")
+def clean_blanks(spark, sf_dir):
+    """A blank within a number makes it unreadable; one behind a currency sign or at the ends doesn't."""
+    shown = F.format_number("o_totalprice", 2)
+    raw = F.when(F.col("o_orderkey") % 10 == 0, "10 12").when(F.col("o_orderkey") % 10 == 1, " 12 %").otherwise(F.concat(F.lit(" € "), shown))
+    return six(clean.clean(orders(spark, sf_dir).select("o_orderkey", raw.alias("price")))[0], "price")
+
+
+@query(f"SELECT o_orderkey, {R6('CASE WHEN o_orderkey % 9 = 0 THEN -round(o_totalprice, 2) ELSE round(o_totalprice, 2) END')} AS price FROM orders")
+def clean_decimal_commas(spark, sf_dir):
+    shown = F.translate(F.format_string("%.2f", "o_totalprice"), ".", ",")
+    raw = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    return six(clean.clean(orders(spark, sf_dir).select("o_orderkey", raw.alias("price")))[0], "price")
+
+
 # Design report, order
 
 
@@ -546,6 +661,23 @@ def missing_combos(spark, sf_dir):
     return design.missing_combos(rows, plan)
 
 
+@query("SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW'")
+def extra_combos(spark, sf_dir):
+    rows, plan = orders(spark, sf_dir), orders(spark, sf_dir).filter("o_orderstatus = 'O' OR o_orderpriority = '5-LOW'").select("o_orderpriority", "o_orderstatus")
+    return design.extra_combos(rows, plan)
+
+
+@query(f"WITH {U_CTE}, p AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM c)), m AS (SELECT k, avg(i) AS a FROM c JOIN p USING (t) GROUP BY k) SELECT {R6('max(a) - min(a)')} AS period_spread FROM m")
+def period_spread(spark, sf_dir):
+    return six(design.period_spread(prepare.prepare(events(spark, sf_dir), USERS).cells, USERS), "period_spread")
+
+
+@query("SELECT 'year' AS factor, CAST(coalesce(p.level, o.level) AS VARCHAR) AS level, p.level IS NOT NULL AS planned, o.level IS NOT NULL AS observed FROM (SELECT unnest([1992, 1995, 2001]) AS level) p FULL JOIN (SELECT DISTINCT year(l_shipdate)::INT AS level FROM lineitem) o ON p.level = o.level")
+def plan_levels_typed(spark, sf_dir):
+    """A plan in text against a factor that holds numbers."""
+    return design.level_report(lineitem(spark, sf_dir), {"year": ["1992", " 1995", "2001"]})
+
+
 @query(f"{PLAN_SQL} SELECT count(*) FILTER (o.o_orderstatus IS NOT NULL) AS observed, count(*) AS planned, {R6('count(*) FILTER (o.o_orderstatus IS NOT NULL) * 1.0 / count(*)')} AS coverage FROM p LEFT JOIN o USING (o_orderpriority, o_orderstatus)")
 def coverage(spark, sf_dir):
     rows, plan = _plan(spark, sf_dir)

@@ -42,27 +42,37 @@ def svg(rows: list[tuple]) -> str:
     return f'<svg width="{WIDTH}" height="{HEIGHT}">{"".join(parts)}</svg>'
 
 
-def table(df, limit: int = 200) -> str:
-    """A report's table (at most `limit` rows)."""
-    rows = df.limit(limit).collect()
+def table(df, limit: int | None = None) -> str:
+    """A table; with a limit its first rows, and a line that says so."""
+    rows = (df.limit(limit + 1) if limit is not None else df).collect()
+    cut = limit is not None and len(rows) > limit
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows[:limit])
+    return f"<table><tr>{head}</tr>{body}</table>" + (f"<p>the first {limit} rows; there are more</p>" if cut else "")
 
 
-def write(result: AnalysisResult, path: str, strata: int = 20) -> str:
-    """The page of all charts, up to `strata` strata of each, at a path of the driver; returns it."""
+def write(result: AnalysisResult, path: str, strata: int | None = None, rows: int | None = None) -> str:
+    """The page of all charts at a path of the driver; returns it.
+
+    strata and rows: draw so many strata of a chart and list so many rows of a table at most (None: all); the page says
+    where it was cut.
+    """
     study = result.study
     out = [f"<h1>{html.escape(study.spec.response)}</h1>", f"<p>design: {study.analytical_design_state.reason}</p>"]
     for name, chart in result.iter_charts():
-        out += [f"<h2>{name}</h2>", table(chart.statistics)]
+        out += [f"<h2>{name}</h2>", table(chart.statistics, rows)]
         if name == "Histogram":
-            out.append(table(chart.bins))
+            out.append(table(chart.bins, rows))
             continue
-        levels = chart.data.select(*chart.strata).distinct().orderBy(*chart.strata).limit(strata).collect() if chart.strata else [None]
-        for level in levels:
+        levels = [None]
+        if chart.strata:
+            found = chart.data.select(*chart.strata).distinct().orderBy(*chart.strata)
+            levels = (found.limit(strata + 1) if strata is not None else found).collect()
+        for level in levels[:strata]:
             one = chart.focus(**level.asDict()) if level is not None else chart
             out += [f"<h3>{html.escape(', '.join(map(str, level)))}</h3>" if level is not None else "", svg(thinned(one))]
+        if strata is not None and len(levels) > strata:
+            out.append(f"<p>the first {strata} strata; there are more</p>")
     page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(study.spec.response)}</title>{''.join(out)}"
     with open(path, "w", encoding="utf-8") as f:
         f.write(page)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 CHARTS = ("Xbar", "S", "X", "mR", "Histogram")
 RESIDUALS = ("R1", "R2", "R3", "R4", "R5", "R6")
@@ -51,7 +51,7 @@ class FormulationSpec:
     time: str | None = None
     obs_id: str | None = None
     round_to: int = 3
-    delimiter: str = "_"
+    delimiter: str | None = "_"  # None: labels are JSON lists
     precision: float | None = None
     unit_of_analysis: str | None = None
 
@@ -98,12 +98,3 @@ class Calibration:
     def __post_init__(self):
         if not self.sigma > 0 or self.sigma == float("inf") or self.mean != self.mean:
             raise ValidationError("a calibration needs a finite mean and a positive, finite sigma")
-
-
-@dataclass(frozen=True)
-class SeriesLength:
-    """How precise a sigma from a series of this length is."""
-
-    periods: int
-    df: int
-    note: str = field(default="")

@@ -97,9 +97,13 @@ class State:
 
 class Study:
     def __init__(self, data: DataFrame, spec: FormulationSpec, plan: dict | None = None, calibrations: dict[str, Calibration] | None = None):
+        self.frame = frame = prepare.prepare(data, spec, persist=True)
+        if len(spec.factors) > 1 and prepare.ambiguous(frame.cells, spec):
+            warnings.warn(f"values with {spec.delimiter!r} in them would give two conditions one name; rsg is a JSON list here", VariqWarning, stacklevel=3)
+            spec = replace(spec, delimiter=None)
+            self.frame = frame = prepare.Frame(spec, frame.rows.withColumn("rsg", prepare.label(frame.rows, spec.factors, None)), frame.cells)
         self.data, self.spec, self.plan, self.calibrations = data, spec, plan, calibrations or {}
         self.base = prepare.tidy(data, spec)  # all that charts of the response need: no means are joined to rows
-        self.frame = frame = prepare.prepare(data, spec, persist=True)
         self._ads = self._ods = None
         self.r2_unavailable: str | None = None
         if spec.factors and spec.time:
@@ -111,6 +115,16 @@ class Study:
                     warnings.warn(self.r2_unavailable, VariqWarning, stacklevel=3)
             self.frame = prepare.residuals(self.frame, method)
 
+    def release(self) -> None:
+        """Frees the cell table that plans of this study start from; plans made later compute it again."""
+        self.frame.cells.unpersist()
+
+    def __enter__(self) -> Study:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     # Design states
 
     @property
@@ -128,7 +142,7 @@ class Study:
             plan = None
             if self.plan:
                 times = [*range(1, self.plan["T"] + 1)] if self.spec.time else None
-                plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], self.spec.time, times)
+                plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], self.spec.time, times, self.data.schema)
             r = design.observed_state(self.data, self.spec, plan).first()
             self._ods = State(r["state"], r["reason"], r["n_cells"], r["min_n"], r["max_n"], r["n_empty"])
         return self._ods
@@ -190,15 +204,47 @@ class Study:
         return {"periods": r["T"], "df_within": r["df"], "sigma_interval_80": SIGMA_INTERVAL_80.get(min(r["T"], 30))}
 
     def design(self) -> DataFrame:
-        return design.report(self.frame.cells, self.spec)
+        """One row of metrics: of what was observed and, with a plan, of what was planned."""
+        out = design.report(self.frame.cells, self.spec)
+        if self.has_residuals:
+            out = out.crossJoin(design.period_spread(self.frame.cells, self.spec))
+        if self.plan:
+            planned = 1
+            for levels in self.plan["factors"].values():
+                planned *= len(set(map(str, levels)))
+            out = out.withColumns({"K_planned": F.lit(planned), "T_planned": F.lit(self.plan["T"]), "N_planned": F.lit(self.plan["N"])})
+        return out
 
-    def missing_combos(self) -> DataFrame:
-        plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None)
-        return design.missing_combos(self.frame.cells, plan)
+    def design_summary(self) -> str:
+        """The design in words: the state and what it comes from, what a plan lacks, what hides in the order."""
+        r, state = self.design().first(), self.analytical_design_state
+        said = [f"{state.reason}: {r['R']} cells of {state.min_n} to {state.max_n} readings, {r['n_single']} of them of one"]
+        if r["empty"]:
+            said.append(f"{r['empty']} of {r['K'] * r['T']} condition-period cells are empty")
+        if self.plan:
+            lacks = [f"{r[f'{x}_planned'] - r[x]} of {r[f'{x}_planned']} planned {name}" for x, name in (("K", "conditions"), ("T", "periods")) if r[f"{x}_planned"] > r[x]]
+            said.append(f"missing: {', '.join(lacks)}" if lacks else "all planned conditions and periods were observed")
+        nested = self.nested_factors()
+        if nested:
+            said.append(f"{', '.join(nested)}: one level a period, so its effect can't be told from time")
+        elif self.has_residuals and r["empty"] and r["period_spread"]:
+            said.append(f"conditions were observed in different periods: their mean period ranks differ by up to {r['period_spread']:.1f}")
+        return "; ".join(said)
+
+    def nested_factors(self) -> list[str]:
+        """Factors of which no period has two levels, if some factor has several levels."""
+        if not self.has_residuals:
+            return []
+        return [x["factor"] for x in design.nested_in_time(self.frame.cells, list(self.spec.factors), self.spec.time).collect() if x["nested"]]
+
+    def missing_combos(self, limit: int | None = None) -> DataFrame:
+        return design.missing_combos(self.frame.cells, self._planned(), limit)
+
+    def extra_combos(self, limit: int | None = None) -> DataFrame:
+        return design.extra_combos(self.frame.cells, self._planned(), limit)
 
-    def extra_combos(self) -> DataFrame:
-        plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None)
-        return design.extra_combos(self.frame.cells, plan)
+    def _planned(self) -> DataFrame:
+        return design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None, self.frame.cells.schema)
 
     def levels(self) -> DataFrame:
         """Planned and observed levels of each planned factor."""
@@ -206,7 +252,7 @@ class Study:
 
     def plan_adherence(self) -> DataFrame:
         """Over planned conditions (all periods together): complete, short and empty ones, and what would mend it."""
-        plan = design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None)
+        plan = self._planned()
         cells = self.frame.cells.groupBy(*self.plan["factors"]).agg(F.sum("n").alias("n"))
         return design.adherence(cells, plan, self.plan["N"] * self.plan["T"])
 
@@ -225,16 +271,25 @@ class Study:
 
     def loss_function(self, target: float | None = None) -> DataFrame:
         self._need_r2("the loss function")
+        nested = self.nested_factors()
+        if nested:
+            warnings.warn(f"each period has one level of {', '.join(nested)}: the conditions' and the time's part of the loss both hold that effect; a phased Xbar chart compares the levels", VariqWarning, stacklevel=2)
         return cap.loss(self.frame, self.analytical_design_state.min_n >= 2, target)
 
     def loss_by_factor(self) -> DataFrame:
+        """Each factor's part, and what they leave of the conditions' part."""
         self._need_r2("the loss function")
-        return cap.loss_by_factor(self.frame)
+        return cap.loss_by_factor(self.frame, remainder=True)
 
     def maximum_information(self) -> DataFrame:
         self._need_r2("maximum information")
         return cap.maximum_information(self.frame)
 
+    def r2_histogram(self, bins: int | None = None) -> DataFrame:
+        """Bins of R2 with their counts and percentages."""
+        self._need_r2("maximum information")
+        return cap.r2_histogram(self.frame, bins)
+
     def _need_r2(self, what: str) -> None:
         if not self.has_residuals or self.r2_unavailable:
             raise ChartNotAvailableError(what, self.r2_unavailable or "it needs factors and a time")
@@ -433,7 +488,8 @@ class Study:
         phases = None
         if q.phased:
             phases = charts.individual_fit(moved, streams, value)
-        return Chart(q, out, charts.chart_statistics(stats, streams), col, streams, ["sort_key"], phases, {"value_col": value, "stratified": bool(strata), "phased": q.phased, "limits_source": "calibrated" if q.calibration else "data"})
+        few = charts.insufficient(rows.filter(F.col(value).isNotNull()), streams, 2 if q.chart == "X" else 3) if strata and not q.phased else None
+        return Chart(q, out, charts.chart_statistics(stats, streams), col, streams, ["sort_key"], phases, insufficient=few, metadata={"value_col": value, "stratified": bool(strata), "phased": q.phased, "limits_source": "calibrated" if q.calibration else "data"})
 
     def _histogram(self, q: ChartRequest) -> Chart:
         rows, value, _ = self._value(q)

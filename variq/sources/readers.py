@@ -53,15 +53,27 @@ def coffee_shop(spark: SparkSession, weeks: int = 16) -> DataFrame:
 _SHAPES = {1: (2, 3, 1.0, 0.5, 0.4), 2: (1, 1, 1.2, 0.6, 0.4), 3: (3, 3, 1.0, 0.5, 0.5), 4: (2, 3, 1.0, 0.0, 0.4), 5: (1, 1, 1.0, 0.0, 0.4), 6: (3, 3, 1.0, 0.0, 0.5)}
 
 
-def make_design(state: int, k1: int = 3, k2: int = 2, periods: int = 8, n_min: int | None = None, n_max: int | None = None, seed: int = 0, p_replicated: float = 0.5, p_empty: float = 0.2, p_singleton: float = 0.4) -> list[tuple]:
+def make_design(state: int, k1: int = 3, k2: int = 2, periods: int = 8, n_min: int | None = None, n_max: int | None = None, seed: int = 0, p_replicated: float = 0.5, p_empty: float = 0.2, p_singleton: float = 0.4, pattern: str = "random") -> list[tuple]:
     """Rows (time, factor 1, factor 2, y) of a design state; empty cells are one row with y None.
 
+    pattern: which cells of state 3 are replicated: at random, early or late periods, a checkerboard, or corners (the
+    outer levels of factor 1 and the outer periods, others at random half as often).
+
     Draws, in order: effects of factor 1, of factor 2, of periods, interactions (states 1 to 3); the empty cells
     (4 and 5: one choice without replacement; 6: one draw a cell); then cell by cell its replication and readings.
     """
     if state not in _SHAPES:
         raise ValidationError("states are 1 to 6")
     lo, hi, sd_t, sd_i, sd = _SHAPES[state]
+    chosen = {
+        "random": lambda i, j, t: rng.random() < p_replicated,
+        "early_times": lambda i, j, t: t < int(periods * p_replicated),
+        "late_times": lambda i, j, t: t >= int(periods * (1 - p_replicated)),
+        "checkerboard": lambda i, j, t: (i + j + t) % 2 == 0,
+        "corners": lambda i, j, t: i in (0, k1 - 1) or t in (0, periods - 1) or rng.random() < p_replicated / 2,
+    }
+    if pattern not in chosen:
+        raise ValidationError(f"no pattern {pattern!r}; there are {', '.join(chosen)}")
     lo, hi = n_min or lo, n_max or hi
     rng = np.random.default_rng(seed)
     one, two, time = rng.normal(0, 2, k1), rng.normal(0, 1.5, k2), rng.normal(0, sd_t, periods)
@@ -81,7 +93,7 @@ def make_design(state: int, k1: int = 3, k2: int = 2, periods: int = 8, n_min: i
         if state == 1:
             n = int(rng.integers(lo, hi + 1))
         elif state == 3:
-            n = hi if rng.random() < p_replicated else 1
+            n = hi if chosen[pattern](i, j, t) else 1
         elif state == 6:
             n = 1 if rng.random() < p_singleton else hi
         else:
