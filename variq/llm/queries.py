@@ -44,13 +44,17 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY rea
   / sum(w) OVER (ORDER BY reach, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 f AS (SELECT source, source_size, CASE WHEN level >= reach THEN cap::DOUBLE
   ELSE w * min_by(CASE WHEN level < reach THEN level END, CASE WHEN level < reach THEN reach END) OVER () END AS target FROM l),
-r AS (SELECT s.doc_id, s.size, f.source_size, f.target, coalesce(f.target / nullif(f.source_size, 0)::DOUBLE, 0) AS rate
-  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
+d AS (SELECT *, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS draw, length(bin(size)) AS class FROM s),
+r AS (SELECT d.doc_id, d.size, f.source_size, f.target, coalesce(f.target / nullif(f.source_size, 0)::DOUBLE, 0) AS rate,
+  ('0x' || substr(md5('mix:source:' || coalesce(d.source, '')), 1, 13))::BIGINT / 4503599627370496.0 AS start,
+  row_number() OVER (PARTITION BY d.source ORDER BY class DESC, draw, doc_id, size)::DOUBLE AS k
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target,
-  (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
+  (floor(rate)::BIGINT + (floor(start + k * (rate - floor(rate))) - floor(start + (k - 1) * (rate - floor(rate))))::BIGINT) * size AS taken
 FROM r
 """
 
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store.arrow_rows(spark)
     return secret_scan.scan(_store.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
