@@ -1,18 +1,21 @@
 """Removal of word passages that an earlier document already holds, by level-wise doubling.
 
-Level 1: every window of `length` words is hashed where its document is read; each chunk of documents sends a window
-once (for the chunk's smallest id that has it; its later documents are marked at once), packed by hash range. The range
-that owns a hash marks the windows whose document isn't the first to hold them and names that first place. Level by
-level the marked windows alone are then extended to twice their length, where a marked window and the one right after
-it repeat the same earlier passage, until no candidate survives. Words under a marked window of level 1 are removed;
-windows are judged on the input, not on what is left.
-
-A window's rows meet by hash and arrive pre-reduced, at most one document a chunk, so a passage in a third of all
-documents costs its range one row a chunk. Windows are compared by 64-bit hashes of 64-bit word hashes.
+Levels: lengths that double up to `length` (13 words: 7, then 13 as two windows of 7 that share a word). Level 1 hashes
+every window where its document is read; each later level knows only the windows that more than one document holds at
+the level before, and extends each by the one that starts a step further on if that survived, too. A level is a
+distributed step: windows meet by hash range, those that several documents hold go to the group of their document,
+which makes the next level's candidates. Words under a window of `length` words that a smaller id holds as well are
+removed; windows are judged on the input, not on what is left. With `longest` the levels go on doubling until no
+candidate survives, which gives the longest repeated level of each document.
+
+Windows are told apart by 64 bits at the first of several levels, which only proposes candidates, and by 128 bits from
+the second on (a single level uses 128). A passage's rows are pre-reduced: a chunk or group sends the windows of its
+smallest id only and marks its other documents at once, so a passage in a third of all documents costs its range one
+row a chunk.
 
 Edge cases: null and empty texts have no words and an empty remainder; documents shorter than a window lose nothing;
-rows with a null id lose nothing and are no source; rows that share an id count as one document for "smaller", and
-each of them is judged alike; an empty table gives no rows.
+rows with a null id lose nothing and are no source; rows that share an id count as one document, and a mark applies to
+those of them whose text has the window; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +26,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from variq.llm import _text
+from variq.llm._store import Tables
 
+#: A first level has no more words than this.
+START = 8
 _SEND = "part int, kind int, doc_id long, text string, hashes binary, places binary"
 _NAMES = [f.split()[0] for f in _SEND.split(", ")]
 _NO_ID = -(1 << 63)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+_WINDOW, _SURVIVOR, _DOCUMENT = 0, 1, 2  # kinds of rows
+
+
+def levels_to(length: int) -> list[int]:
+    """The lengths of the levels up to `length`, each at most twice the one before."""
+    out = [length]
+    while out[0] > START:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -49,189 +65,329 @@ def _unpack(raw: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-def _rows(part: list, kind: int, hashes: list, places: list) -> pa.RecordBatch:
-    n = len(part)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(hashes, pa.binary()), pa.array(places, pa.binary())], _NAMES)
+class Windows:
+    """Windows of one length: keys (64 or 128 bits), ids, positions and a flag (window: also in another document of the
+    chunk; survivor: a smaller id has it)."""
+
+    KINDS = (np.int64, np.int32, np.uint8)
+
+    def __init__(self, keys: list[np.ndarray], ids: np.ndarray, at: np.ndarray, flag: np.ndarray | None = None):
+        self.keys, self.ids, self.at = keys, ids, at
+        self.flag = np.zeros(len(ids), bool) if flag is None else flag
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def take(self, where: np.ndarray) -> Windows:
+        return Windows([k[where] for k in self.keys], self.ids[where], self.at[where], self.flag[where])
+
+    @classmethod
+    def join(cls, parts: list[Windows]) -> Windows:
+        return cls([np.concatenate(k) for k in zip(*(p.keys for p in parts), strict=True)], *(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "at", "flag")))
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return b"".join(k.tobytes() for k in self.keys), _pack(self.ids, self.at.astype(np.int32), self.flag.astype(np.uint8))
+
+    @classmethod
+    def unpacked(cls, hashes: bytes, places: bytes) -> Windows:
+        ids, at, flag = _unpack(places, cls.KINDS)
+        return cls(list(np.frombuffer(hashes, np.uint64).reshape(-1, len(ids))), ids, at.astype(np.int64), flag.astype(bool))
+
+    def rows(self, part: np.ndarray, kind: int) -> pa.RecordBatch:
+        """One row a part."""
+        order = np.lexsort((self.at, self.ids, part))
+        part = part[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+        blobs = [self.take(order[a:b]).packed() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        n = len(blobs)
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), *[pa.array([b[i] for b in blobs], pa.binary()) for i in (0, 1)]], _NAMES)
+
+    def judged(self) -> tuple[Windows, np.ndarray]:
+        """Sorted by key and id, with whether several documents have each one (or its flag says so); flags then say
+        whether a smaller id has it."""
+        held = self.take(np.lexsort((self.at, self.ids, *self.keys)))
+        if not len(held):
+            return held, np.zeros(0, bool)
+        new = np.zeros(len(held), bool)
+        new[0] = True
+        for k in held.keys:
+            new[1:] |= k[1:] != k[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(held)))
+        first, last = held.ids[start], held.ids[start + size - 1]
+        several = np.repeat((first != last) | np.logical_or.reduceat(held.flag, start), size)
+        held.flag = held.ids > np.repeat(first, size)
+        return held, several
+
+
+def _words(texts: pa.Array, n: int):
+    data, offsets = _text.utf8(texts)
+    starts, ends, doc = _text.words(data, offsets)
+    return data, starts, ends, doc, np.bincount(doc, minlength=n)
+
+
+def _first_windows(texts: pa.Array, ids: np.ndarray, length: int, wide: bool) -> Windows:
+    """Every window of the chunk. wide: 128-bit keys."""
+    data, starts, ends, doc, count = _words(texts, len(ids))
+    words = _text.span_hashes(data, starts, ends)
+    keys = [_text.window_hashes(w, length) for w in ((words, _text.mix(words ^ _OTHER)) if wide else (words,))]
+    n = len(keys[0])
+    at = np.arange(n) - np.repeat(np.cumsum(count) - count, count)[:n]
+    good = (doc[:n] == doc[length - 1 :]) & (ids[doc[:n]] != _NO_ID) if n else np.zeros(0, bool)
+    return Windows([k[good] for k in keys], ids[doc[:n][good]], at[good])
+
+
+def _extended(held: Windows, step: int) -> Windows:
+    """The next level's candidates: windows of which the one `step` words on survived as well."""
+    held = held.take(np.lexsort((*held.keys, held.at, held.ids)))
+    if not len(held):
+        return Windows([np.zeros(0, np.uint64)] * 2, held.ids, held.at)
+    _, dense = np.unique(held.ids, return_inverse=True)
+    place = dense.astype(np.int64) << 32 | held.at
+    lo, hi = np.searchsorted(place, place + step, "left"), np.searchsorted(place, place + step, "right")
+    # Rows that share an id can have several windows at a place.
+    one, two = np.repeat(np.arange(len(held)), hi - lo), _text.ragged(lo, hi - lo)
+    return Windows(_combined([k[one] for k in held.keys], [k[two] for k in held.keys]), held.ids[one], held.at[one])
+
+
+def _combined(one: list[np.ndarray], two: list[np.ndarray]) -> list[np.ndarray]:
+    """128-bit keys of windows made of two shorter ones."""
+    if len(one) == 1:
+        return [one[0], two[0]]
+    return [_text.mix(_text.mix(a ^ salt) + b * _OTHER) for a, b, salt in zip(one, two, (np.uint64(1), _OTHER), strict=True)]
 
 
 def _owner(ids: np.ndarray, groups: int) -> np.ndarray:
     return (_text.mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def _marks(ids: np.ndarray, at: np.ndarray, src: np.ndarray, src_at: np.ndarray, groups: int) -> pa.RecordBatch | None:
-    """Marked windows, packed for the group of documents that they belong to."""
-    if not len(ids):
-        return None
-    group = _owner(ids, groups)
-    order = np.lexsort((at, ids, group))
-    group = group[order]
-    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    places = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        k = order[a:b]
-        places.append(_pack(ids[k], at[k].astype(np.int32), src[k], (src_at[k] - at[k]).astype(np.int32)))
-    return _rows(group[cut[:-1]].tolist(), 1, [None] * (len(cut) - 1), places)
+def _sent(found: Windows, ranges: int, groups: int, turn: int):
+    """A chunk's windows to their ranges; what the chunk can tell alone goes through to the groups."""
+    held, several = found.judged()
+    later = held.flag.copy()
+    told = held.take(later)
+    if len(told):
+        rows = told.rows(_owner(told.ids, groups), _SURVIVOR)
+        # The group's number travels in doc_id; the rows themselves are dealt evenly over ranges of their own.
+        yield rows.set_column(2, "doc_id", rows.column("part").cast(pa.int64())).set_column(0, "part", pa.array(ranges + (np.arange(rows.num_rows) + turn) % ranges, pa.int32()))
+    held.flag = several
+    own = held.take(~later)
+    if len(own):
+        key = own.keys[0] if len(own.keys) == 1 else _text.mix(own.keys[0] ^ own.keys[1])
+        yield own.rows((key >> np.uint64(32)).astype(np.int64) * ranges >> 32, _WINDOW)
+
+
+def _by_part(batches):
+    """(part, windows of all its rows) of rows that come sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "places")), strict=True):
+            if part != now and held:
+                yield now, Windows.join(held)
+                held = []
+            now = part
+            held.append(Windows.unpacked(*blobs))
+    if held:
+        yield now, Windows.join(held)
+
+
+def _level(found: DataFrame, partitions: int, ranges: int, groups: int) -> DataFrame:
+    """Survivors, by the group of their document, of windows that were sent to ranges."""
 
+    def judge(batches):
+        waiting: list[Windows] = []
 
-def _windows(texts: pa.Array, ids: np.ndarray, length: int):
-    """(hash, id, word position) of each window of the chunk."""
-    data, offsets = _text.utf8(texts)
-    starts, ends, doc = _text.words(data, offsets)
-    count = np.bincount(doc, minlength=len(ids))
-    hashes = _text.window_hashes(_text.span_hashes(data, starts, ends), length)
-    at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)[: len(hashes)]
-    own = doc[: len(hashes)]
-    good = (own == doc[length - 1 :]) & (ids[own] != _NO_ID) if len(hashes) else np.zeros(0, bool)
-    return hashes[good], ids[own[good]], at[good]
-
-
-def _later(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray):
-    """For each window, whether a smaller id has it too, and the first place (id, position) that has it."""
-    order = np.lexsort((at, ids, hashes))
-    h = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    head = np.repeat(order[first], np.diff(np.append(first, len(h))))
-    src = np.empty(len(h), np.int64)
-    src_at = np.empty(len(h), np.int64)
-    src[order], src_at[order] = ids[head], at[head]
-    return ids > src, src, src_at
-
-
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 13, partitions: int | None = None, with_text: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256, longest_repeat (the longest level reached, in words),
-    removed_spans (start:end in words, comma-joined) and, if asked for, kept_text."""
+        def tell():
+            """Survivors of many ranges at once: a task sends a group few rows, however many ranges there are."""
+            if waiting:
+                some = Windows.join(waiting)
+                waiting.clear()
+                yield some.rows(_owner(some.ids, groups), _SURVIVOR)
+
+        def windows():
+            for batch in batches:
+                passing = batch.filter(pc.equal(batch.column("kind"), _SURVIVOR))
+                if passing.num_rows:
+                    through.append(passing.set_column(0, "part", passing.column("doc_id").cast(pa.int32())).set_column(2, "doc_id", pa.nulls(passing.num_rows, pa.int64())))
+                yield batch.filter(pc.equal(batch.column("kind"), _WINDOW))
+
+        through: list[pa.RecordBatch] = []
+        for _, held in _by_part(windows()):
+            yield from through
+            through.clear()
+            held, several = held.judged()
+            waiting.append(held.take(several))
+            if sum(map(len, waiting)) > 1 << 20:
+                yield from tell()
+        yield from through
+        yield from tell()
+
+    return found.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(judge, _SEND)
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 13, partitions: int | None = None, with_text: bool = False, longest: bool = False, survivors: list | None = None) -> DataFrame:
+    """One row a document: doc_id, n_words, n_removed, kept_sha256, removed_spans (start:end in words, comma-joined) and,
+    if asked for, kept_text and longest_repeat (the longest level at which a smaller id has a window of it; 0: none).
+
+    survivors: a list that gets (words, windows that several documents hold) of each level but the last.
+    """
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges, groups = partitions * 4, partitions * 2
+    tables = Tables(docs.sparkSession, "substrings")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    levels = levels_to(length)
 
-    def send(batches):
+    def first(batches):
         turn = 0
         for batch in _text.chunks(batches, "text", 6 << 20):
             ids = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
-            hashes, own, at = _windows(batch.column("text"), ids, length)
-            later, src, src_at = _later(hashes, own, at)
-            marks = _marks(own[later], at[later], src[later], src_at[later], groups)
-            if marks is not None:  # they pass through the ranges' step, dealt evenly
-                yield marks.set_column(0, "part", pa.array(ranges + (np.arange(marks.num_rows) + turn) % ranges, pa.int32())).set_column(2, "doc_id", marks.column("part").cast(pa.int64()))
-                turn += marks.num_rows
-            hashes, own, at = hashes[~later], own[~later], at[~later]
-            part = (hashes >> np.uint64(32)).astype(np.int64) * ranges >> 32
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-            keys = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield _rows(part[cut[:-1]].tolist(), 0, [hashes[k].tobytes() for k in keys], [_pack(own[k], at[k].astype(np.int32)) for k in keys])
+            for out in _sent(_first_windows(batch.column("text"), ids, levels[0], len(levels) == 1), ranges, groups, turn):
+                turn += out.num_rows
+                yield out
 
-    def judge(batches):
-        """A range's windows, all together; rows come sorted by range."""
-        now, hashes, places, found = None, [], [], []
+    def extend(step: int):
+        def run(batches):
+            turn = 0
+            for _, held in _by_part(batches):
+                for out in _sent(_extended(held, step), ranges, groups, turn):
+                    turn += out.num_rows
+                    yield out
 
-        def tell():
-            """The marks of many ranges at once: a task sends a group of documents few rows, however many ranges there are."""
-            if found:
-                marks = _marks(*(np.concatenate(x) for x in zip(*found, strict=True)), groups)
-                found.clear()
-                if marks is not None:
-                    yield marks
-
-        def done():
-            if hashes:
-                pairs = [_unpack(x, (np.int64, np.int32)) for x in places]
-                h = np.concatenate([np.frombuffer(x, np.uint64) for x in hashes])
-                ids, at = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]).astype(np.int64)
-                later, src, src_at = _later(h, ids, at)
-                found.append((ids[later], at[later], src[later], src_at[later]))
-                hashes.clear()
-                places.clear()
-                if sum(len(x[0]) for x in found) > 1 << 21:
-                    yield from tell()
+        return run
 
+    def counted(batches):
         for batch in batches:
-            passing = batch.filter(pc.equal(batch.column("kind"), 1))
-            if passing.num_rows:
-                yield passing.set_column(0, "part", passing.column("doc_id").cast(pa.int32())).set_column(2, "doc_id", pa.nulls(passing.num_rows, pa.int64()))
-            batch = batch.filter(pc.equal(batch.column("kind"), 0))
-            for part, h, p in zip(batch.column("part").to_pylist(), batch.column("hashes").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                if part != now:
-                    yield from done()
-                now = part
-                hashes.append(h)
-                places.append(p)
-        yield from done()
-        yield from tell()
+            held = [Windows.unpacked(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("hashes", "places")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in held], pa.int64())], ["windows"])
+
+    def save(found: DataFrame, words: int) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = tables.save(found.observe(seen, F.count("*").alias("rows")), f"level{words}")
+        if survivors is not None:
+            survivors.append((words, out.mapInArrow(counted, "windows long").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]))
+        return out, seen.get["rows"]
+
+    def next_level(held: DataFrame, step: int) -> DataFrame:
+        sent = held.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(extend(step), _SEND)
+        return _level(sent, partitions, ranges, groups)
+
+    now = _level(rows.mapInArrow(first, _SEND), partitions, ranges, groups)
+    for before, words in zip(levels, levels[1:], strict=False):
+        held, _ = save(now, before)
+        now = next_level(held, words - before)
+    target, _ = save(now, length)
+
+    def marks(batches):
+        """What the last step needs of a survivor: its place and 16 bits of its key, if a smaller id has it."""
+        for batch in batches:
+            out = []
+            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "places")), strict=True):
+                held = Windows.unpacked(*blobs)
+                held = held.take(held.flag)
+                if len(held):
+                    out.append((part, _pack(held.ids, held.at.astype(np.int32), _check(held.keys))))
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([_SURVIVOR] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array([x for _, x in out], pa.binary())], _NAMES)
 
     def own_group(batches):
         for batch in batches:
             ids = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(_owner(ids, groups), pa.int32()), pa.array([2] * n, pa.int32()), *batch.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(_owner(ids, groups), pa.int32()), pa.array([_DOCUMENT] * n, pa.int32()), *batch.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _NAMES)
 
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, removed_spans string" + ", kept_text string" * with_text
+    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string" + ", kept_text string" * with_text
 
     def finish(batches):
         """A group's marks come before its documents."""
-        now, marks, table = None, [], None
+        now, held, table = None, [], None
         for batch in _text.chunks(batches, "text"):
             part = batch.column("part").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 some = batch.slice(a, b - a)
                 if part[a] != now:
-                    now, marks, table = int(part[a]), [], None
-                marks += some.filter(pc.equal(some.column("kind"), 1)).column("places").to_pylist()
-                some = some.filter(pc.equal(some.column("kind"), 2))
+                    now, held, table = int(part[a]), [], None
+                held += some.filter(pc.equal(some.column("kind"), _SURVIVOR)).column("places").to_pylist()
+                some = some.filter(pc.equal(some.column("kind"), _DOCUMENT))
                 if some.num_rows:
                     if table is None:
-                        table = _table(marks)
-                        marks = []
-                    yield _finish(some.column("doc_id"), some.column("text"), table, length, with_text)
+                        table = _table(held)
+                        held = []
+                    yield _finish(some.column("doc_id"), some.column("text"), table, levels, with_text)
+
+    out = target.mapInArrow(marks, _SEND).unionByName(rows.mapInArrow(own_group, _SEND)).repartition(partitions, "part").sortWithinPartitions("part", "kind").mapInArrow(finish, fields)
+    return out.join(_longest(target, next_level, save, length), "doc_id", "left").withColumn("longest_repeat", F.coalesce("longest_repeat", F.lit(0).cast("long"))) if longest else out
+
 
-    sent = rows.mapInArrow(send, _SEND).repartition(partitions, "part").sortWithinPartitions("part", "kind")
-    marked = sent.mapInArrow(judge, _SEND)
-    return marked.unionByName(rows.mapInArrow(own_group, _SEND)).repartition(partitions, "part").sortWithinPartitions("part", "kind").mapInArrow(finish, out)
+def _longest(held: DataFrame, next_level, save, words: int) -> DataFrame:
+    """(doc_id, longest_repeat): levels double until nothing survives."""
+
+    def later(words: int):
+        def run(batches):
+            for batch in batches:
+                held = [Windows.unpacked(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("hashes", "places")), strict=True)]
+                ids = np.unique(np.concatenate([x.ids[x.flag] for x in held])) if held else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), words))], ["doc_id", "longest_repeat"])
+
+        return run
+
+    found = held.mapInArrow(later(words), "doc_id long, longest_repeat long")
+    n = 1
+    while n:
+        held, n = save(next_level(held, words), 2 * words)
+        words *= 2
+        found = found.unionByName(held.mapInArrow(later(words), "doc_id long, longest_repeat long"))
+    return found.groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat"))
+
+
+def _check(keys: list[np.ndarray]) -> np.ndarray:
+    """16 bits of a window's key."""
+    return (_text.mix(keys[0] ^ (keys[1] * _OTHER)) >> np.uint64(48)).astype(np.int32)
 
 
 def _table(marks: list[bytes]) -> tuple[np.ndarray, ...]:
-    """The group's marks, sorted by document and position."""
+    """The group's marks (id, position, check), sorted."""
     if not marks:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    parts = [_unpack(x, (np.int64, np.int32, np.int64, np.int32)) for x in marks]
-    ids, at, src, shift = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    parts = [_unpack(x, (np.int64, np.int32, np.int32)) for x in marks]
+    ids, at, check = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
     order = np.lexsort((at, ids))
-    ids, at, src, shift = ids[order], at[order], src[order], shift[order]
-    # A window marked in its chunk and by its range can't be: only unmarked ones were sent. Rows that share an id can.
-    keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])])
-    return ids[keep], at[keep], src[keep], shift[keep]
+    return ids[order], at[order], check[order]
 
 
-def _finish(doc_ids: pa.Array, texts: pa.Array, table: tuple[np.ndarray, ...], length: int, with_text: bool) -> pa.RecordBatch:
-    data, offsets = _text.utf8(texts)
-    n = len(doc_ids)
+def _target_keys(words: np.ndarray, levels: list[int]) -> list[np.ndarray]:
+    """Keys of all windows of the last level, over words laid end to end (those across documents mean nothing)."""
+    if len(levels) == 1:
+        return [_text.window_hashes(w, levels[0]) for w in (words, _text.mix(words ^ _OTHER))]
+    keys = [_text.window_hashes(words, levels[0])]
+    for before, now in zip(levels, levels[1:], strict=False):
+        n, step = len(words) - now + 1, now - before
+        if n <= 0:
+            return [np.zeros(0, np.uint64)] * 2
+        keys = _combined([k[:n] for k in keys], [k[step : step + n] for k in keys])
+    return keys
+
+
+def _finish(doc_ids: pa.Array, texts: pa.Array, table: tuple[np.ndarray, ...], levels: list[int], with_text: bool) -> pa.RecordBatch:
+    n, length = len(doc_ids), levels[-1]
     ids = pc.fill_null(doc_ids, _NO_ID).to_numpy(zero_copy_only=False)
-    starts, ends, doc = _text.words(data, offsets)
-    count = np.bincount(doc, minlength=n)
+    data, starts, ends, doc, count = _words(texts, n)
     base = np.cumsum(count) - count
     lo, hi = np.searchsorted(table[0], ids, "left"), np.searchsorted(table[0], ids, "right")
     size = np.where(ids == _NO_ID, 0, hi - lo)
     row, owner = _text.ragged(lo, size), np.repeat(np.arange(n), size)
-    at, src, shift = table[1][row], table[2][row], table[3][row]
-    fits = at + length <= count[owner]  # rows that share an id can differ in length
-    at, src, shift, owner = at[fits], src[fits], shift[fits], owner[fits]
+    at, check = table[1][row], table[2][row]
+    fits = at + length <= count[owner]
+    at, check, owner = at[fits], check[fits], owner[fits]
+    if len(at):  # rows that share an id can differ in text
+        keys = _target_keys(_text.span_hashes(data, starts, ends), levels)
+        spot = base[owner] + at
+        fits = _check([k[spot] for k in keys]) == check
+        at, owner = at[fits], owner[fits]
     change = np.zeros(len(starts) + 1, np.int64)
     np.add.at(change, base[owner] + at, 1)
     np.add.at(change, base[owner] + at + length, -1)
     gone = np.cumsum(change)[:-1] > 0
-    # Levels: a marked window extends to twice its length if the next one repeats the same passage.
-    longest = np.zeros(n, np.int64)
-    spot, level = base[owner] + at, length
-    lane = np.stack([src, shift], 1)
-    while len(spot):
-        longest[doc[spot]] = level
-        where = np.searchsorted(spot, spot + level)
-        inside = where < len(spot)
-        where = np.where(inside, where, 0)
-        go = inside & (spot[where] == spot + level) & (lane[where] == lane).all(1) & (doc[spot[where]] == doc[spot])
-        spot, lane, level = spot[go], lane[go], 2 * level
     keep = ~gone
     s, e, d = starts[keep], ends[keep], doc[keep]
     size = e - s + 1
@@ -249,8 +405,8 @@ def _finish(doc_ids: pa.Array, texts: pa.Array, table: tuple[np.ndarray, ...], l
         k = doc[a]
         one = f"{a - base[k]}:{b - base[k]}"
         spans[k] = f"{spans[k]},{one}" if spans[k] else one
-    columns = [doc_ids, pa.array(count, pa.int64()), pa.array(np.bincount(doc[gone], minlength=n), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(longest, pa.int64()), pa.array(spans, pa.string())]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat", "removed_spans"]
+    columns = [doc_ids, pa.array(count, pa.int64()), pa.array(np.bincount(doc[gone], minlength=n), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(spans, pa.string())]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed_spans"]
     if with_text:
         columns, names = [*columns, pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], [*names, "kept_text"]
     return pa.RecordBatch.from_arrays(columns, names)
