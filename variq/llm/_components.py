@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from variq.llm._store import Tables
@@ -24,8 +24,10 @@ def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") ->
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = tables.save(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
-        mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        seen_now = Observation()  # counted while the round is written
+        marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")]
+        new = tables.save(small.select("e.u", "e.v").filter("u <> v").distinct().observe(seen_now, *marks), "edges")
+        mark = seen_now.get
         tables.drop(now)
         now = new
         if mark == seen:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -25,6 +26,8 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Tables:
     """Written tables that cut lineage: every executor can read them after another is lost."""
@@ -32,10 +35,21 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    @contextlib.contextmanager
+    def _clean_shuffles(self):
+        """Shuffle files of a table that is being written go with the end of the write: nothing reads them again."""
+        old = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(_CLEAN) if old is None else self.spark.conf.set(_CLEAN, old)
+
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = f"{self.root}/{label}{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        with self._clean_shuffles():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.variq_path = path
         return out
@@ -48,14 +62,17 @@ class Tables:
         path, name = f"{self.root}/{label}{self.n}", f"variq_{uuid.uuid4().hex}"
         self.n += 1
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+        with self._clean_shuffles():
+            df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         out = self.spark.table(name)
-        out.variq_path = path
+        out.variq_path, out.variq_name = path, name
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing lazy reads any more."""
-        path = getattr(df, "variq_path", None)
+        path, name = getattr(df, "variq_path", None), getattr(df, "variq_name", None)
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             jvm = self.spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

@@ -37,6 +37,8 @@ from variq.llm._store import Tables
 K, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
 #: Bytes of lines that a task compares at once; larger buckets are split into blocks.
 BLOCK_BYTES = 2 << 20
+#: Sets up to which pairs are compared at once, without first looking for those that have no partner.
+FEW = 12
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SENT = "part int, keys binary, cls binary, key long, member long, head long"
@@ -77,14 +79,32 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingles of each line."""
+    """The sorted distinct shingles of each line. Lines of about one size are sorted together, as rows of a matrix."""
     value, of = shingles_of(data, offsets, k)
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
-    keep = np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
-    value, of = value[keep], of[keep]
-    cut = np.searchsorted(of, np.arange(len(offsets)))
-    return [value[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    n = len(offsets) - 1
+    count = np.bincount(of, minlength=n)
+    begin = np.cumsum(count) - count
+    order = np.argsort(count, kind="stable")
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * n
+    at = int(np.searchsorted(count[order], 1))
+    while at < n:
+        # Rows of up to a quarter more shingles than the first, some 64K shingles in all.
+        width = int(count[order[at]])
+        end = int(np.searchsorted(count[order], width + width // 4, "right"))
+        end = max(at + 1, min(end, at + (1 << 16) // width))
+        rows = order[at:end]
+        width = int(count[rows[-1]])
+        inside = np.arange(width) < count[rows, None]
+        block = np.where(inside, value[np.minimum(begin[rows, None] + np.arange(width), len(value) - 1)], _NONE)
+        block.sort(axis=1)
+        fresh = block != _NONE
+        fresh[:, 1:] &= block[:, 1:] != block[:, :-1]
+        size = fresh.sum(1)
+        flat, stop = block[fresh], np.cumsum(size)
+        for i, a, b in zip(rows.tolist(), (stop - size).tolist(), stop.tolist(), strict=True):
+            out[i] = flat[a:b]
+        at = end
+    return out
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, k: int, bins: int) -> np.ndarray:
@@ -125,6 +145,15 @@ def _buckets(keys: np.ndarray, cls: np.ndarray):
     return keys, cls, np.repeat(cls[start], size), np.repeat(size, size), start
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as their first bytes, their second ones and so on: the leading ones repeat and compress well."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8")[:, 0].astype(np.uint64)
+
+
 def _met_rows(keys: np.ndarray, cls: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
     n = len(keys)
     nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
@@ -150,7 +179,7 @@ def _met(classes: DataFrame, k: int, bands: int, rows: int, partitions: int) ->
             keys, cls = keys[start], cls[start]
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # sorted, as keys are
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-            blobs = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (keys, cls)]
+            blobs = [[pack(x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] for x, pack in ((keys, _planes), (cls, np.ndarray.tobytes))]
             n = len(cut) - 1
             yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs], *[pa.nulls(n, pa.int64()) for _ in range(3)]], names)
 
@@ -160,7 +189,7 @@ def _met(classes: DataFrame, k: int, bands: int, rows: int, partitions: int) ->
         def done():
             if not held:
                 return
-            keys, cls = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64)))
+            keys, cls = np.concatenate([_from_planes(x[0]) for x in held]), np.frombuffer(b"".join(x[1] for x in held), np.int64)
             held.clear()
             keys, cls, head, size, _ = _buckets(keys, cls)
             several = size > 1  # of buckets of a single chunk that chunk has told the members
@@ -256,13 +285,13 @@ def _settled(members: DataFrame, classes: DataFrame, k: int, similar: float, par
 def linked(roots: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndarray:
     """Links (root, root) that join the components of all similar sets; sets of one root are not compared.
 
-    A set of which too few shingles occur under other roots has no partner and goes first; what is left is compared
-    with all sets of near enough size under roots that aren't joined yet.
+    In larger groups a set of which too few shingles occur under other roots has no partner and goes first; what is
+    left is compared with all sets of near enough size under roots that aren't joined yet.
     """
     _, group = np.unique(roots, return_inverse=True)
     size = np.array([len(s) for s in sets])
     alive = np.ones(len(sets), bool)
-    while alive.any():
+    while len(sets) > FEW and alive.any():
         at = np.flatnonzero(alive)
         token = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)[1]
         of = np.repeat(at, size[at])
@@ -319,7 +348,9 @@ def line_groups(classes: DataFrame, tables: Tables, *, k: int, similar: float, b
     # Buckets of two are settled by their pair; of larger ones, those that still mix components are not.
     members = met.select("key", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     members = tables.save(members, "members")
-    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo < hi").select("key")
+    # Buckets with the same members (by two hashes and their number) are settled once.
+    seen = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    open_keys = seen.filter("n > 2 and lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     mixed = tables.save(members.join(open_keys, "key", "left_semi"), "mixed")
     tops = components(tables.save(_settled(mixed, classes, k, similar, partitions).distinct(), "bonds"), tables)
     joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -337,6 +368,7 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked_classes = grouped.join(first, "root").select("cls", "top")
     repeated = grouped.filter("root is null and n > 1").select("cls", F.col("first").alias("top"))
     wanted = tables.save(linked_classes.unionByName(repeated), "wanted")
+    tables.drop(classes)
     gone = _lines(docs, doc_id, text).select("doc_id", "of", "at", "cls").join(wanted, "cls")
     return gone.filter(F.struct("doc_id", "of", "at") != F.col("top")).select("doc_id", "of", "at")
 
@@ -350,4 +382,4 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept = F.array_join(F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(F.col("_gone"), x["at"])).getField("line"), "\n")
     out = rest.join(gone, (rest[doc_id].cast("long") == gone["_id"]) & (F.xxhash64(rest[text]) == gone["_of"]), "left")
     n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else rest[c] for c in rest.columns], F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n).cast("long").alias("n_removed"))
+    return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else rest[c] for c in rest.columns], F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n).cast("long").alias("n_removed"))
