@@ -300,3 +300,38 @@ def test_field_finds_unmarked_secrets_in_texts_it_was_not_trained_on():
     wrong = sum(b <= w[0] or a >= w[1] for x, w in zip(found, want, strict=True) for a, b in x)
     assert hit >= 0.9 * len(want) and wrong <= 0.02 * len(want)
     assert sum(kind == "crf" for x in secret_scan.find(field, pa.array(texts)) for kind, *_ in x) <= 0.01 * len(texts)
+
+
+def test_sketches_equal_a_plain_version():
+    texts = ["one", "", "a b c d e", "a b c d e f", " ".join(f"w{k}" for k in range(900))]
+    data, offsets = _text.utf8(pa.array(texts))
+    starts, ends, doc = _text.words(data, offsets)
+    hashes, of = _text.shingles(_text.span_hashes(data, starts, ends), np.bincount(doc, minlength=len(texts)), 5)
+    sketch, some = fingerprints.sketches(data, offsets, bins=64)
+    for d in range(len(texts)):
+        low: dict = {}
+        for h in hashes[of == d].tolist():
+            low[h >> 58] = min(h, low.get(h >> 58, h))
+        assert some[d] == bool(low)
+        for b in range(64) if low else []:
+            at, attempt = b, 0
+            while at not in low:
+                at = int(_text.mix(np.array([b * 0x9E3779B1 + (attempt << 32)], np.uint64))[0]) % 64
+                attempt += 1
+            assert sketch[d, b] == int(_text.mix(np.array([low[at]], np.uint64))[0]) & 0xFF
+
+
+def test_neighbours_of_a_hot_id_and_of_rows_without_one(spark):
+    rng = random.Random(2)
+    say = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))
+    rows = [(i, say(), None, None) for i in range(60)] + [(30, say(), None, None) for _ in range(80)] + [(None, say(), None, None) for _ in range(70)] + [(30, None, None, None)] * 3
+    df = frame(spark, rows)
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+    line = [(r["doc_id"], r["text"] or "") for r in df.withColumn("h", key).orderBy(F.asc_nulls_first("doc_id"), "h", "text").collect()]
+    want = []
+    for (i, x), (_, y) in zip(line, [*line[1:], line[0]], strict=True):
+        cut = len(x) // 4
+        want.append((str(i), len(x), hashlib.sha256((x[: len(x) - cut] + y[:cut]).encode()).hexdigest()))
+    for partitions in (1, 7):
+        got = fingerprints.edited_pairs(df, partitions=partitions).collect()
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)

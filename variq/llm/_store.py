@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,16 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
+def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers, the k-th of which repartition(n, column) sends to a partition of its own."""
+    held, at = {}, 0
+    while len(held) < n:
+        place = F.pmod(F.hash("id"), F.lit(n))
+        held = {r[0]: r[1] for r in spark.range(at, at + 32 * n).groupBy(place.alias("p")).agg(F.min("id")).collect()} | held
+        at += 32 * n
+    return np.array([held[p] for p in range(n)], np.int64)
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

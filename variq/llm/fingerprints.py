@@ -1,13 +1,14 @@
 """One-permutation MinHash fingerprints of documents.
 
 Each word shingle is hashed once; the high bits of the hash choose a bin, the bin keeps its smallest hash. Empty bins
-are filled by optimal densification: bin b draws bins at random, by a hash of (b, attempt) alone, until one is full,
-and copies it. `bits` low-order bits of each bin are packed. The share of equal bins m of two fingerprints estimates
+are filled by optimal densification: bin b draws bins at random, by a hash of (b, attempt) alone, until one is full
+(however many draws that takes), and copies it. `bits` low-order bits of each bin are packed. The share of equal bins m of two fingerprints estimates
 the Jaccard similarity after the bias correction (m - c) / (1 - c), c = 2^-bits the chance of equal low bits.
 
 Edge cases: null and empty texts have the empty fingerprint ""; two empty ones are alike (1), an empty and another
 aren't (0). Texts of fewer words than a shingle give their whole sequence as one. Equal texts have equal fingerprints.
-Repeated ids are ordered by text. Input columns named like an output are replaced.
+Rows that share an id, and those without one (which come first), are ordered by a hash of their text and the text.
+Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variq.llm import _text
+from variq.llm._store import partition_keys
 
 BINS, BITS, WORDS = 256, 8, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+DRAWS = 32  # that are made at once
+HELD_BYTES, HELD_ROWS = 2 << 20, 2000  # of texts that are compared at once
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: int = BITS, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -38,20 +42,21 @@ def sketches(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: int
     low = low.reshape(n, bins)
     full = low != _EMPTY
     some = full.any(1)
-    want = ~full & some[:, None]
+    doc, empty = np.nonzero(~full & some[:, None])
     attempt = 0
-    while want.any():
-        draw = (_text.mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(attempt << 32)) % np.uint64(bins)).astype(np.int64)
-        hit = want & full[:, draw]
-        low[hit] = low[:, draw][hit]
-        want &= ~hit
-        attempt += 1
-        if attempt > 64:  # few full bins: the rest walk from their last draw to the next full bin
-            for d in np.flatnonzero(want.any(1)):
-                here = np.flatnonzero(full[d])
-                to = here[np.searchsorted(here, draw) % len(here)]
-                low[d, want[d]] = low[d, to[want[d]]]
-            break
+    while len(doc):
+        # Blocks of draws for the bins that are still empty, until the last one has found a full bin.
+        tries = np.arange(attempt, attempt + DRAWS, dtype=np.uint64) << np.uint64(32)
+        draw = (_text.mix(np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B1) + tries) % np.uint64(bins)).astype(np.int64)
+        left = []
+        for at in range(0, len(doc), 1 << 15):
+            d, b = doc[at : at + (1 << 15)], empty[at : at + (1 << 15)]
+            hit = full[d[:, None], draw[b]]
+            first, found = hit.argmax(1), hit.any(1)
+            low[d[found], b[found]] = low[d[found], draw[b[found], first[found]]]
+            left.append((d[~found], b[~found]))
+        doc, empty = (np.concatenate(x) for x in zip(*left, strict=True))
+        attempt += DRAWS
     return (_text.mix(low) & np.uint64((1 << bits) - 1)).astype(np.uint8), some
 
 
@@ -86,41 +91,49 @@ def fingerprint(docs: DataFrame, *, text: str = "text", bins: int = BINS, bits:
 def _neighbours(docs: DataFrame, doc_id: str, text: str, partitions: int) -> DataFrame:
     """(bucket, tail, doc_id, text) in id order: ranges of ids as buckets, each followed by the first row of the next.
 
-    Only range bounds and each bucket's smallest id (one number a partition) reach the driver; texts are shuffled
-    once. The last bucket is followed by the first.
+    Only range bounds and each bucket's smallest place (one a partition) reach the driver; texts are shuffled once, each
+    bucket to a partition of its own. An id that holds several ranges' worth of rows is cut by the hash of the text. The
+    last bucket is followed by the first.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bounds = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / partitions) for i in range(partitions - 1)]), 10_000)).first()[0] if partitions > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    least = -(1 << 63)
+    mask = F.lit((1 << 63) - 1)
+    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(least))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), order.alias("place"), F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(mask).alias("hash"))
+    bounds = rows.agg(F.percentile_approx("place", F.array(*[F.lit((i + 1) / partitions) for i in range(partitions - 1)]), 10_000)).first()[0] if partitions > 1 else []
+    bounds = np.array(sorted(bounds or []), np.int64)
+    named = partition_keys(docs.sparkSession, partitions)
 
-    def bucket(ids: pa.Array) -> np.ndarray:
-        return np.searchsorted(bounds, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+    def bucket(place: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(bounds, place, "left"), np.searchsorted(bounds, place, "right")
+        return lo + (hashed.astype(np.float64) / 2.0**63 * (hi - lo + 1)).astype(np.int64).clip(0, hi - lo)
+
+    def columns(batch):
+        return (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "hash"))
 
     def count(batches):
         for batch in batches:
-            ids = pc.fill_null(batch.column("doc_id"), -(1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(ids)), ids], ["bucket", "doc_id"])
+            place, hashed = columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(place, hashed)), pa.array(place), pa.array(hashed)], ["bucket", "place", "hash"])
 
-    heads = {r[0]: r[1] for r in rows.select("doc_id").mapInArrow(count, "bucket int, doc_id long").groupBy("bucket").agg(F.min("doc_id")).collect()}
+    first = F.min(F.struct("place", "hash")).alias("first")
+    heads = {r[0]: (r[1][0], r[1][1]) for r in rows.select("place", "hash").mapInArrow(count, "bucket long, place long, hash long").groupBy("bucket").agg(first).collect()}
     filled = sorted(heads)
-    before = {heads[b]: filled[i - 1] for i, b in enumerate(filled)}
-    keys = np.array(sorted(before), np.int64)
-    to = np.array([before[x] for x in sorted(before)], np.int32)
+    before = {heads[b]: named[filled[i - 1]] for i, b in enumerate(filled)}
 
     def deal(batches):
         for batch in _text.chunks(batches, "text"):
-            ids = pc.fill_null(batch.column("doc_id"), -(1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(ids)), pa.array(np.zeros(len(ids), bool)), *batch.columns], ["bucket", "tail", "doc_id", "text"])
-            at = ids.to_numpy(zero_copy_only=False)
-            spot = np.minimum(np.searchsorted(keys, at), max(len(keys) - 1, 0))
-            head = np.flatnonzero(keys[spot] == at) if len(keys) else []
-            if len(head):
-                twin = batch.take(pa.array(head))
-                yield pa.RecordBatch.from_arrays([pa.array(to[spot[head]]), pa.array(np.ones(len(head), bool)), *twin.columns], ["bucket", "tail", "doc_id", "text"])
+            place, hashed = columns(batch)
+            of = named[bucket(place, hashed)]
+            kept = [batch.column("doc_id"), batch.column("text"), batch.column("place"), batch.column("hash")]
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.zeros(len(of), bool)), *kept], names)
+            head = [k for k, x in enumerate(zip(place.tolist(), hashed.tolist(), strict=True)) if x in before]
+            if head:
+                to = [before[place[k], hashed[k]] for k in head]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(head), bool)), *[c.take(pa.array(head)) for c in kept]], names)
 
-    dealt = rows.mapInArrow(deal, "bucket int, tail boolean, doc_id long, text string")
-    return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "tail", order, "text")
+    names = ["bucket", "tail", "doc_id", "text", "place", "hash"]
+    dealt = rows.mapInArrow(deal, "bucket long, tail boolean, doc_id long, text string, place long, hash long")
+    return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "tail", "place", "hash", "text").select("bucket", "tail", "doc_id", "text")
 
 
 def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None, bins: int = BINS, bits: int = BITS, k: int = WORDS) -> DataFrame:
@@ -151,7 +164,7 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for batch in _text.chunks(batches, "text"):
             for b, tail, i, x in zip(*(batch.column(n).to_pylist() for n in ("bucket", "tail", "doc_id", "text")), strict=True):
                 x = x or ""
-                if ids and b == bucket and (tail or size > 2 << 20):
+                if ids and b == bucket and (tail or size > HELD_BYTES or len(ids) >= HELD_ROWS):
                     yield compare(ids, texts, x)
                     ids, texts, size = [], [], 0
                 bucket = b
