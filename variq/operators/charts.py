@@ -8,11 +8,13 @@ over buckets of its positions, so one long stream needs no single task.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variq.functions.limits import D4, E2, b3_col, b4_col, beyond, c4_col, rounded
-from variq.operators.ordered import over_stream
+from variq.operators.ordered import over_stream, quantiles
 
 
 def subgroups(rows: DataFrame, by: list[str], value: str, limits: str | None = None) -> DataFrame:
@@ -157,7 +159,8 @@ def histogram_bins(rows: DataFrame, by: list[str], value: str, bins: int | None
 
 
 def quantile_pairs(rows: DataFrame, value: str, points: int = 99) -> DataFrame:
-    """(p, quantile): for a normal plot at `points` probabilities from 0.01 to 0.99."""
+    """(p, quantile, normal): for a normal plot at `points` probabilities from 0.01 to 0.99; normal is the standard
+    normal quantile."""
     ps = [0.01 + 0.98 * i / (points - 1) for i in range(points)]
-    got = rows.agg(F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("q"))
-    return got.select(F.posexplode("q").alias("i", "quantile")).select(F.get(F.array(*[F.lit(p) for p in ps]), F.col("i")).alias("p"), "quantile")
+    made = [(p, q, NormalDist().inv_cdf(p)) for p, q in zip(ps, quantiles(rows, value, ps), strict=True)]
+    return rows.sparkSession.createDataFrame(made, "p double, quantile double, normal double")

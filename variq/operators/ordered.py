@@ -73,3 +73,18 @@ def over_stream(df: DataFrame, streams: list[str], position: str, look_back: int
 def previous(df: DataFrame, streams: list[str], position: str, value: Column, name: str) -> DataFrame:
     """df with the value of the row before it in the stream (null for the first)."""
     return over_stream(df, streams, position, 1, lambda w: {name: F.lag(value).over(w)})
+
+
+def quantiles(df: DataFrame, value: str, ps: list[float]) -> list[float | None]:
+    """Exact quantiles (linear between neighbours) of the non-null values; nulls without any.
+
+    Values are sorted in ranges and only the rows at the wanted places, two a quantile, reach the driver.
+    """
+    held = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    n = held.count()
+    if not n:
+        return [None] * len(ps)
+    spots = [p * (n - 1) for p in ps]
+    wanted = sorted({k for s in spots for k in (int(s), min(int(s) + 1, n - 1))})
+    at = dict(positions(held, [], [], ["v"], "at").filter(F.col("at").isin(wanted)).select("at", "v").collect())
+    return [at[int(s)] + (s - int(s)) * (at[min(int(s) + 1, n - 1)] - at[int(s)]) for s in spots]
