@@ -39,6 +39,7 @@ K, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
 BLOCK_BYTES = 2 << 20
 #: Sets up to which pairs are compared at once, without first looking for those that have no partner.
 FEW = 12
+GROUP_BITS = 9
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SENT = "part int, keys binary, cls binary, key long, member long, head long"
@@ -47,79 +48,90 @@ _SENT = "part int, keys binary, cls binary, key long, member long, head long"
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, of, at, cls, line) of each line that isn't blank; `of` is a hash of the whole text."""
     raw = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    line = F.lower(F.trim(F.col("line")))
-    return raw.withColumn("line", line).filter("line <> ''").withColumn("cls", F.xxhash64("line"))
+    # Blank lines are told before letters are lowered: a filter on the result would lower every line twice.
+    return raw.filter(F.trim("line") != "").withColumn("line", F.lower(F.trim("line"))).withColumn("cls", F.xxhash64("line"))
 
 
-def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All byte shingles of lines laid end to end: (value, line). Values are the bytes themselves for k up to 8."""
-    size = np.diff(offsets)
-    n, of = len(data), np.repeat(np.arange(len(size)), size)
-    if n >= k:
-        if k <= 8:
-            wide = np.ndarray(n - k + 1, "<u8", buffer=np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
-            value = wide & np.uint64((1 << 8 * k) - 1)
-        else:
-            value = _text.window_hashes(data.astype(np.uint64) + np.uint64(1), k)
-        whole = of[: len(value)] == of[k - 1 :]
-        value, of = value[whole], of[: len(whole)][whole]
-    else:
-        value, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    short = np.flatnonzero((size < k) & (size > 0))
-    if len(short):
-        filled = np.zeros((len(short), max(8, k)), np.uint8)
-        at = _text.ragged(offsets[short], size[short])
-        row = np.repeat(np.arange(len(short)), size[short])
-        filled[row, at - offsets[short][row]] = data[at]
-        extra = filled[:, :8].copy().view("<u8")[:, 0] if k <= 8 else _text.span_hashes(filled.ravel(), np.arange(len(short)) * filled.shape[1], (np.arange(len(short)) + 1) * filled.shape[1])
-        value, of = np.concatenate([value, extra]), np.concatenate([of, short])
-        order = np.argsort(of, kind="stable")
-        value, of = value[order], of[order]
-    return value, of
+def _at_bytes(data: np.ndarray, k: int) -> np.ndarray:
+    """The k-byte shingle that starts at each byte (beyond the end: filled with zeros). The bytes themselves for k up to 8."""
+    if k > 8:
+        return _text.window_hashes(np.append(data, np.zeros(k - 1, np.uint8)).astype(np.uint64) + np.uint64(1), k)
+    wide = np.ndarray(len(data), "<u8", buffer=np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    return wide if k == 8 else wide & np.uint64((1 << 8 * k) - 1)
+
+
+def _short(data: np.ndarray, offsets: np.ndarray, lines: np.ndarray, k: int) -> np.ndarray:
+    """The only shingle of each line of fewer than k bytes: its bytes and zeros."""
+    filled = np.zeros((len(lines), k), np.uint8)
+    size = offsets[lines + 1] - offsets[lines]
+    at = _text.ragged(offsets[lines], size)
+    row = np.repeat(np.arange(len(lines)), size)
+    filled[row, at - offsets[lines][row]] = data[at]
+    return _at_bytes(filled.ravel(), k)[::k]
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each line. Lines of about one size are sorted together, as rows of a matrix."""
-    value, of = shingles_of(data, offsets, k)
-    n = len(offsets) - 1
-    count = np.bincount(of, minlength=n)
-    begin = np.cumsum(count) - count
-    order = np.argsort(count, kind="stable")
+    size = np.diff(offsets)
+    n, value = len(size), _at_bytes(data, k)
+    count = np.where(size > 0, np.maximum(size - k + 1, 1), 0)
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * n
-    at = int(np.searchsorted(count[order], 1))
-    while at < n:
+    short = np.flatnonzero((size > 0) & (size < k))
+    for i, x in zip(short.tolist(), _short(data, offsets, short, k), strict=True):
+        out[i] = np.array([x])
+    order = np.argsort(count, kind="stable")
+    order = order[size[order] >= k]
+    at, sizes = 0, count[order]
+    while at < len(order):
         # Rows of up to a quarter more shingles than the first, some 64K shingles in all.
-        width = int(count[order[at]])
-        end = int(np.searchsorted(count[order], width + width // 4, "right"))
-        end = max(at + 1, min(end, at + (1 << 16) // width))
-        rows = order[at:end]
-        width = int(count[rows[-1]])
-        inside = np.arange(width) < count[rows, None]
-        block = np.where(inside, value[np.minimum(begin[rows, None] + np.arange(width), len(value) - 1)], _NONE)
+        width = int(sizes[at])
+        end = max(at + 1, min(int(np.searchsorted(sizes, width + width // 4, "right")), at + (1 << 16) // width))
+        rows, width = order[at:end], int(sizes[end - 1])
+        place = offsets[rows, None] + np.arange(width)
+        block = value[np.minimum(place, len(value) - 1)]
+        block[np.arange(width) >= sizes[at:end, None]] = _NONE
         block.sort(axis=1)
         fresh = block != _NONE
         fresh[:, 1:] &= block[:, 1:] != block[:, :-1]
-        size = fresh.sum(1)
-        flat, stop = block[fresh], np.cumsum(size)
-        for i, a, b in zip(rows.tolist(), (stop - size).tolist(), stop.tolist(), strict=True):
+        held = fresh.sum(1)
+        flat, stop = block[fresh], np.cumsum(held)
+        for i, a, b in zip(rows.tolist(), (stop - held).tolist(), stop.tolist(), strict=True):
             out[i] = flat[a:b]
         at = end
     return out
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, k: int, bins: int) -> np.ndarray:
-    """[line, bin]: the smallest hash of each bin; all bits set where a bin has no shingle. In blocks of whole lines."""
-    n = len(offsets) - 1
-    low = np.full(n * bins, _NONE, np.uint64)
-    at = 0
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _text.HASH_BLOCK, "right")) - 1)
-        value, of = shingles_of(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], k)
+    """[line, bin]: the smallest hash of each bin; all bits set where a bin has no shingle. In blocks of bytes."""
+    size = np.diff(offsets)
+    low = np.full(len(size) * bins, _NONE, np.uint64)
+
+    def put(value: np.ndarray, line: np.ndarray, counts: np.ndarray | None = None) -> None:
         value = _text.mix(value * _GOLD)
         slot = ((value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(low, (of + at) * bins + slot, value)
-        at = end
-    return low.reshape(n, bins)
+        if counts is not None:
+            value[~counts] = _NONE
+        np.minimum.at(low, line * bins + slot, value)
+
+    short = np.flatnonzero((size > 0) & (size < k))
+    if len(short):
+        put(_short(data, offsets, short, k), short)
+    for at in range(0, len(data), _text.HASH_BLOCK):
+        end = min(len(data), at + _text.HASH_BLOCK)
+        value = _at_bytes(data[at : end + k - 1], k)[: end - at]
+        # The line of each byte; shingles that reach beyond its end don't count.
+        first = int(np.searchsorted(offsets, at, "right")) - 1
+        last = int(np.searchsorted(offsets, end, "left"))
+        bounds = np.clip(offsets[first : last + 1], at, end)
+        line = np.repeat(np.arange(first, last), np.diff(bounds))
+        counts = np.ones(end - at, bool)
+        ends = offsets[first + 1 : last + 1]
+        for back in range(1, k):
+            cut = ends - back
+            cut = cut[(cut >= at) & (cut < end)]
+            counts[cut - at] = False
+        put(value, line, counts)
+    return low.reshape(len(size), bins)
 
 
 def band_keys(low: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,19 +254,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, k: int, similar: float) -> D
                 good[a:b] = _overlaps(mine, sets[a:b]) >= _needed(len(mine), size, similar)
             yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(heads[good])], ["a", "b"])
 
-    text = classes.select("cls", "line")
-    both = pairs.join(text.withColumnRenamed("line", "x"), "cls").join(text.select(F.col("cls").alias("head"), F.col("line").alias("y")), "head")
-    return both.sortWithinPartitions("head").select("cls", "head", "x", "y").mapInArrow(verify, "a long, b long")
+    # Only the pairs are hashed and moved: classes are read bucket by bucket, unsorted.
+    lines = classes.select("cls", F.col("line").alias("x")).join(pairs.hint("shuffle_hash"), "cls")
+    heads = classes.select(F.col("cls").alias("head"), F.col("line").alias("y")).join(pairs.select("head").distinct().hint("shuffle_hash"), "head")
+    return lines.join(heads, "head").sortWithinPartitions("head").select("cls", "head", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def _settled(members: DataFrame, classes: DataFrame, k: int, similar: float, partitions: int) -> DataFrame:
     """(a, b): links between the roots of `members` (key, cls, root): all pairs of a bucket that are similar, unless
     their components are joined already. Buckets of many bytes are split and each pair of blocks is a task."""
-    sized = members.join(classes.select("cls", "line"), "cls")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum(F.octet_length("line") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    sized = classes.select("cls", "size").join(members.select("key", "cls").hint("shuffle_hash"), "cls")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum(F.col("size") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "line")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root")
+    dealt = classes.select("cls", "line").join(dealt.hint("shuffle_hash"), "cls").select("key", "i", "j", "cls", "root", "line")
 
     def settle(batches):
         now, names, roots, sets = None, [], [], []
@@ -306,7 +320,13 @@ def linked(roots: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndar
         alive = keep
     at = np.flatnonzero(alive)
     at = at[np.argsort(size[at], kind="stable")]
-    parent = np.arange(group.max() + 1)
+    if len(at) < 2:
+        return np.zeros((0, 2), np.int64)
+    # Shingles counted in groups: the overlap of two sets is at most the sum of the smaller counts.
+    row = np.repeat(np.arange(len(at)), size[at])
+    group_of = ((np.concatenate([sets[i] for i in at]) * _GOLD) >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+    counts = np.bincount(row << GROUP_BITS | group_of, minlength=len(at) << GROUP_BITS).astype(np.uint32).reshape(len(at), -1)
+    parent = list(range(int(group.max()) + 1))
 
     def top(x):
         while parent[x] != x:
@@ -314,29 +334,31 @@ def linked(roots: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndar
             x = parent[x]
         return x
 
-    links = []
-    seen: list[int] = []
-    for i in at:
-        mine = top(group[i])
-        near = [j for j in seen[np.searchsorted(size[seen], similar * size[i] - 1e-9) :] if group[j] != group[i]] if seen else []
-        near = [j for j in near if top(group[j]) != mine]
-        if near:
-            near = np.array(near)
-            hit = near[_overlaps(sets[i], [sets[j] for j in near]) >= _needed(size[i], size[near], similar)]
-            for j in hit:
-                a, b = top(group[i]), top(group[j])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((roots[i], roots[j]))
-        seen.append(i)
+    links, sizes, groups = [], size[at], group[at].tolist()
+    for k in range(1, len(at)):
+        mine, lo = top(groups[k]), int(np.searchsorted(sizes[:k], similar * sizes[k] - 1e-9))
+        near = [j for j in range(lo, k) if top(groups[j]) != mine]
+        if not near:
+            continue
+        near = np.array(near)
+        least = _needed(sizes[k], sizes[near], similar)
+        fits = np.minimum(counts[near], counts[k]).sum(1) >= least
+        if not fits.any():
+            continue
+        near = near[fits]
+        for j in near[_overlaps(sets[at[k]], [sets[at[j]] for j in near]) >= least[fits]].tolist():
+            a, b = top(groups[k]), top(groups[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((roots[at[k]], roots[at[j]]))
     return np.array(links, np.int64).reshape(-1, 2)
 
 
 def line_classes(docs: DataFrame, tables: Tables, *, doc_id: str, text: str) -> DataFrame:
-    """(cls, line, first, n) of each distinct line, bucketed by class: its first place and its number of places."""
+    """(cls, line, size, first, n) of each distinct line, bucketed by class: its bytes, its first place, its number of places."""
     place = F.struct("doc_id", "of", "at")
     grouped = _lines(docs, doc_id, text).groupBy("cls").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    return tables.save_bucketed(grouped, "cls", "classes")
+    return tables.save_bucketed(grouped.withColumn("size", F.octet_length("line")), "cls", "classes")
 
 
 def line_groups(classes: DataFrame, tables: Tables, *, k: int, similar: float, bands: int, rows: int) -> DataFrame:
