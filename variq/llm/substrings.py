@@ -191,7 +191,7 @@ def _by_part(batches):
         yield now, Windows.join(held)
 
 
-def _level(found: DataFrame, partitions: int, ranges: int, groups: int) -> DataFrame:
+def _level(found: DataFrame, partitions: int, groups: int) -> DataFrame:
     """Survivors, by the group of their document, of windows that were sent to ranges."""
 
     def judge(batches):
@@ -247,11 +247,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def extend(step: int):
         def run(batches):
-            turn = 0
+            """Several groups' candidates at once, and fewer ranges than at first: a task sends few rows to each."""
+            turn, waiting = 0, []
             for _, held in _by_part(batches):
-                for out in _sent(_extended(held, step), ranges, groups, turn):
-                    turn += out.num_rows
-                    yield out
+                waiting.append(_extended(held, step))
+                if sum(map(len, waiting)) > 1 << 20:
+                    for out in _sent(Windows.join(waiting), partitions, groups, turn):
+                        turn += out.num_rows
+                        yield out
+                    waiting = []
+            if waiting:
+                yield from _sent(Windows.join(waiting), partitions, groups, turn)
 
         return run
 
@@ -269,9 +275,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def next_level(held: DataFrame, step: int) -> DataFrame:
         sent = held.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(extend(step), _SEND)
-        return _level(sent, partitions, ranges, groups)
+        return _level(sent, partitions, groups)
 
-    now = _level(rows.mapInArrow(first, _SEND), partitions, ranges, groups)
+    now = _level(rows.mapInArrow(first, _SEND), partitions, groups)
     for before, words in zip(levels, levels[1:], strict=False):
         held, _ = save(now, before)
         now = next_level(held, words - before)
