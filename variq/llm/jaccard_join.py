@@ -84,37 +84,79 @@ def tiers(points: list[np.ndarray], sizes: np.ndarray, percent: int):
 
 
 class CountTree:
-    """An R-tree over count vectors, bulk-loaded in order of size and leading coordinates.
+    """An R-tree over count vectors, bulk-loaded in order of size and leading coordinates, with a union-find over its
+    points.
 
     A node keeps the largest value of each coordinate and its range of sizes. For a query the summed minima of its
-    coordinates and the node's bound the overlap with everything below the node.
+    coordinates and the node's bound the overlap with everything below the node. A node whose points are all in one
+    component remembers a point of it, so a query from that component passes it by.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = 16):
         self.percent = percent
         self.order = np.lexsort((points[:, 1 % points.shape[1]], points[:, 0], sizes))
         self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.parent = np.arange(len(sizes))
         self.levels, self.fan = [], leaf
         high, low_n, high_n = self.points, self.sizes, self.sizes
         while len(high) > leaf:
             cut = np.arange(0, len(high), leaf)
             high, low_n, high_n = np.maximum.reduceat(high, cut), np.minimum.reduceat(low_n, cut), np.maximum.reduceat(high_n, cut)
-            self.levels.append((high, low_n, high_n))
-
-    def near(self, p: np.ndarray, n: int, among: np.ndarray) -> np.ndarray:
-        """Places (in tree order) that may overlap enough with a set of size n at point p, of those marked in `among`."""
-        at = None
-        for high, low_n, high_n in reversed(self.levels):
+            self.levels.append((high, low_n, high_n, np.full(len(high), -1)))  # the last: a point of the one component
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        """The root of each point; shortens the way for the next time."""
+        top = self.parent[x]
+        while (above := self.parent[top]).tolist() != top.tolist():
+            top = above
+        self.parent[x] = top
+        return top
+
+    def union(self, k: int, others: np.ndarray) -> None:
+        tops = np.unique(np.append(self.roots(others), self.roots(np.array([k]))))
+        self.parent[tops] = tops[0]
+
+    def near(self, k: int) -> np.ndarray:
+        """Points before k (in tree order), of other components, that may overlap enough with it."""
+        p, n, mine = self.points[k], int(self.sizes[k]), int(self.roots(np.array([k]))[0])
+        at, span = None, self.fan ** len(self.levels)
+        for level in range(len(self.levels) - 1, -1, -1):
+            high, low_n, high_n, one = self.levels[level]
             at = np.arange(len(high)) if at is None else self._below(at, len(high))
+            at = at[at * span < k]
             fit = (100 * high_n[at] >= self.percent * n) & (self.percent * low_n[at] <= 100 * n)
             at = at[fit]
+            known = one[at] >= 0
+            if known.any():
+                other = ~known
+                other[known] = self.roots(one[at[known]]) != mine
+                at = at[other]
             at = at[np.minimum(high[at], p).sum(1) >= needed(n, low_n[at], self.percent)]
+            self._remember(level, at, span)
+            span //= self.fan
         at = np.arange(len(self.points)) if at is None else self._below(at, len(self.points))
-        at = at[among[at]]
+        at = at[at < k]
         m = self.sizes[at]
         at = at[(100 * m >= self.percent * n) & (self.percent * m <= 100 * n)]
+        at = at[self.roots(at) != mine] if len(at) else at
         return at[np.minimum(self.points[at], p).sum(1) >= needed(n, self.sizes[at], self.percent)]
 
+    def _remember(self, level: int, at: np.ndarray, span: int) -> None:
+        """Marks the visited nodes whose points (or nodes below) are of one component by now."""
+        for x in at.tolist():
+            one = self.levels[level][3]
+            if one[x] >= 0:
+                continue
+            if level:
+                held = self.levels[level - 1][3][x * self.fan : (x + 1) * self.fan]
+                if (held < 0).any():
+                    continue
+            else:
+                held = np.arange(x * self.fan, min((x + 1) * self.fan, len(self.points)))
+            tops = self.roots(held)
+            if (tops == tops[0]).all():
+                one[x] = held[0]
+
     def _below(self, at: np.ndarray, n: int) -> np.ndarray:
         out = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
         return out[out < n]
@@ -122,36 +164,62 @@ class CountTree:
 
 def joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """The smallest index of each item's component. Items link when their bound allows it or, given sets, when verified."""
-    label = np.arange(len(sizes))
+    parent = np.arange(len(sizes))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     for at, flat in tiers(points, sizes, percent):
         root = _joined(flat, sizes[at], percent, [sets[i] for i in at] if sets else None)
         for i in np.flatnonzero(root != np.arange(len(root))):
-            a, b = label[at[i]], label[at[root[i]]]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-    return label
+            a, b = top(int(at[i])), top(int(at[root[i]]))
+            parent[max(a, b)] = min(a, b)
+    return np.array([top(x) for x in range(len(sizes))])
+
+
+RECENT = 4  # components whose last member is tried before the tree
 
 
 def _joined(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> np.ndarray:
     tree = CountTree(points, sizes, percent)
-    label = np.arange(len(sizes))
     held = [sets[k] for k in tree.order] if sets else None
+    recent: list[int] = []
+
+    def linked(k: int, at: np.ndarray) -> np.ndarray:
+        if not held or not len(at):
+            return at
+        mine = held[k]
+        count = np.array([len(held[j]) for j in at])
+        other = np.concatenate([held[j] for j in at])
+        spot = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+        both = np.add.reduceat((mine[spot] == other).astype(np.int64), np.cumsum(count) - count)
+        return at[both >= needed(len(mine), count, percent)]
+
     for k in range(len(sizes)):
-        among = label != label[k]
-        among[k:] = False
-        if not among.any():
-            continue
-        at = tree.near(tree.points[k], int(tree.sizes[k]), among)
-        if held and len(at):
-            mine = held[k]
-            count = np.array([len(held[j]) for j in at])
-            other = np.concatenate([held[j] for j in at])
-            spot = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-            both = np.add.reduceat((mine[spot] == other).astype(np.int64), np.cumsum(count) - count)
-            at = at[both >= needed(len(mine), count, percent)]
-        if len(at):
-            old = np.append(np.unique(label[at]), label[k])
-            label[np.isin(label, old)] = old.min()
+        # A member of a large group mostly links with its last members; the tree then passes the group by.
+        tried = np.array(recent, np.int64)
+        if len(tried):
+            fits = np.minimum(tree.points[tried], tree.points[k]).sum(1) >= needed(int(tree.sizes[k]), tree.sizes[tried], percent)
+            hits = linked(k, tried[fits])
+            if len(hits):
+                tree.union(k, hits)
+        at = tree.near(k)
+        while len(at):
+            # One point of each component at a time: those of a component that links need no more.
+            tops, first = np.unique(tree.roots(at), return_index=True)
+            hits = linked(k, at[first])
+            if len(hits):
+                tree.union(k, hits)
+            rest = np.ones(len(at), bool)
+            rest[first] = False
+            at = at[rest]
+            at = at[tree.roots(at) != tree.roots(np.array([k]))[0]] if len(at) else at
+        mine = tree.roots(np.array([k]))[0]
+        recent = [k, *[r for r in recent if tree.roots(np.array([r]))[0] != mine]][:RECENT]
+    label = tree.roots(np.arange(len(sizes)))
     root = np.full(len(sizes), len(sizes))
     np.minimum.at(root, label, tree.order)
     out = np.empty(len(sizes), np.int64)
@@ -165,7 +233,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in _text.chunks(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
-            ids = batch.column("doc_id").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             seen = {class_of(s): s for s in sets if len(s)}
             hot, count = np.unique(np.concatenate(list(seen.values())), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             pick = count >= max(8, HOT_SHARE * len(seen))
@@ -174,12 +242,12 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*ids, *[None] * len(hot)], pa.int64()), pa.array([*map(len, sets), *count.tolist()], pa.int64()), pa.array([*map(class_of, sets), *[None] * len(hot)], pa.binary()),
-                    pa.array([*[point(s).tobytes() if len(s) else None for s in sets], *[None] * len(hot)], pa.binary()), pa.array([*[None] * n, *hot.tolist()], pa.int64()),
+                    pa.array([*[point(s).tobytes() if len(s) else None for s in sets], *[None] * len(hot)], pa.binary()), pa.array([*[None] * n, *hot.tolist()], pa.int64()), pa.array([*texts, *[None] * len(hot)], pa.int64()),
                 ],
-                ["doc_id", "n", "cls", "point", "hot"],
+                ["doc_id", "n", "cls", "point", "hot", "text_hash"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls binary, point binary, hot long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls binary, point binary, hot long, text_hash long")
 
 
 def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions: int) -> DataFrame:
@@ -249,7 +317,8 @@ def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions
 
 
 def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(a, b): under each key, links of classes whose points allow enough overlap; one link a class at most for many classes."""
+    """(a, b): under each key (or pair of blocks of one), links of classes whose points allow enough overlap; one link a
+    class at most for many classes."""
 
     def flush(runs: list[tuple[list, list]]):
         a, b = [], []
@@ -272,7 +341,7 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
     def run(batches):
         now, names, points, runs, size = None, [], [], [], 0
         for batch in batches:
-            for key, cls, p in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "point")), strict=True):
+            for *key, cls, p in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "cls", "point")), strict=True):
                 if key != now:
                     if names:
                         runs.append((names, points))
@@ -287,7 +356,15 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
             runs.append((names, points))
         yield flush(runs)
 
-    return met.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return met.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
+def _blocked(met: DataFrame, key_block: int) -> DataFrame:
+    """(key, i, j, cls): keys of many classes are cut into blocks by a hash, and each pair of blocks meets on its own."""
+    many = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_block).select("key", F.ceil(F.col("n") / key_block).cast("int").alias("blocks"))
+    dealt = met.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls")
 
 
 def _verified_links(members: DataFrame, docs: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
@@ -329,24 +406,29 @@ def _verified_links(members: DataFrame, docs: DataFrame, k: int, percent: int, p
 
     one = F.min("doc_id").alias("doc_id")
     wanted = members.groupBy("cls", "cluster", "i", "j").agg(one)
-    # Merged at every size, as large inputs are: the cost then stays in proportion to the input.
-    texts = docs.hint("merge").join(wanted, "doc_id").select("cluster", "i", "j", "cls", "text")
+    texts = docs.join(wanted, "doc_id").select("cluster", "i", "j", "cls", "text")
     return texts.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a binary, b binary")
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 1024, partitions: int | None = None) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links of at least `percent` similarity)."""
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 1024, key_block: int = 4096, partitions: int | None = None, detail: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links of at least `percent` similarity).
+
+    detail: also text_hash (xxhash64 of the text) and group_id, the component's name (null without words), which tell
+    rows without an id, and rows that share one, apart.
+    """
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = Tables(spark, "jaccard")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = tables.save(_classes(rows, k), "classes")
+    found = tables.save(_classes(rows.withColumn("text_hash", F.xxhash64("text")), k), "classes")
     classes = found.filter("hot is null").drop("hot")
     frequent = found.filter("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_LIST)
     hot = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))
     points = classes.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"), F.min("doc_id").alias("doc_id"))
-    met = _meetings(rows, k, percent, hot, partitions).join(points.select("cls", "point"), "cls")
-    clusters = components(_bound_links(met, percent, partitions), tables)
+    met = tables.save(_meetings(rows, k, percent, hot, partitions), "met")
+    bounds = tables.save(_bound_links(_blocked(met, key_block).join(points.select("cls", "point"), "cls"), percent, partitions), "bounds")
+    tables.drop(met)
+    clusters = components(bounds, tables)
     size = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     spread = clusters.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -355,4 +437,4 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     labelled = classes.drop("point").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_hash", F.col("root").alias("group_id")] if detail else []))
