@@ -82,9 +82,8 @@ class Index:
         self.words = [hashes[doc == t] for t in range(len(self.names))]
         if min(map(len, self.words), default=K) < K:
             raise ValueError(f"a template needs {K} words")
-        grams = _text.window_hashes(hashes, K)
-        # All K-word hashes of a template are indexed: a text's fingerprint then never misses its place.
-        at = np.flatnonzero(doc[: len(grams)] == doc[K - 1 :])
+        # Winnowed by the same rule as texts: a run of K + WINDOW - 1 words in common has the same fingerprint in both.
+        at, grams = winnow(hashes, doc)
         order = at[np.argsort(grams[at], kind="stable")]
         base = np.searchsorted(doc, np.arange(len(self.names)))
         self.keys, self.template = grams[order], doc[order]
