@@ -171,6 +171,12 @@ def test_derivations(spark):
     assert {r["p"] for r in power.collect()} == {1.0}
 
 
+def test_issues_of_derivations(spark):
+    df = spark.createDataFrame([(float(v), 1.0) for v in (-1, 0, 0, 0, 5)], "x double, flat double")
+    found = derive.issues(df, [derive.Derivation("transform", "x", "log", "l"), derive.Derivation("transform", "x", "log", "x", on_invalid="na"), derive.Derivation("bin", "flat", "equal_width", "b", {"bins": 3}), derive.Derivation("bin", "x", "equal_freq", "q", {"bins": 3}), derive.Derivation("transform", "gone", "log")])
+    assert [(i["name"], i["severity"], i["count"]) for i in found] == [("l", "error", 4), ("x", "error", None), ("x", "warning", 4), ("b", "error", None), ("q", "warning", None), ("gone_log", "error", None)]
+
+
 def test_plan_and_report(spark):
     df = readers.synthetic(spark, 1, seed=2, k1=2, k2=1, periods=4)
     study = Process(df).formulate("y", ["factor 1"], "time", plan={"factors": {"factor 1": ["F1_1", "F1_2", "F1_3"]}, "T": 4, "N": 2}, obs_id="obs_id")

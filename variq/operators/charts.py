@@ -8,6 +8,7 @@ over buckets of its positions, so one long stream needs no single task.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,3 +165,12 @@ def quantile_pairs(rows: DataFrame, value: str, points: int = 99) -> DataFrame:
     ps = [0.01 + 0.98 * i / (points - 1) for i in range(points)]
     made = [(p, q, NormalDist().inv_cdf(p)) for p, q in zip(ps, quantiles(rows, value, ps), strict=True)]
     return rows.sparkSession.createDataFrame(made, "p double, quantile double, normal double")
+
+
+def normal_curves(one: DataFrame, curves: dict[str, tuple[str, str]], points: int = 101) -> DataFrame:
+    """(curve, x, density): normal densities from four sigma below to four above the mean. one: a one-row frame; curves:
+    name -> its columns of mean and sigma."""
+    each = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("curve"), F.col(m).alias("m"), F.col(s).alias("s")) for name, (m, s) in curves.items()])).alias("c")).select("c.*").filter("s > 0")
+    z = F.col("k") * (8.0 / (points - 1)) - 4
+    placed = each.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("z", z)
+    return placed.select("curve", (F.col("m") + F.col("z") * F.col("s")).alias("x"), (F.exp(-F.col("z") * F.col("z") / 2) / (F.col("s") * math.sqrt(2 * math.pi))).alias("density"))

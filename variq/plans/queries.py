@@ -495,6 +495,11 @@ def capability_window(spark, sf_dir):
     return six(cap.capability(frame(spark, sf_dir, "events", "exact"), SpecLimits(5, 90), ("2024-01-08", "2024-01-15")).select(CAP_COLUMNS), *CAP_COLUMNS[1:])
 
 
+@query(f"WITH {E_CTE}, q AS (SELECT g + (y - m) AS p, y - m AS r2, y, g FROM j), a AS (SELECT any_value(g) AS yb, stddev_samp(y) / ({C4.format(n='count(*)')}) AS sg, avg(p) AS pm, stddev_samp(r2) / ({C4.format(n='count(*)')}) AS sr FROM q), w AS (SELECT 'observed' AS curve, yb AS m, sg AS s FROM a UNION ALL SELECT 'potential', pm, sr FROM a), z AS (SELECT *, k * (8.0::DOUBLE / 20) - 4 AS z FROM w, (SELECT unnest(range(21)) AS k)) SELECT curve, {R6('m + z * s')} AS x, {R6('exp(-z * z / 2) / (s * sqrt(2 * pi()))')} AS density FROM z")
+def capability_curves(spark, sf_dir):
+    return six(study(spark, sf_dir, "events").capability_curves(5, 90, points=21), "x", "density")
+
+
 LOSS = ["centering", "unexplained", "pdc", "time", "interaction", "total"]
 LOSS_SQL = f"""WITH {E_CTE}, l AS (SELECT power((SELECT g FROM g) - 40, 2) AS centering, (SELECT avg(v) FROM c) AS unexplained, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc, (SELECT avg(power(mt - g, 2)) FROM ct, g) AS time,
 (SELECT avg(power(m - mk - mt + g, 2)) FROM c JOIN ck USING (k) JOIN ct USING (t), g) AS interaction), z AS (SELECT *, centering + unexplained + pdc + time + interaction AS total FROM l)"""

@@ -21,7 +21,14 @@ from variq.plans.result import AnalysisResult, Chart
 from variq.plans.spec import CHARTS, RESIDUALS, Calibration, CalibrationNotSupportedError, ChartNotAvailableError, ChartRequest, FactorNotFoundError, FormulationSpec, SpecLimits, ValidationError, VariqWarning
 
 #: Other names that people use for a chart, and what to ask for. Fixed values.
-ALIASES = {"xmr": "X with companion=True", "imr": "X with companion=True", "i-mr": "X with companion=True", "xbar-s": "Xbar with companion=True", "xbars": "Xbar with companion=True", "individuals": "X", "range": "mR", "r": "mR"}
+ALIASES = {"xmr": "X with companion=True", "imr": "X with companion=True", "i-mr": "X with companion=True", "xbar-s": "Xbar with companion=True", "xbars": "Xbar with companion=True", "individuals": "X", "individual": "X", "i": "X", "i-chart": "X", "x-chart": "X", "range": "mR", "r": "mR", "moving range": "mR", "mr-chart": "mR", "x-bar": "Xbar", "xbar-chart": "Xbar", "sigma": "S", "s-chart": "S", "hist": "Histogram"}
+
+#: What each chart and value answers.
+QUESTIONS = {
+    "Xbar": "do subgroup averages differ by more than the spread within subgroups explains?", "S": "is the spread within subgroups the same everywhere?",
+    "X": "is each reading predictable from those before?", "mR": "do successive readings differ by a constant amount of noise?", "Histogram": "how are the values distributed?",
+    "R1": "total variation", "R2": "noise, without conditions and periods", "R3": "interaction of conditions and periods", "R4": "periods", "R5": "conditions", "R6": "the chosen factors",
+}
 EFFECT_RESIDUALS = ("R1", "R3", "R4", "R5")
 
 
@@ -178,10 +185,10 @@ class Study:
         return ("Capability",) if not self.has_residuals or self.r2_unavailable else ("Capability", "Loss function", "Maximum information")
 
     def support(self) -> DataFrame:
-        """One row a chart and value: available, recommended, reason."""
-        rows = [("response", c, self.why_not(c) is None, c == self.recommended_chart, self.why_not(c) or "") for c in CHARTS]
-        rows += [(v, c, self.why_not(c, v) is None, False, self.why_not(c, v) or "") for v in RESIDUALS for c in ("Xbar", "S", "X")]
-        return self.data.sparkSession.createDataFrame(rows, "value string, chart string, available boolean, recommended boolean, reason string")
+        """One row a chart and value: available, recommended, reason, and the question that it answers."""
+        rows = [("response", c, self.why_not(c) is None, c == self.recommended_chart, self.why_not(c) or "", QUESTIONS[c]) for c in CHARTS]
+        rows += [(v, c, self.why_not(c, v) is None, False, self.why_not(c, v) or "", f"{QUESTIONS[v]}: {QUESTIONS[c]}") for v in RESIDUALS for c in ("Xbar", "S", "X")]
+        return self.data.sparkSession.createDataFrame(rows, "value string, chart string, available boolean, recommended boolean, reason string, question string")
 
     def why_not(self, chart: str, value: str | None = None) -> str | None:
         """Why a chart isn't available, or None."""
@@ -285,6 +292,10 @@ class Study:
         self._need_r2("maximum information")
         return cap.maximum_information(self.frame)
 
+    def capability_curves(self, lsl=None, usl=None, target=None, points: int = 101) -> DataFrame:
+        """Normal densities with the observed and the potential mean and sigma, ready to draw over a histogram."""
+        return charts.normal_curves(self.capability(lsl, usl, target), {"observed": ("y_bar", "sigma")} | ({"potential": ("potential_mean", "sigma_R2")} if self.has_residuals and not self.r2_unavailable else {}), points)
+
     def r2_histogram(self, bins: int | None = None) -> DataFrame:
         """Bins of R2 with their counts and percentages."""
         self._need_r2("maximum information")
