@@ -51,10 +51,11 @@ def test_jaccard_join(spark, k, percent, block):
     assert jaccard_join.similar_documents(empty(spark), partitions=2).count() == 0
 
 
-def test_jaccard_join_of_a_large_group(spark):
+@pytest.mark.parametrize("key_block", [4096, 20])
+def test_jaccard_join_of_a_large_group(spark, key_block):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[: 100 + i % 20] + [f"own{i}"] * (i % 9)), None, None) for i in range(150)]
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_documents(frame(spark, rows), k=3, percent=85, block=16, partitions=3).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_documents(frame(spark, rows), k=3, percent=85, block=16, key_block=key_block, partitions=3).collect()}
     assert got == brute_components({i: shingles(x, 3) for i, x, *_ in rows}, 85)
 
 
@@ -161,6 +162,26 @@ def test_lines_of_one_template(spark):
     assert len(want) > 50 and got == want
 
 
+def test_lines_of_large_near_copy_groups(spark):
+    """Recall over groups of near copies in which most pairs, but not all, are similar."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(letters) for _ in range(260)]
+        for _ in range(200):
+            line = list(base)
+            for _ in range(rng.randint(0, 5)):
+                line[rng.randrange(2, 258)] = rng.choice(letters)
+            rows.append((len(rows), "x" + "".join(line[1:-1]) + "y", None, None))
+    rng.shuffle(rows)
+    grams = {i: {x[j : j + 8] for j in range(len(x) - 7)} for i, x, *_ in rows}
+    root = brute_components(grams, 80)
+    want = {i for i, r in root.items() if i != r}
+    got = {r["doc_id"] for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 500
+
+
 def test_mixing(spark):
     rows = corpus(n=200)
     mixed = mixing.mix_sources(frame(spark, rows).withColumn("target", F.lit("clash")))
@@ -198,17 +219,74 @@ def test_mixing(spark):
         assert abs(r["taken"] - r["target"]) <= max(0.15 * r["target"], r["largest"])
 
 
+def brute_lines(rows):
+    """(id, hash of the text, place) of the lines that a sooner similar one makes superfluous."""
+    classes: dict = {}
+    for i, h, x in rows:
+        for k, line in enumerate((x or "").split("\n") if i is not None else []):
+            if line.strip(" "):
+                classes.setdefault(line.strip(" ").lower(), set()).add((i, h, k))
+    grams = {x: {x.encode()[j : j + 8] for j in range(max(1, len(x.encode()) - 7))} for x in classes}
+    groups: dict = {}
+    for x, root in brute_components(dict(enumerate(grams.values())), 80).items():
+        groups.setdefault(root, set()).update(list(classes.values())[x])
+    return {p for g in groups.values() for p in sorted(g)[1:]}
+
+
 def test_pipeline(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
     import corpus_pipeline
+    from variq.llm import pieces
 
     rows = corpus(n=80)
+    rows += [(7, "an id that has another text, too\nwith a line of its own", "en", "a"), (None, rows[4][1], "en", "b"), (None, "a row without an id\nthat is like no other row", "en", "b")]
     docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = [[r.asDict() for r in docs.withColumn("h", F.xxhash64("text")).collect()]]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns, name
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-    assert docs.count() > 20 and docs.filter("not round_trip").count() == 0
+        seen.append([r.asDict() for r in (docs.withColumn("h", F.xxhash64("text")) if "text" in docs.columns else docs).collect()])
+    start, labelled, lined, single, mixed, done = seen
+    bag = lambda rows: collections.Counter((r["doc_id"], r["text"]) for r in rows)
+    assert bag(labelled) == bag(r for r in start if any(map(str.isalpha, r["text"] or "")))
+    assert all(r["lang"] in ("en", "de", "fr") for r in labelled)
+
+    gone, want = brute_lines([(r["doc_id"], r["h"], r["text"]) for r in labelled]), collections.Counter()
+    for r in labelled:
+        lines = r["text"].split("\n")
+        left = [x for k, x in enumerate(lines) if (r["doc_id"], r["h"], k) not in gone]
+        if len(left) == len(lines) or "".join(left).strip():
+            want[r["doc_id"], "\n".join(left)] += 1
+    assert bag(lined) == want
+    assert all(r["n_chars"] == len(r["text"]) for r in lined)
+
+    sets = {k: shingles(r["text"], 5) for k, r in enumerate(lined)}
+    groups: dict = {}
+    for k, root in brute_components(sets, 80).items():
+        groups.setdefault(root if sets[k] else ("alone", k), []).append(k)
+    rank = lambda k: (lined[k]["doc_id"] is None, lined[k]["doc_id"] or 0, lined[k]["h"])
+    assert bag(single) == bag(lined[min(g, key=rank)] for g in groups.values())
+
+    size = collections.Counter()
+    for r in single:
+        size[r["source"]] += len(WORD.findall(r["text"]))
+    copies, before = bag(mixed), bag(single)
+    assert set(copies) <= set(before) and all(n <= 3 * before[x] for x, n in copies.items())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in done) == collections.Counter((r["doc_id"], tuple(library.encode(r["text"]))) for r in mixed)
+    assert all(r["round_trip"] for r in done)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    empty(spark).withColumn("n_chars", F.lit(0).cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -335,3 +335,69 @@ def test_neighbours_of_a_hot_id_and_of_rows_without_one(spark):
     for partitions in (1, 7):
         got = fingerprints.edited_pairs(df, partitions=partitions).collect()
         assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
+def test_licenses_equal_unbanded_alignment():
+    rng = random.Random(9)
+    say = lambda n: [rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randint(0, 400)) for _ in range(n)]
+    templates = {f"t{n}": say(n) for n in (5, 9, 30, 120)}
+    index = license_scan.Index({k: " ".join(v) for k, v in templates.items()})
+    texts, found = [], 0
+    for _ in range(60):
+        words = say(rng.randint(0, 60))
+        for name in rng.sample(sorted(templates), rng.randint(0, 3)):
+            copy = [w if rng.random() > 0.07 else "changed" for w in templates[name]]
+            if rng.random() < 0.3:
+                copy = copy[: rng.randint(1, len(copy))]
+            if rng.random() < 0.3:
+                copy[rng.randrange(len(copy)) : 0] = ["put", "in"]
+            words += copy + say(rng.randint(0, 20))
+        texts.append(" ".join(words))
+    for text, got in zip(texts, license_scan.find(index, pa.array(texts), 0.8), strict=True):
+        *_, hashes = license_scan._words(pa.array([text]))
+        want = set()
+        for name, goal in zip(index.names, index.words, strict=True):
+            matched, *_ = license_scan.align(hashes, goal, 0, len(hashes) + len(goal))
+            if matched >= 0.8 * len(goal):
+                want.add(name)
+        assert {x[0] for x in got} == want
+        found += len(want)
+        for name, a, b, share in got:
+            assert 0.8 <= share <= 1 and sum(w in text[a:b].split() for w in templates[name]) >= 0.8 * len(templates[name])
+    assert found > 40
+
+
+def test_language_of_texts_held_out(spark):
+    rows = [r for r in corpus(seed=3, n=400) if r[0] is not None]
+    learned = frame(spark, [r for r in rows if r[0] % 5])
+    model = langid.train(learned)
+    lang = {i: x for (i, _, x, _) in rows if x}
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, [r for r in rows if r[0] % 5 == 0]), model).collect()}
+    known = [i for i in got if i in lang and i < 400]
+    assert len(known) > 40 and sum(got[i]["lang_pred"] == lang[i] for i in known) >= 0.95 * len(known)
+    clash = langid.identify(empty(spark).withColumn("score", F.lit("x")), model)
+    assert clash.count() == 0 and clash.schema["score"].dataType.simpleString() == "double"
+    nothing = langid.train(empty(spark))
+    assert {r["lang_pred"] for r in langid.identify(learned, nothing).collect()} == {"und"}
+
+
+def test_secret_columns_that_clash(spark):
+    df = frame(spark, corpus(n=10)).withColumns({"spans": F.lit(1), "n_hex": F.lit("x")})
+    out = secret_scan.scan(df)
+    assert out.columns.count("spans") == 1 and out.count() == df.count()
+    assert secret_scan.scan(empty(spark)).count() == 0
+
+
+def test_a_text_of_200_mb():
+    """Kernels that hash words hold a few arrays a word beside the text, none a byte of it times eight."""
+    import resource
+
+    text = ("word " * 40_000_000).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, ends, doc = _text.words(data, offsets)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    hashes = _text.span_hashes(data, starts, ends)
+    windows = _text.window_hashes(hashes, 13)
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert len(starts) == 40_000_000 and (hashes == hashes[0]).all() and (windows == windows[0]).all()
+    assert grown < 3000  # two results of 320 MB and what mixing them takes
