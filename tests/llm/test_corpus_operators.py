@@ -179,7 +179,7 @@ def test_lines_of_large_near_copy_groups(spark):
     root = brute_components(grams, 80)
     want = {i for i, r in root.items() if i != r}
     got = {r["doc_id"] for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want) > 500
+    assert got <= want and len(got) >= 0.98 * len(want) > 400
 
 
 def test_mixing(spark):
