@@ -60,6 +60,19 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_viterbi_of_long_sequences_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([5, 1000, 0, 33, 700, 64, 65, 129])
+    scores = rng.normal(size=(int(counts.sum()), 4))
+    for move in (rng.normal(size=(4, 4)), np.where(np.eye(4) > 0, 0.0, -3.0)):
+        whole = _text.viterbi(scores, counts, move)
+        monkeypatch.setattr(_text, "VITERBI_BLOCK", 32)
+        assert _text.viterbi(scores, counts, move).tolist() == whole.tolist()
+        monkeypatch.setattr(_text, "VITERBI_LABELS", 0)
+        assert _text.viterbi(scores, counts, move).tolist() == whole.tolist()
+        monkeypatch.undo()
+
+
 def test_viterbi_of_many_labels():
     want = np.array([3, 130, 299, 128, 255, 0])
     scores = np.zeros((len(want), 300))

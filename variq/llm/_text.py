@@ -218,18 +218,87 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return lead[offsets[1:]] - lead[offsets[:-1]]
 
 
+#: Items of a block, and labels up to which long sequences are cut into blocks.
+VITERBI_BLOCK, VITERBI_LABELS = 256, 16
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """The best label path of many sequences at once.
 
     scores: one row of label scores for each item, sequences one after the other; counts: their lengths;
-    transition[a, b]: score of label b after label a. Step t advances every sequence longer than t together, so the
-    number of numpy calls follows the longest sequence of the chunk, not the number of sequences. Ties go to the
-    smaller label. Exact.
+    transition[a, b]: score of label b after label a. Exact; ties go to the smaller label.
+
+    A sequence of several blocks is cut: the best scores from each label before a block to each label at its end are
+    found for all blocks at once, chained block by block, and then each block's path is found between its known ends. So
+    the number of numpy calls follows the block and the number of blocks, not the longest sequence.
+    """
+    labels, begin = scores.shape[1], np.cumsum(counts) - counts
+    long = np.flatnonzero(counts > 2 * VITERBI_BLOCK) if labels <= VITERBI_LABELS else np.zeros(0, np.int64)
+    if not len(long):
+        return _paths(scores, begin, counts, transition, None, None)
+    number = -(-counts[long] // VITERBI_BLOCK)
+    own = np.repeat(np.arange(len(long)), number)
+    turn = np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number)
+    start = begin[long][own] + turn * VITERBI_BLOCK
+    size = np.minimum(counts[long][own] - turn * VITERBI_BLOCK, VITERBI_BLOCK)
+    # From each label before a block to each label at its end; a first block has no label before it.
+    row = np.repeat(np.arange(len(own)), np.where(turn == 0, 1, labels))
+    enter = np.where(turn[row] == 0, -1, np.arange(len(row)) - np.searchsorted(row, row))
+    ends = _ends(scores, start[row], size[row], transition, enter)
+    at = np.searchsorted(row, np.arange(len(own)))
+    first = np.cumsum(number) - number
+    best, came = ends[at[first]].copy(), np.zeros((len(own), labels), np.int64)
+    for j in range(1, int(number.max())):
+        live = np.flatnonzero(number > j)
+        block = first[live] + j
+        reach = best[live][:, :, None] + ends[at[block][:, None] + np.arange(labels)]
+        came[block] = reach.argmax(1)
+        best[live] = reach.max(1)
+    leave = np.zeros(len(own), np.int64)
+    label = best.argmax(1)
+    for j in range(int(number.max()) - 1, -1, -1):
+        live = np.flatnonzero(number > j)
+        block = first[live] + j
+        leave[block] = label[live]
+        label[live] = came[block, label[live]]
+    before = np.where(turn == 0, -1, np.append(-1, leave[:-1]))
+    short = np.flatnonzero(counts <= 2 * VITERBI_BLOCK)
+    none = np.full(len(short), -1)
+    return _paths(scores, np.append(begin[short], start), np.append(counts[short], size), transition, np.append(none, before), np.append(none, leave))
+
+
+def _entered(scores: np.ndarray, begin: np.ndarray, transition: np.ndarray, enter: np.ndarray | None) -> np.ndarray:
+    """Scores of the first item's labels, after the label before it (-1: none)."""
+    best = scores[begin].copy()
+    if enter is not None:
+        some = enter >= 0
+        best[some] += transition[enter[some]]
+    return best
+
+
+def _ends(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, transition: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """The best score of each label at the end of each sequence."""
+    order = np.argsort(-size, kind="stable")
+    begin, long = begin[order], size[order]
+    best = _entered(scores, begin, transition, enter[order])
+    for t in range(1, int(long[0])):
+        n = int(np.searchsorted(-long, -t, "left"))
+        now = best[:n]
+        new = np.stack([(now + transition[:, b]).max(1) for b in range(scores.shape[1])], 1)
+        best[:n] = new + scores[begin[:n] + t]
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def _paths(scores: np.ndarray, begin: np.ndarray, counts: np.ndarray, transition: np.ndarray, enter: np.ndarray | None, leave: np.ndarray | None) -> np.ndarray:
+    """The best path of each sequence, given the label before it and its last label (None or -1: any).
+
+    Step t advances every sequence longer than t together.
     """
     labels = scores.shape[1]
     order = np.argsort(-counts, kind="stable")
-    size = counts[order]
-    begin = (np.cumsum(counts) - counts)[order]
+    size, begin = counts[order], begin[order]
     steps = int(size[0]) if len(size) else 0
     path = np.zeros(len(scores), np.int16)
     if not steps:
@@ -237,7 +306,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> n
     active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
     back = np.zeros((len(scores), labels), np.int16)
     k = int(active[0])
-    best = scores[begin[:k]].copy()
+    best = _entered(scores, begin[:k], transition, None if enter is None else enter[order][:k])
     final = np.zeros((len(size), labels), scores.dtype)
     for t in range(1, steps):
         n = int(active[t])
@@ -256,6 +325,9 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> n
     final[:k] = best
     live = int(active[0])
     state = final[:live].argmax(1)
+    if leave is not None:
+        told = leave[order][:live]
+        state = np.where(told >= 0, told, state)
     for t in range(steps - 1, -1, -1):
         n = int(active[t])
         here = begin[:n] + t
