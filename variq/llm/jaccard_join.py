@@ -67,6 +67,15 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes: one byte a group where that is enough, else two."""
+    return b"\x01" + p.astype(np.uint8).tobytes() if p.max(initial=0) < 256 else b"\x02" + p.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint16, offset=1).astype(np.uint16)
+
+
 def tiers(points: list[np.ndarray], sizes: np.ndarray, percent: int):
     """(members, their points on one number of groups) such that any two that can link are together in one tier.
 
@@ -242,7 +251,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*ids, *[None] * len(hot)], pa.int64()), pa.array([*map(len, sets), *count.tolist()], pa.int64()), pa.array([*map(class_of, sets), *[None] * len(hot)], pa.binary()),
-                    pa.array([*[point(s).tobytes() if len(s) else None for s in sets], *[None] * len(hot)], pa.binary()), pa.array([*[None] * n, *hot.tolist()], pa.int64()), pa.array([*texts, *[None] * len(hot)], pa.int64()),
+                    pa.array([*[packed(point(s)) if len(s) else None for s in sets], *[None] * len(hot)], pa.binary()), pa.array([*[None] * n, *hot.tolist()], pa.int64()), pa.array([*texts, *[None] * len(hot)], pa.int64()),
                 ],
                 ["doc_id", "n", "cls", "point", "hot", "text_hash"],
             )
@@ -251,9 +260,9 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions: int) -> DataFrame:
-    """(key, cls) of the classes that meet another class under a key."""
+    """(key, cls) of the classes that meet another class of near enough size under a key."""
     parts = partitions * 4
-    schema = "part int, keys binary, of binary, cls binary"
+    schema = "part int, keys binary, of binary, cls binary, sizes binary"
 
     def send(batches):
         for batch in _text.chunks(batches, "text", 6 << 20):
@@ -275,12 +284,12 @@ def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions
             order = np.lexsort((of, part))
             part, keys, of = part[order], keys[order], of[order]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            names = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 16)
+            names, sizes = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 16), np.array([len(s) for s in sets.values()], np.int32)
             rows = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 who, at = np.unique(of[a:b], return_inverse=True)
-                rows.append((int(part[a]), keys[a:b].tobytes(), at.astype(np.int32).tobytes(), names[who].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "of", "cls"])
+                rows.append((int(part[a]), keys[a:b].tobytes(), at.astype(np.int32).tobytes(), names[who].tobytes(), sizes[who].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows, strict=True))], ["part", "keys", "of", "cls", "sizes"])
 
     def meet(batches):
         now, held = None, []
@@ -292,13 +301,17 @@ def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions
             base = np.cumsum([0, *[len(x[2]) // 16 for x in held]])
             of = np.concatenate([np.frombuffer(x[1], np.int32).astype(np.int64) + base[i] for i, x in enumerate(held)])
             names, code = np.unique(np.frombuffer(b"".join(x[2] for x in held), "V16"), return_inverse=True)
+            size = np.zeros(len(names), np.int64)
+            size[code] = np.frombuffer(b"".join(x[3] for x in held), np.int32)
             of = code[of]
-            order = np.lexsort((of, keys))
+            order = np.lexsort((of, size[of], keys))
             keys, of = keys[order], of[order]
             keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
             keys, of = keys[keep], of[keep]
-            more = np.concatenate([keys[1:] == keys[:-1], [False]])
-            more[1:] |= more[:-1]
+            # By size under each key: whoever may link with any class there may link with a neighbour.
+            n = size[of]
+            pair = (keys[1:] == keys[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            more = np.append(pair, False) | np.append(False, pair)
             keys, of = keys[more], of[more]
             held.clear()
             for a in range(0, len(keys), 50_000):
@@ -306,7 +319,7 @@ def _meetings(docs: DataFrame, k: int, percent: int, hot: np.ndarray, partitions
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([names[x].tobytes() for x in of[a : a + 50_000]], pa.binary())], ["key", "cls"])
 
         for batch in batches:
-            for part, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "of", "cls")), strict=True):
+            for part, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "of", "cls", "sizes")), strict=True):
                 if part != now:
                     yield from done()
                 now = part
@@ -350,7 +363,7 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
                         runs, size = [], 0
                     now, names, points = key, [], []
                 names.append(cls)
-                points.append(np.frombuffer(p, np.uint16))
+                points.append(unpacked(p))
                 size += 1
         if names:
             runs.append((names, points))
