@@ -335,7 +335,21 @@ def _bound_links(met: DataFrame, percent: int, partitions: int) -> DataFrame:
 
     def flush(runs: list[tuple[list, list]]):
         a, b = [], []
+        twos: dict[int, list] = {}
         for names, points in runs:
+            if len(names) == 2:  # most keys: all of them at once
+                g = min(map(len, points))
+                twos.setdefault(g, []).append((*names, *(p if len(p) == g else p.reshape(-1, g).sum(0, dtype=np.uint16) for p in points)))
+        for held in twos.values():
+            one, two, p, q = zip(*held, strict=True)
+            p, q = np.stack(p), np.stack(q)
+            total = lambda x: x.sum(1, dtype=np.int64)
+            fit = np.flatnonzero(total(np.minimum(p, q)) >= needed(total(p), total(q), percent))
+            a += [one[x] for x in fit]
+            b += [two[x] for x in fit]
+        for names, points in runs:
+            if len(names) == 2:
+                continue
             sizes = np.array([int(p.sum()) for p in points])
             if len(names) <= SMALL:
                 for at, flat in tiers(points, sizes, percent):
