@@ -33,7 +33,8 @@ def ranges(df: DataFrame, keys: list[str], n: int | None = None) -> Column:
     """
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.select(*keys)
-    found = held.withColumn("_r", F.rand(11)).orderBy("_r").limit(n * SAMPLED).select(*keys).distinct().orderBy(*keys).collect() if n > 1 else []
+    found = held.withColumn("_r", F.rand(11)).orderBy("_r").limit(n * SAMPLED).select(*keys).collect() if n > 1 else []
+    found = sorted({tuple(r) for r in found}, key=lambda r: [(v is not None, v != v, 0 if v is None or v != v else v) for v in r])  # nulls first, NaN last, as Spark sorts
     cuts = list(dict.fromkeys(found[len(found) * i // n] for i in range(1, n))) if found else []
     bounds = [[F.lit(v).cast(field.dataType) for v, field in zip(row, held.schema.fields, strict=True)] for row in cuts]
 

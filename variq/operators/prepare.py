@@ -64,7 +64,8 @@ class Frame:
 
     spec: FormulationSpec
     rows: DataFrame  # obs_id, response, factors, time, rsg, n [, means and residuals]
-    cells: DataFrame  # one row a (factors, time) cell: n, Ybar_kt, Ybar_k, Ybar_t, Ybar
+    cells: DataFrame  # one row a (factors, time) cell: n, Ybar_kt, V, Ybar_k, Ybar_t, Ybar and counts
+    sums: DataFrame  # the same without what comes from other cells
     r2_method: str | None = None  # exact, ma2, or None without factors and time
 
     @property
@@ -91,13 +92,17 @@ def tidy(df: DataFrame, spec: FormulationSpec) -> DataFrame:
 MEANS = ("n", "Ybar_kt", "Ybar_k", "Ybar_t", "Ybar")
 
 
-def cell_table(rows: DataFrame, spec: FormulationSpec) -> DataFrame:
-    """One row a cell: n, Ybar_kt, V (variance) and the unweighted means of cell means by condition, by period, over all.
+def cell_sums(rows: DataFrame, spec: FormulationSpec) -> DataFrame:
+    """One row a cell: n, Ybar_kt and V (variance)."""
+    keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
+    return rows.groupBy(*keys).agg(F.count(spec.response).alias("n"), F.avg(spec.response).alias("Ybar_kt"), F.var_samp(spec.response).alias("V"))
+
+
+def cell_table(cells: DataFrame, spec: FormulationSpec) -> DataFrame:
+    """cell_sums with the unweighted means of cell means by condition, by period and over all.
 
     c_k, c_t and c: cells of the condition, of the period and of all; h_k, h_t and h: the sums of their 1 / n.
     """
-    keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
-    cells = rows.groupBy(*keys).agg(F.count(spec.response).alias("n"), F.avg(spec.response).alias("Ybar_kt"), F.var_samp(spec.response).alias("V"))
     over = lambda mean, grain: [F.avg("Ybar_kt").alias(mean), F.count("*").alias(f"c{grain}"), F.sum(1 / F.col("n")).alias(f"h{grain}")]
     overall = cells.agg(*over("Ybar", ""))  # one row
     if spec.factors:
@@ -108,15 +113,16 @@ def cell_table(rows: DataFrame, spec: FormulationSpec) -> DataFrame:
 
 
 def prepare(df: DataFrame, spec: FormulationSpec, persist: bool = False) -> Frame:
-    """The frame without residuals. persist: keep the cell table, which later plans all start from."""
+    """The frame without residuals. persist: keep the sums of cells, which later plans all start from."""
     rows = tidy(df, spec)
-    cells = cell_table(rows, spec)
+    sums = cell_sums(rows, spec)
     if persist:
-        cells = cells.persist()
+        sums = sums.persist()
+    cells = cell_table(sums, spec)
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
     if not keys:
-        return Frame(spec, rows.withColumn("n", F.lit(1)), cells)
-    return Frame(spec, rows.join(cells.select(*keys, *[c for c in MEANS if c in cells.columns]), keys), cells)
+        return Frame(spec, rows.withColumn("n", F.lit(1)), cells, sums)
+    return Frame(spec, rows.join(cells.select(*keys, *[c for c in MEANS if c in cells.columns]), keys), cells, sums)
 
 
 def scale_factor(cells: DataFrame, factors: tuple[str, ...]) -> DataFrame:
@@ -147,12 +153,12 @@ def residuals(frame: Frame, method: str) -> Frame:
         rows = rows.withColumn("R2", y - kt)
     else:
         rows = canonical(rows, spec).withColumn("_z", y - k - t + all_)
-        rows = previous(rows, [], "sort_key", F.col("_z"), "_before").crossJoin(scale_factor(frame.cells, spec.factors).select("c"))
+        rows = previous(rows, [], "sort_key", F.col("_z"), "_before").crossJoin(scale_factor(frame.sums, spec.factors).select("c"))
         rows = rows.withColumn("R2", (F.col("_z") - F.col("_before")) / (2 * F.col("c"))).drop("_z", "_before", "c")
     r2 = F.col("R2")
     rows = rows.withColumns({"R1": y - all_, "R3": kt - k - t + all_ + r2, "R4": t - all_ + r2, "R5": k - all_ + r2})
     rows = rows.withColumns({"RCR1": F.col("R1") + all_, "RCR2": kt + r2, "RCR3": F.col("R3") + all_, "RCR4": F.col("R4") + all_, "RCR5": F.col("R5") + all_})
-    return Frame(spec, rows, frame.cells, method)
+    return Frame(spec, rows, frame.cells, frame.sums, method)
 
 
 def weighted_means(frame: Frame) -> DataFrame:

@@ -118,7 +118,7 @@ def design_state_ods(spark, sf_dir):
 
 @query(_state(f"r AS ({U_ROWS}), x AS (SELECT count(*) AS N_kt FROM r GROUP BY k, t)"))
 def design_state_ads(spark, sf_dir):
-    return design.analytic_state(prepare.prepare(events(spark, sf_dir), USERS).cells)
+    return design.analytic_state(prepare.prepare(events(spark, sf_dir), USERS).sums)
 
 
 @query(f"WITH {E_CTE} SELECT k AS event_type, t AS day, n, {R6('m')} AS Ybar_kt, {R6('mk')} AS Ybar_k, {R6('mt')} AS Ybar_t, {R6('g')} AS Ybar FROM c JOIN ck USING (k) JOIN ct USING (t), g")
@@ -525,9 +525,10 @@ def loss_by_factor(spark, sf_dir):
     return six(cap.loss_by_factor(frame(spark, sf_dir, "items", "exact")), "loss")
 
 
-@query(f"WITH {O2_Q}, p AS (SELECT (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY a)) AS la, (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY b)) AS lb, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc) SELECT 'o_orderpriority' AS factor, {R6('la')} AS loss FROM p UNION ALL SELECT 'o_orderstatus', {R6('lb')} FROM p UNION ALL SELECT 'factor_interaction', {R6('pdc - la - lb')} FROM p")
+@query(f"WITH {O2_Q}, p AS (SELECT (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY a)) AS la, (SELECT avg(e * e) FROM (SELECT avg(r5) AS e FROM q GROUP BY b)) AS lb, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc) SELECT 'o_orderpriority' AS factor, {R6('la / 1e9')} AS loss FROM p UNION ALL SELECT 'o_orderstatus', {R6('lb / 1e9')} FROM p UNION ALL SELECT 'factor_interaction', {R6('(pdc - la - lb) / 1e9')} FROM p")
 def loss_remainder(spark, sf_dir):
-    return six(cap.loss_by_factor(_two_factors(spark, sf_dir), remainder=True), "loss")
+    """In units of 1e9: prices are large."""
+    return six(cap.loss_by_factor(_two_factors(spark, sf_dir), remainder=True).withColumn("loss", F.col("loss") / 1e9), "loss")
 
 
 @query(f"""WITH {U_CTE}{MA2}, l AS (SELECT power((SELECT g FROM g) - 40, 2) AS centering, (SELECT var_samp(r2) FROM q) AS unexplained, (SELECT avg(power(mk - g, 2)) FROM ck, g) AS pdc, (SELECT avg(power(mt - g, 2)) FROM ct, g) AS time),
@@ -674,7 +675,7 @@ def extra_combos(spark, sf_dir):
 
 @query(f"WITH {U_CTE}, p AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM c)), m AS (SELECT k, avg(i) AS a FROM c JOIN p USING (t) GROUP BY k) SELECT {R6('max(a) - min(a)')} AS period_spread FROM m")
 def period_spread(spark, sf_dir):
-    return six(design.period_spread(prepare.prepare(events(spark, sf_dir), USERS).cells, USERS), "period_spread")
+    return six(design.period_spread(prepare.prepare(events(spark, sf_dir), USERS).sums, USERS), "period_spread")
 
 
 @query("SELECT 'year' AS factor, CAST(coalesce(p.level, o.level) AS VARCHAR) AS level, p.level IS NOT NULL AS planned, o.level IS NOT NULL AS observed FROM (SELECT unnest([1992, 1995, 2001]) AS level) p FULL JOIN (SELECT DISTINCT year(l_shipdate)::INT AS level FROM lineitem) o ON p.level = o.level")
@@ -696,7 +697,7 @@ def nested_in_time(spark, sf_dir):
 
 @query(f"WITH {O_CTE} SELECT count(DISTINCT k) AS K, count(DISTINCT t) AS T, count(*) AS R, sum(n)::BIGINT AS N, min(n) AS n_min, {R6('quantile_cont(n, 0.5)')} AS n_median, max(n) AS n_max, count(*) FILTER (n = 1) AS n_single, sum(n - 1)::BIGINT AS df_within, count(DISTINCT k) * count(DISTINCT t) - count(*) AS empty FROM c")
 def design_report(spark, sf_dir):
-    return six(design.report(prepare.prepare(orders(spark, sf_dir), ORDERS).cells, ORDERS), "n_median")
+    return six(design.report(prepare.prepare(orders(spark, sf_dir), ORDERS).sums, ORDERS), "n_median")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type, CAST(ts AS DATE), event_id) - 1 AS sort_key FROM events WHERE value IS NOT NULL")

@@ -105,10 +105,10 @@ class State:
 class Study:
     def __init__(self, data: DataFrame, spec: FormulationSpec, plan: dict | None = None, calibrations: dict[str, Calibration] | None = None):
         self.frame = frame = prepare.prepare(data, spec, persist=True)
-        if len(spec.factors) > 1 and prepare.ambiguous(frame.cells, spec):
+        if len(spec.factors) > 1 and prepare.ambiguous(frame.sums, spec):
             warnings.warn(f"values with {spec.delimiter!r} in them would give two conditions one name; rsg is a JSON list here", VariqWarning, stacklevel=3)
             spec = replace(spec, delimiter=None)
-            self.frame = frame = prepare.Frame(spec, frame.rows.withColumn("rsg", prepare.label(frame.rows, spec.factors, None)), frame.cells)
+            self.frame = frame = prepare.Frame(spec, frame.rows.withColumn("rsg", prepare.label(frame.rows, spec.factors, None)), frame.cells, frame.sums)
         self.data, self.spec, self.plan, self.calibrations = data, spec, plan, calibrations or {}
         self.base = prepare.tidy(data, spec)  # all that charts of the response need: no means are joined to rows
         self._ads = self._ods = None
@@ -116,15 +116,15 @@ class Study:
         if spec.factors and spec.time:
             method = design.r2_method(self.analytical_design_state.code)
             if method == "ma2":
-                c = prepare.scale_factor(frame.cells, spec.factors).first()
+                c = prepare.scale_factor(frame.sums, spec.factors).first()
                 if c["c"] is None:
                     self.r2_unavailable = f"R2 needs two conditions and two readings more than conditions; there are {c['K']} and {c['M']}"
                     warnings.warn(self.r2_unavailable, VariqWarning, stacklevel=3)
             self.frame = prepare.residuals(self.frame, method)
 
     def release(self) -> None:
-        """Frees the cell table that plans of this study start from; plans made later compute it again."""
-        self.frame.cells.unpersist()
+        """Frees the sums of cells that plans of this study start from; plans made later compute it again."""
+        self.frame.sums.unpersist()
 
     def __enter__(self) -> Study:
         return self
@@ -137,7 +137,7 @@ class Study:
     @property
     def analytical_design_state(self) -> State:
         if self._ads is None:
-            r = design.analytic_state(self.frame.cells).first()
+            r = design.analytic_state(self.frame.sums).first()
             if not r["n_cells"] or r["max_n"] is None:
                 raise ValidationError(f"{self.spec.response!r} has no reading with all factors and the time known")
             self._ads = State(r["state"], r["reason"], r["n_cells"], r["min_n"], r["max_n"])
@@ -206,15 +206,15 @@ class Study:
 
     def series_length(self) -> dict:
         """Periods, within-cell degrees of freedom, and how precise a sigma from so many moving ranges is."""
-        cells = self.frame.cells
+        cells = self.frame.sums
         r = cells.agg((F.count_distinct(self.spec.time) if self.spec.time else F.sum("n")).alias("T"), F.sum(F.col("n") - 1).alias("df")).first()
         return {"periods": r["T"], "df_within": r["df"], "sigma_interval_80": SIGMA_INTERVAL_80.get(min(r["T"], 30))}
 
     def design(self) -> DataFrame:
         """One row of metrics: of what was observed and, with a plan, of what was planned."""
-        out = design.report(self.frame.cells, self.spec)
+        out = design.report(self.frame.sums, self.spec)
         if self.has_residuals:
-            out = out.crossJoin(design.period_spread(self.frame.cells, self.spec))
+            out = out.crossJoin(design.period_spread(self.frame.sums, self.spec))
         if self.plan:
             planned = 1
             for levels in self.plan["factors"].values():
@@ -242,25 +242,25 @@ class Study:
         """Factors of which no period has two levels, if some factor has several levels."""
         if not self.has_residuals:
             return []
-        return [x["factor"] for x in design.nested_in_time(self.frame.cells, list(self.spec.factors), self.spec.time).collect() if x["nested"]]
+        return [x["factor"] for x in design.nested_in_time(self.frame.sums, list(self.spec.factors), self.spec.time).collect() if x["nested"]]
 
     def missing_combos(self, limit: int | None = None) -> DataFrame:
-        return design.missing_combos(self.frame.cells, self._planned(), limit)
+        return design.missing_combos(self.frame.sums, self._planned(), limit)
 
     def extra_combos(self, limit: int | None = None) -> DataFrame:
-        return design.extra_combos(self.frame.cells, self._planned(), limit)
+        return design.extra_combos(self.frame.sums, self._planned(), limit)
 
     def _planned(self) -> DataFrame:
         return design.plan_cells(self.data.sparkSession, self.plan["factors"], None, None, self.frame.cells.schema)
 
     def levels(self) -> DataFrame:
         """Planned and observed levels of each planned factor."""
-        return design.level_report(self.frame.cells, self.plan["factors"])
+        return design.level_report(self.frame.sums, self.plan["factors"])
 
     def plan_adherence(self) -> DataFrame:
         """Over planned conditions (all periods together): complete, short and empty ones, and what would mend it."""
         plan = self._planned()
-        cells = self.frame.cells.groupBy(*self.plan["factors"]).agg(F.sum("n").alias("n"))
+        cells = self.frame.sums.groupBy(*self.plan["factors"]).agg(F.sum("n").alias("n"))
         return design.adherence(cells, plan, self.plan["N"] * self.plan["T"])
 
     # Analyses of one row
