@@ -386,7 +386,7 @@ def test_language_of_texts_held_out(spark):
     model = langid.train(learned)
     lang = {i: x for (i, _, x, _) in rows if x}
     got = {r["doc_id"]: r for r in langid.identify(frame(spark, [r for r in rows if r[0] % 5 == 0]), model).collect()}
-    known = [i for i in got if i in lang and i < 400]
+    known = [i for i in got if i in lang and i < 400 and i % 9 not in (3, 6)]  # copies keep the text, not the label
     assert len(known) > 40 and sum(got[i]["lang_pred"] == lang[i] for i in known) >= 0.95 * len(known)
     clash = langid.identify(empty(spark).withColumn("score", F.lit("x")), model)
     assert clash.count() == 0 and clash.schema["score"].dataType.simpleString() == "double"
