@@ -46,6 +46,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.held: list[DataFrame] = []
 
     @contextlib.contextmanager
     def _clean_shuffles(self):
@@ -64,6 +65,7 @@ class Tables:
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.variq_path = path
+        self.held.append(out)
         return out
 
     def save_bucketed(self, df: DataFrame, key: str, label: str) -> DataFrame:
@@ -78,6 +80,7 @@ class Tables:
             df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         out.variq_path, out.variq_name = path, name
+        self.held.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -86,10 +89,16 @@ class Tables:
         if name:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
+            self.held = [x for x in self.held if x is not df]
             jvm = self.spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Removes all tables saved here but those that the result still reads."""
+        for df in [x for x in self.held if not any(x is k for k in kept)]:
+            self.drop(df)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

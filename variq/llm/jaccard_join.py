@@ -462,6 +462,8 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     tasks = spread.select(F.col("node").alias("cls"), F.col("root").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(points.select("cls", "doc_id"), "cls")
     roots = components(_verified_links(tasks, rows, k, percent, partitions), tables).select(F.col("node").alias("cls"), "root")
     labelled = classes.drop("point").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    labelled = tables.save(labelled, "labelled")
+    tables.drop_all_but(labelled)
     least = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_hash", F.col("root").alias("group_id")] if detail else []))

@@ -390,7 +390,7 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked_classes = grouped.join(first, "root").select("cls", "top")
     repeated = grouped.filter("root is null and n > 1").select("cls", F.col("first").alias("top"))
     wanted = tables.save(linked_classes.unionByName(repeated), "wanted")
-    tables.drop(classes)
+    tables.drop_all_but(wanted)
     gone = _lines(docs, doc_id, text).select("doc_id", "of", "at", "cls").join(wanted, "cls")
     return gone.filter(F.struct("doc_id", "of", "at") != F.col("top")).select("doc_id", "of", "at")
 

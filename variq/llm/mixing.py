@@ -81,6 +81,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "sourc
     sooner = Window.partitionBy("_none", "_source").orderBy(F.desc("_class"), "_range").rowsBetween(Window.unboundedPreceding, -1)
     offset = small.select("_none", "_source", "_class", "_range", F.coalesce(F.sum("_n").over(sooner), F.lit(0)).alias("_offset"))
     places = tables.save(offset.join(source_targets(small, "size", weights, limit), ["_none", "_source"]), "places")
+    tables.drop(small)
     row = F.row_number().over(Window.partitionBy("_none", "_source", "_class", "_range").orderBy("_draw", doc_id, "size"))
     out = sized.withColumn("_row", row).join(places, ["_none", "_source", "_class", "_range"], "left")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))

@@ -282,6 +282,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         held, _ = save(now, before)
         now = next_level(held, words - before)
     target, _ = save(now, length)
+    tables.drop_all_but(target)
 
     def marks(batches):
         """What the last step needs of a survivor: its place and 16 bits of its key, if a smaller id has it."""
