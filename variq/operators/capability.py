@@ -139,7 +139,7 @@ def loss_by_factor(frame: Frame, remainder: bool = False) -> DataFrame:
 def maximum_information(frame: Frame) -> DataFrame:
     """One row: X and mR statistics of R2 in canonical order and how many readings lie beyond."""
     rows = frame.rows.filter("R2 is not null").select(*frame.keys, "obs_id", "R2")
-    moved = moving_ranges(positions(rows, [], frame.keys, ["obs_id"]), [], "sort_key", "R2")
+    moved = moving_ranges(positions(rows, [], frame.keys, ["obs_id"], like=frame.base), [], "sort_key", "R2")
     one = individual_fit(moved, [], "R2").withColumns({"lpl": F.col("x_bar") - E2 * F.col("mr_bar"), "upl": F.col("x_bar") + E2 * F.col("mr_bar"), "sigma_hat": F.col("mr_bar") / D2})
     signals = moved.select("R2").crossJoin(one.select("lpl", "upl")).agg(F.count_if((F.col("R2") < F.col("lpl")) | (F.col("R2") > F.col("upl"))).alias("n_signals"))
     return one.crossJoin(signals).select(F.col("points").alias("n"), F.col("x_bar").alias("r2_mean"), F.col("mr_bar").alias("r2_mR"), "sigma_hat", "lpl", "upl", "n_signals")

@@ -47,10 +47,15 @@ def ranges(df: DataFrame, keys: list[str], n: int | None = None) -> Column:
     return tree(0, len(bounds))
 
 
-def positions(df: DataFrame, streams: list[str], blocks: list[str], order: list[str], name: str = "sort_key") -> DataFrame:
-    """Adds the 0-based position of each row in its stream, in order of (blocks, order)."""
+def positions(df: DataFrame, streams: list[str], blocks: list[str], order: list[str], name: str = "sort_key", like: DataFrame | None = None) -> DataFrame:
+    """Adds the 0-based position of each row in its stream, in order of (blocks, order).
+
+    like: a frame with about the same keys that costs less to read; ranges are then bounded by its keys. They decide how
+    rows are dealt, not the positions.
+    """
     keys = [*blocks, *order]
-    dealt = df.withColumn("_range", ranges(df, [*streams, *keys]))
+    known = like if like is not None and {*streams, *keys} <= {*like.columns} else df
+    dealt = df.withColumn("_range", ranges(known, [*streams, *keys]))
     size = dealt.groupBy(*streams, "_range").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*streams).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     size = size.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")

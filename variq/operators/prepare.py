@@ -66,6 +66,7 @@ class Frame:
     rows: DataFrame  # obs_id, response, factors, time, rsg, n [, means and residuals]
     cells: DataFrame  # one row a (factors, time) cell: n, Ybar_kt, V, Ybar_k, Ybar_t, Ybar and counts
     sums: DataFrame  # the same without what comes from other cells
+    base: DataFrame  # rows before anything was joined to them
     r2_method: str | None = None  # exact, ma2, or None without factors and time
 
     @property
@@ -121,8 +122,8 @@ def prepare(df: DataFrame, spec: FormulationSpec, persist: bool = False) -> Fram
     cells = cell_table(sums, spec)
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
     if not keys:
-        return Frame(spec, rows.withColumn("n", F.lit(1)), cells, sums)
-    return Frame(spec, rows.join(cells.select(*keys, *[c for c in MEANS if c in cells.columns]), keys), cells, sums)
+        return Frame(spec, rows.withColumn("n", F.lit(1)), cells, sums, rows)
+    return Frame(spec, rows.join(cells.select(*keys, *[c for c in MEANS if c in cells.columns]), keys), cells, sums, rows)
 
 
 def scale_factor(cells: DataFrame, factors: tuple[str, ...]) -> DataFrame:
@@ -131,11 +132,11 @@ def scale_factor(cells: DataFrame, factors: tuple[str, ...]) -> DataFrame:
     return cells.agg(k.alias("K"), m.alias("M")).select("K", "M", F.when((F.col("K") >= 2) & (F.col("M") >= F.col("K") + 2), F.sqrt((F.col("K") - 1) / (2 * F.col("K")) * (1 - F.col("K") / (F.col("M") - 1)))).alias("c"))
 
 
-def canonical(rows: DataFrame, spec: FormulationSpec, streams: list[str] | None = None, name: str = "sort_key") -> DataFrame:
+def canonical(rows: DataFrame, spec: FormulationSpec, streams: list[str] | None = None, name: str = "sort_key", like: DataFrame | None = None) -> DataFrame:
     """Adds each row's position in canonical order: condition by value, then time, then obs_id."""
     keys = list(dict.fromkeys([*spec.factors, *([spec.time] if spec.time else [])]))
     streams = streams or []
-    return positions(rows, streams, [k for k in keys if k not in streams], ["obs_id"], name)
+    return positions(rows, streams, [k for k in keys if k not in streams], ["obs_id"], name, like)
 
 
 def residuals(frame: Frame, method: str) -> Frame:
@@ -152,13 +153,13 @@ def residuals(frame: Frame, method: str) -> Frame:
     if method == "exact":
         rows = rows.withColumn("R2", y - kt)
     else:
-        rows = canonical(rows, spec).withColumn("_z", y - k - t + all_)
+        rows = canonical(rows, spec, like=frame.base).withColumn("_z", y - k - t + all_)
         rows = previous(rows, [], "sort_key", F.col("_z"), "_before").crossJoin(scale_factor(frame.sums, spec.factors).select("c"))
         rows = rows.withColumn("R2", (F.col("_z") - F.col("_before")) / (2 * F.col("c"))).drop("_z", "_before", "c")
     r2 = F.col("R2")
     rows = rows.withColumns({"R1": y - all_, "R3": kt - k - t + all_ + r2, "R4": t - all_ + r2, "R5": k - all_ + r2})
     rows = rows.withColumns({"RCR1": F.col("R1") + all_, "RCR2": kt + r2, "RCR3": F.col("R3") + all_, "RCR4": F.col("R4") + all_, "RCR5": F.col("R5") + all_})
-    return Frame(spec, rows, frame.cells, frame.sums, method)
+    return Frame(spec, rows, frame.cells, frame.sums, frame.base, method)
 
 
 def weighted_means(frame: Frame) -> DataFrame:

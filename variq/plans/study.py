@@ -108,7 +108,7 @@ class Study:
         if len(spec.factors) > 1 and prepare.ambiguous(frame.sums, spec):
             warnings.warn(f"values with {spec.delimiter!r} in them would give two conditions one name; rsg is a JSON list here", VariqWarning, stacklevel=3)
             spec = replace(spec, delimiter=None)
-            self.frame = frame = prepare.Frame(spec, frame.rows.withColumn("rsg", prepare.label(frame.rows, spec.factors, None)), frame.cells, frame.sums)
+            self.frame = frame = prepare.Frame(spec, frame.rows.withColumn("rsg", prepare.label(frame.rows, spec.factors, None)), frame.cells, frame.sums, frame.base)
         self.data, self.spec, self.plan, self.calibrations = data, spec, plan, calibrations or {}
         self.base = prepare.tidy(data, spec)  # all that charts of the response need: no means are joined to rows
         self._ads = self._ods = None
@@ -470,9 +470,9 @@ class Study:
             streams = [*strata, "phase"]
         blocks = [k for k in self.frame.keys if k not in strata]
         if self.frame.keys:
-            rows = positions(rows.drop("sort_key"), streams, blocks, ["obs_id"])
+            rows = positions(rows.drop("sort_key"), streams, blocks, ["obs_id"], like=self.base)
         else:
-            rows = prepare.canonical(rows.drop("sort_key"), self.spec, streams)
+            rows = prepare.canonical(rows.drop("sort_key"), self.spec, streams, like=self.base)
         return charts.moving_ranges(rows, streams, "sort_key", source), streams, strata
 
     def _individual(self, q: ChartRequest) -> Chart:
