@@ -58,7 +58,10 @@ class Tables:
         finally:
             self.spark.conf.unset(_CLEAN) if old is None else self.spark.conf.set(_CLEAN, old)
 
-    def save(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, label: str = "t", small: bool = False) -> DataFrame:
+        """Writes the table and reads it back. small: it has few bytes a task, which are gathered into files of the
+        advisory size first."""
+        df = df.hint("rebalance") if small else df
         path = f"{self.root}/{label}{self.n}"
         self.n += 1
         with self._clean_shuffles():

@@ -453,7 +453,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     hot = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))
     points = classes.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"), F.min("doc_id").alias("doc_id"))
     met = tables.save(_meetings(rows, k, percent, hot, partitions), "met")
-    bounds = tables.save(_bound_links(_blocked(met, key_block).join(points.select("cls", "point"), "cls"), percent, partitions), "bounds")
+    bounds = tables.save(_bound_links(_blocked(met, key_block).join(points.select("cls", "point"), "cls"), percent, partitions), "bounds", small=True)
     tables.drop(met)
     clusters = components(bounds, tables)
     size = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -364,17 +364,17 @@ def line_classes(docs: DataFrame, tables: Tables, *, doc_id: str, text: str) ->
 def line_groups(classes: DataFrame, tables: Tables, *, k: int, similar: float, bands: int, rows: int) -> DataFrame:
     """(node, root): the classes that have a similar one, with the smallest class of their component."""
     partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = tables.save(_met(classes, k, bands, rows, partitions), "met")
+    met = tables.save(_met(classes, k, bands, rows, partitions), "met", small=True)
     pairs = met.filter("cls <> head").select("cls", "head").distinct()
-    roots = components(tables.save(_verified(pairs, classes, k, similar), "links"), tables)
+    roots = components(tables.save(_verified(pairs, classes, k, similar), "links", small=True), tables)
     # Buckets of two are settled by their pair; of larger ones, those that still mix components are not.
     members = met.select("key", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    members = tables.save(members, "members")
+    members = tables.save(members, "members", small=True)
     # Buckets with the same members (by two hashes and their number) are settled once.
     seen = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     open_keys = seen.filter("n > 2 and lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    mixed = tables.save(members.join(open_keys, "key", "left_semi"), "mixed")
-    tops = components(tables.save(_settled(mixed, classes, k, similar, partitions).distinct(), "bonds"), tables)
+    mixed = tables.save(members.join(open_keys, "key", "left_semi"), "mixed", small=True)
+    tops = components(tables.save(_settled(mixed, classes, k, similar, partitions).distinct(), "bonds", small=True), tables)
     joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return joined.unionByName(tops.join(roots, "node", "left_anti"))
 
@@ -389,7 +389,7 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     first = grouped.filter("root is not null").groupBy("root").agg(F.min("first").alias("top"))
     linked_classes = grouped.join(first, "root").select("cls", "top")
     repeated = grouped.filter("root is null and n > 1").select("cls", F.col("first").alias("top"))
-    wanted = tables.save(linked_classes.unionByName(repeated), "wanted")
+    wanted = tables.save(linked_classes.unionByName(repeated), "wanted", small=True)
     tables.drop_all_but(wanted)
     gone = _lines(docs, doc_id, text).select("doc_id", "of", "at", "cls").join(wanted, "cls")
     return gone.filter(F.struct("doc_id", "of", "at") != F.col("top")).select("doc_id", "of", "at")
