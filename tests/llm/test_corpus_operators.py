@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,31 @@ def test_lines_of_large_near_copy_groups(spark):
     assert got <= want and len(got) >= 0.98 * len(want) > 400
 
 
+def test_heads_of_pairs_are_hashed_together(monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for head in range(300):
+        y = "".join(rng.choice("abcde ") for _ in range(rng.choice([3, 7, 8, 40, 300])))
+        for _ in range(rng.choice([1, 1, 2, 9])):
+            x = list(y)
+            for _ in range(rng.choice([0, 1, 6])):
+                x[rng.randrange(len(x))] = "z"
+            rows.append((len(rows) + 1000, head - 150, "".join(x), y))
+    sets = lambda s: {s[i : i + 8] for i in range(max(1, len(s) - 7))}
+    want = {(c, h) for c, h, x, y in rows if len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y))}
+    assert 0 < len(want) < len(rows)
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["cls", "head", "x", "y"])
+    calls, made = [], line_dedup.sets_of
+    monkeypatch.setattr(line_dedup, "sets_of", lambda *a: calls.append(1) or made(*a))
+    # Batches cut heads in two; few bytes of heads at once cut them again.
+    for size, held in ((10_000, 4 << 20), (7, 4 << 20), (10_000, 500)):
+        monkeypatch.setattr(line_dedup, "HEAD_BYTES", held)
+        calls.clear()
+        out = list(line_dedup.verified((whole.slice(i, size) for i in range(0, len(rows), size)), 8, 0.8))
+        assert {x for b in out for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)} == want
+        assert len(calls) == 2 * len(out)
+
+
 def test_mixing(spark):
     rows = corpus(n=200)
     mixed = mixing.mix_sources(frame(spark, rows).withColumn("target", F.lit("clash")))

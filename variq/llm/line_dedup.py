@@ -37,6 +37,8 @@ from variq.llm._store import Tables
 K, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
 #: Bytes of lines that a task compares at once; larger buckets are split into blocks.
 BLOCK_BYTES = 2 << 20
+#: Bytes of heads (repeated for each pair) whose sets a task makes at once.
+HEAD_BYTES = 4 << 20
 #: Sets up to which pairs are compared at once, without first looking for those that have no partner.
 FEW = 12
 GROUP_BITS = 9
@@ -235,29 +237,32 @@ def _overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((mine[spot] == every).astype(np.int64), np.cumsum(size) - size)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, k: int, similar: float) -> DataFrame:
-    """The pairs (cls, head) whose shingle sets are similar enough. Rows of a head come one after the other."""
-
-    def verify(batches):
-        head, mine = None, None
-        for batch in _text.chunks(batches, "x", 1 << 20):
-            data, offsets = _text.utf8(batch.column("x"))
-            heads, cls = batch.column("head").to_numpy(), batch.column("cls").to_numpy()
-            sets = sets_of(data, offsets, k)
-            cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]]))
-            good = np.zeros(len(cls), bool)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if heads[a] != head:
-                    head = heads[a]
-                    mine = sets_of(*_text.utf8(batch.column("y").slice(a, 1)), k)[0]
-                size = np.array([len(x) for x in sets[a:b]])
-                good[a:b] = _overlaps(mine, sets[a:b]) >= _needed(len(mine), size, similar)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(heads[good])], ["a", "b"])
+def verified(batches, k: int, similar: float):
+    """Batches (a, b) of the pairs (cls, head; texts x, y) whose shingle sets are similar enough. Rows of a head come one
+    after the other."""
+    head, mine = None, None
+    for batch in _text.chunks(_text.chunks(batches, "x", 1 << 20), "y", HEAD_BYTES):
+        sets = sets_of(*_text.utf8(batch.column("x")), k)
+        heads, cls = batch.column("head").to_numpy(), batch.column("cls").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]]))
+        # The sets of all heads that begin here are made at once; only the first head can go on from the last batch.
+        begin = cut[1:-1] if heads[0] == head else cut[:-1]
+        tops = iter(sets_of(*_text.utf8(batch.column("y").take(pa.array(begin))), k))
+        size, good = np.array([len(x) for x in sets]), np.zeros(len(cls), bool)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if heads[a] != head:
+                head, mine = heads[a], next(tops)
+            good[a:b] = _overlaps(mine, sets[a:b]) >= _needed(len(mine), size[a:b], similar)
+        yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(heads[good])], ["a", "b"])
+
 
+def _verified(pairs: DataFrame, classes: DataFrame, k: int, similar: float) -> DataFrame:
+    """The pairs (cls, head) whose shingle sets are similar enough."""
     # Only the pairs are hashed and moved: classes are read bucket by bucket, unsorted.
     lines = classes.select("cls", F.col("line").alias("x")).join(pairs.hint("shuffle_hash"), "cls")
     heads = classes.select(F.col("cls").alias("head"), F.col("line").alias("y")).join(pairs.select("head").distinct().hint("shuffle_hash"), "head")
-    return lines.join(heads, "head").sortWithinPartitions("head").select("cls", "head", "x", "y").mapInArrow(verify, "a long, b long")
+    joined = lines.join(heads, "head").sortWithinPartitions("head").select("cls", "head", "x", "y")
+    return joined.mapInArrow(lambda batches: verified(batches, k, similar), "a long, b long")
 
 
 def _settled(members: DataFrame, classes: DataFrame, k: int, similar: float, partitions: int) -> DataFrame:
