@@ -4,6 +4,7 @@ import glob
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -203,6 +204,23 @@ def test_winnowing_guarantee():
         assert set(grams[at[doc[at] == 0]]) & set(grams[at[doc[at] == 1]])
 
 
+def test_training_holds_few_texts_at_once(monkeypatch):
+    rng = random.Random(9)
+    rows = [("".join(rng.choices(letters + " ", k=20_000)), lang) for lang, letters in (("aa", "abcdefgh"), ("bb", "hijklmné")) for _ in range(100)]
+    rows += [("", "aa"), ("...", "cc")]
+    tracemalloc.start()
+    model = langid.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all 2 MB of a language at once take far more
+    monkeypatch.setattr(langid, "FIT_BYTES", 1 << 30)
+    whole = langid.fit(rows[50:150] + rows[-2:])
+    monkeypatch.setattr(langid, "FIT_BYTES", 1000)
+    parts = langid.fit(rows[50:150] + rows[-2:])
+    assert model.langs == parts.langs == whole.langs == ("aa", "bb", "cc")
+    assert (parts.table == whole.table).all() and (parts.scripts == whole.scripts).all()
+
+
 def test_languages(spark):
     rows = corpus(n=200)
     model = langid.train(frame(spark, [r for r in rows if r[0] is not None and r[0] % 5]))

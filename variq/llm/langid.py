@@ -36,6 +36,7 @@ _NAMES = sorted({x for _, x in SCRIPTS} - {"other"})
 _SCRIPT = np.array([_NAMES.index(x) if x != "other" else -1 for _, x in SCRIPTS], np.int16)
 BITS = 17  # buckets of the n-gram table
 ORDERS = (1, 2, 3, 4)
+FIT_BYTES = 1 << 18  # of texts whose n-grams training holds at once: these take over 100 times as many bytes
 _HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -89,13 +90,15 @@ def fit(rows: list[tuple[str, str]], switch: float = 6.0) -> Model:
     counts = np.zeros((1 << BITS, len(langs)))
     letters = np.zeros((len(_NAMES), len(langs)))
     for k, lang in enumerate(langs):
-        data, offsets = _text.utf8(pa.array([x for x, y in rows if y == lang], pa.large_string()))
-        data = _text.lower_ascii(data)
-        starts, ends, _ = _text.words(data, offsets)
-        if len(starts):
-            counts[:, k] += np.bincount(_grams(data, starts, ends)[0], minlength=1 << BITS)
-            script = _word_scripts(data, starts, ends)
-            letters[:, k] += np.bincount(script[script >= 0], minlength=len(_NAMES))
+        texts = pa.RecordBatch.from_arrays([pa.array([x for x, y in rows if y == lang], pa.large_string())], ["text"])
+        for part in _text.chunks([texts], "text", FIT_BYTES):
+            data, offsets = _text.utf8(part.column("text"))
+            data = _text.lower_ascii(data)
+            starts, ends, _ = _text.words(data, offsets)
+            if len(starts):
+                counts[:, k] += np.bincount(_grams(data, starts, ends)[0], minlength=1 << BITS)
+                script = _word_scripts(data, starts, ends)
+                letters[:, k] += np.bincount(script[script >= 0], minlength=len(_NAMES))
     smooth = (counts + 0.5) / np.maximum((counts + 0.5).sum(0), 1)
     table = np.log(smooth) - np.log(smooth.mean(1, keepdims=True)) if langs else smooth
     table[counts.sum(1) == 0] = 0
