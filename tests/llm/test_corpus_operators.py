@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import WORD, corpus, empty, frame, shingles
@@ -183,6 +184,44 @@ def test_lines_of_large_near_copy_groups(spark):
     assert got <= want and len(got) >= 0.98 * len(want) > 400
 
 
+def test_lines_need_no_python_workers(spark, monkeypatch):
+    """The default form is DataFrame expressions only; the kernels remove the same lines."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 60, 900]))) for _ in range(30)]
+    rows = [(i, base[i % 30] + ("" if i % 3 else "tail"), None, None) for i in range(120)]
+    by_kernels = {r["doc_id"] for r in line_dedup.duplicate_lines(frame(spark, rows), kernels=True).collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for kind in (DataFrame, type(frame(spark, rows))):
+        for name in ("mapInArrow", "mapInPandas"):
+            monkeypatch.setattr(kind, name, refused)
+    got = {r["doc_id"] for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
+    assert got == by_kernels and len(got) > 60
+
+
+def test_sketches_of_lines_miss_no_similar_pair(spark, monkeypatch):
+    """Each similar pair of a bucket is left once, however many blocks and buckets it meets in; most others go."""
+    rng = random.Random(8)
+    lines, shared = [], ["".join(rng.choice("abcdefghijkl ") for _ in range(n)) for n in (300, 300, 1500)]
+    for i in range(150):
+        line = list(shared[i % 3])
+        for _ in range(rng.choice([0, 1, 2, 4, 8, 16])):
+            line[rng.randrange(len(line))] = rng.choice("xyz")
+        lines.append("".join(line) * (2 if i % 7 == 0 else 1))
+    grams = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    want = {(j, i) for i in range(len(lines)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 40)
+    classes = spark.createDataFrame(list(enumerate(lines)), "cls long, line string")
+    members = spark.createDataFrame([(key, i, i) for i in range(len(lines)) for key in (1, 2) if key == 1 or i % 2], "key long, cls long, root long")
+    near = line_dedup._near(members, line_dedup._sketches(members, classes, 8), 0.8).collect()
+    left = {(r["b"], r["a"]) for r in near}
+    assert len(left) == len(near) and want <= left and len(left) < 2 * len(want) < 0.5 * 150 * 149 / 2
+    pairs = spark.createDataFrame([(b, a) for a, b in left], "cls long, head long")
+    assert {(r["b"], r["a"]) for r in line_dedup._verified(pairs, classes, 8, 0.8).collect()} == want
+
+
 def test_heads_of_pairs_are_hashed_together(monkeypatch):
     rng = random.Random(11)
     rows = []
