@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import WORD, corpus, empty, frame, shingles
 from variq.llm import jaccard_join, line_dedup, mixing, substrings
 from variq.llm._components import components
@@ -201,6 +202,17 @@ def test_lines_need_no_python_workers(spark, monkeypatch):
     assert got == by_kernels and len(got) > 60
 
 
+def test_line_stage_of_the_pipeline_needs_no_python_workers(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    docs = frame(spark, [(1, "the same line\nmy own", None, None), (2, "The same line", None, None), (3, "nothing shared", None, None)])
+    for kind in (DataFrame, type(docs)):
+        monkeypatch.setattr(kind, "mapInArrow", refused)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert out == {1: "the same line\nmy own", 3: "nothing shared"}
+
+
 def test_sketches_of_lines_miss_no_similar_pair(spark, monkeypatch):
     """Each similar pair of a bucket is left once, however many blocks and buckets it meets in; most others go."""
     rng = random.Random(8)
